@@ -1,12 +1,14 @@
 """Line dedup by winnowing, with DataFrame functions only.
 
 A text is cut into lines, at line feeds and after sentence ends, so that a
-passage pasted inside a line is seen too.  Of every WINDOW neighbouring line
-hashes the smallest is a fingerprint, and so is every line of min_chars or
-more; any run of min_chars characters that two places share therefore shares a
-fingerprint.  Each fingerprint is joined with its first position in the corpus
-(and, inside a document, with its previous one).  From there matches are
-extended both ways, line by line, and where a repeated run has at least
+passage pasted inside a line is seen too.  Fingerprints are hashes of two
+neighbouring short lines: of every two such hashes that follow each other the smaller
+is kept, and so is every pair of min_chars or more; a line of min_chars or
+more is a fingerprint by itself.  Any run of min_chars characters that two
+places share therefore shares a fingerprint, while a short line that many
+documents have is none.  Each fingerprint is joined with its first position in
+the corpus (and, inside a document, with its previous one).  From there matches
+are extended both ways, line by line, and where a repeated run has at least
 min_chars characters, the later one is deleted.
 """
 
@@ -17,7 +19,6 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CHARS, let, stage
 
-WINDOW = 2
 MIN_CHARS = 150
 #: Zero-width, so that the lines together are the text.
 CUT = r"(?<=\n)|(?<=[.!?] )"
@@ -31,38 +32,41 @@ def _bare(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(SPACE_CHARS)))
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per document that has lines: d, t (its place in the order), h, len, pos (of lines with content),
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """One row per document: d, t (its place in the order), h, len, pos (of lines with content),
     firsts (fingerprint, line) at its first place in the document, steps (distances to the previous place of a repeated one)."""
     lines = docs.select(
         F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("d"),
         F.xxhash64(text).alias("t"),
-        F.transform(lines_of(F.col(text)), _bare).alias("bare"),
+        F.filter(F.transform(F.transform(lines_of(F.col(text)), _bare), lambda b, i: F.struct(F.xxhash64(b).alias("h"), F.length(b).alias("len"), i.alias("pos"))), lambda x: x.len > 0).alias("l"),
     )
-    kept = lines.select("d", "t", F.filter(F.transform("bare", lambda b, i: F.struct(F.xxhash64(b).alias("h"), F.length(b).alias("len"), i.alias("pos"))), lambda x: x.len > 0).alias("l")).where(F.size("l") > 0)
 
-    def chosen(pairs: Column) -> Column:
-        """Lines that are the smallest of some window (the first of equal ones), and long lines; by hash, then line."""
-        size = F.size(pairs)
-        minima = F.transform(F.sequence(F.lit(1), F.greatest(size - (window - 1), F.lit(1))), lambda j: F.array_min(F.slice(pairs, j, F.lit(window))))
-        once = let(minima, lambda m: F.filter(m, lambda x, j: (j == 0) | (x.i != F.coalesce(F.get(m, j - 1).i, F.lit(-1)))))
-        more = F.filter(pairs, lambda x: x.n >= min_chars)
-        return F.sort_array(F.transform(F.concat(once, more), lambda x: F.struct(x.h.alias("h"), x.i.alias("i"))))
+    def chosen(l: Column) -> Column:
+        """(h, i) of the fingerprints, by line."""
+        short = lambda x: F.coalesce(x.len < min_chars, F.lit(False))
+        pairs = F.transform(l, lambda x, i: F.when(short(x) & short(F.get(l, i + 1)), F.xxhash64(x.h, F.get(l, i + 1).h)))
 
-    pairs = F.transform("l", lambda x, i: F.struct(x.h.alias("h"), i.alias("i"), x.len.alias("n")))
-    previous = lambda s, j: F.get(s, j - 1)
+        def one(x: Column, i: Column, b: Column) -> Column:
+            own = F.get(b, i)
+            least = F.coalesce(own < F.get(b, i - 1), F.lit(False)) | F.coalesce(own <= F.get(b, i + 1), F.lit(False))
+            long_pair = F.coalesce(x.len + F.get(l, i + 1).len >= min_chars, F.lit(False))
+            return F.struct(F.when(x.len >= min_chars, x.h).when(least | long_pair, own).alias("h"), i.alias("i"))
 
-    def places(s: Column) -> Column:
-        # a line that is both a minimum and long stands twice, side by side
-        return F.filter(s, lambda x, j: (j == 0) | (x != previous(s, j)))
+        return let(pairs, lambda b: F.filter(F.transform(l, lambda x, i: one(x, i, b)), lambda y: y.h.isNotNull()))
 
-    def both(s: Column) -> Column:
-        return F.struct(
-            F.filter(s, lambda x, j: (j == 0) | (x.h != previous(s, j).h)).alias("firsts"),
-            F.array_distinct(F.transform(F.filter(F.transform(s, lambda x, j: F.struct(x.i.alias("i"), previous(s, j).alias("p"), x.h.alias("h"))), lambda y: F.coalesce(y.p.h == y.h, F.lit(False))), lambda y: y.i - y.p.i)).alias("steps"),
-        )
+    def places(f: Column) -> Column:
+        """firsts and steps; only a document that repeats a fingerprint is sorted for them."""
+        none = F.array().cast("array<int>")
+
+        def repeated(s: Column) -> Column:
+            before = lambda j: F.get(s, j - 1)
+            gaps = F.transform(s, lambda x, j: F.when(x.h == before(j).h, x.i - before(j).i))
+            return F.struct(F.filter(s, lambda x, j: (j == 0) | (x.h != before(j).h)).alias("firsts"), F.array_distinct(F.filter(gaps, lambda g: g.isNotNull())).alias("steps"))
+
+        once = F.size(F.array_distinct(F.transform(f, lambda x: x.h))) == F.size(f)
+        return F.when(once, F.struct(f.alias("firsts"), none.alias("steps"))).otherwise(let(F.sort_array(f), repeated))
 
-    found = kept.select("d", "t", "l", let(let(let(pairs, chosen), places), both).alias("f"))
+    found = lines.select("d", "t", "l", let(let(F.col("l"), chosen), places).alias("f"))
     return found.select("d", "t", F.col("l.h").alias("h"), F.col("l.len").alias("len"), F.col("l.pos").alias("pos"), "f.firsts", "f.steps")
 
 
@@ -96,7 +100,7 @@ def repeated_runs(prints: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return each.groupBy("d", "t").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with its text cut, and removed_lines, removed_chars (long).
 
     The first place of a run, in the order of (key, hash of the text, line), stays;
@@ -104,13 +108,14 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     null key come last in the order.  Repeated rows are one document: each is
     cut as the first is.  Other columns stay as they are.
     """
-    prints = stage(fingerprints(docs, key, text, window, min_chars), "winnow")
+    prints = stage(fingerprints(docs, key, text, min_chars), "winnow")
     runs = repeated_runs(prints, min_chars).select(F.col("d").alias("_gl_d"), F.col("t").alias("_gl_t"), F.col("runs").alias("_gl_runs"))
     keyed = docs.withColumns({"_gl_d": F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)), "_gl_t": F.xxhash64(text)})
     joined = keyed.join(runs.hint("shuffle_hash"), ["_gl_d", "_gl_t"], "left")
     gone = lambda i: F.exists("_gl_runs", lambda r: (i >= r.a) & (i <= r.b))
-    left = let(lines_of(F.col(text)), lambda l: F.filter(l, lambda x, i: ~gone(i)))
-    cut = F.when(F.col("_gl_runs").isNotNull(), F.struct(F.array_join(left, "").alias("text"), F.size(let(lines_of(F.col(text)), lambda l: F.filter(l, lambda x, i: gone(i)))).cast("long").alias("n")))
+    left = lambda l: F.filter(l, lambda x, i: ~gone(i))
+    result = lambda l, k: F.struct(F.array_join(k, "").alias("text"), (F.size(l) - F.size(k)).cast("long").alias("n"))
+    cut = F.when(F.col("_gl_runs").isNotNull(), let(lines_of(F.col(text)), lambda l: let(left(l), lambda k: result(l, k))))
     done = joined.withColumn("_gl_cut", cut)
     new = F.when(F.col("_gl_cut").isNotNull(), F.col("_gl_cut.text")).otherwise(F.col(text))
     chars = F.when(F.col("_gl_cut").isNotNull(), F.length(text) - F.length("_gl_cut.text")).otherwise(F.lit(0))
