@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,8 +58,8 @@ class Counter:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
 
-        self.table: dict[bytes, bytes] = {}
-        self.marks: list[bytes] | None = None  # without the shortcut
+        self.short = False
+        self.marks: list[bytes] = []
         if path.endswith(".model"):
             from sentencepiece import SentencePieceProcessor
 
@@ -76,50 +77,61 @@ class Counter:
         steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         suffix = spec["model"].get("end_of_word_suffix")
         if steps != ["NFC", "Replace", "Lowercase"] or not suffix:
-            return  # this vocabulary keeps case or white space
-        self.cut = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.proven = {t: np.uint32(i).tobytes() for t, i in prove(self.tokenizer, spec["model"]["vocab"], suffix).items()}
+            return  # this vocabulary keeps case or white space: the library reads whole texts
+        self.short = True
         # how special tokens start: texts that hold it are left to the library
         self.marks = sorted({t["content"][:2].encode() for t in spec["added_tokens"]})
-
-    def plain(self, raw: bytes) -> bool:
-        return self.marks is not None and not any(m in raw for m in self.marks)
-
-    def _learn(self, pieces: set[bytes]) -> None:
-        """Adds the ids of unseen pieces: proven pre-tokens directly, the rest by merging."""
-        rest: list[bytes] = []
-        proven = self.proven
-        for p in pieces:
-            if p.isascii():
-                cut = self.cut(p.decode("ascii"))  # lower case already, and ASCII needs no normalization
-                ids = [proven.get(t) for t in cut]
-                if None not in ids:
-                    self.table[p] = b"".join(ids)
-                    continue
-            rest.append(p)
-        if rest:
-            for p, e in zip(rest, self.tokenizer.encode_batch([p.decode() for p in rest], add_special_tokens=False), strict=True):
-                self.table[p] = np.array(e.ids, dtype="<u4").tobytes()
+        cut = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        proven = {t: np.uint32(i).tobytes() for t, i in prove(self.tokenizer, spec["model"]["vocab"], suffix).items()}
+        shown = {b: c for c, b in _byte_chars().items()}
+        merge = self.tokenizer.model.tokenize
+
+        def learn(piece: bytes) -> bytes:
+            """Ids of a new piece: proven pre-tokens directly, the others by merging."""
+            text = piece.decode()
+            if not text.isprintable() or not (text.isascii() or (text == text.lower() and max(text) <= "\xff")):
+                # Latin-1 is composed already; what else normalization could change goes through the library
+                return array("I", self.whole(text)).tobytes()
+            if text.isalpha():
+                parts = (text,)
+            elif text[-1] in ".,;:!?" and text[:-1].isalpha():
+                parts = (text[:-1], text[-1])
+            else:
+                parts = cut(text)
+            out = b""
+            for t in parts:
+                ids = proven.get(t)
+                if ids is None:
+                    ids = array("I", [m.id for m in merge(t if t.isascii() else t.encode().decode("latin-1").translate(shown))]).tobytes()
+                out += ids
+            return out
+
+        self.proven = proven
+        self.table = _Table(learn)
 
     def ids(self, raws: list[bytes | None]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each UTF-8 text; null: none."""
-        for at in range(0, len(raws), 256):
-            some = raws[at : at + 256]
-            cut = [r.lower().split() if r and self.plain(r) else None for r in some]
-            words = set().union(*(c for c in cut if c))
-            if new := words - self.table.keys():
-                if len(self.table) + len(new) > TABLE:
-                    self.table.clear()
-                    new = words
-                self._learn(new)
-            table = self.table
-            for raw, pieces in zip(some, cut, strict=True):
-                if pieces is not None:
-                    yield b"".join([table[p] for p in pieces])
-                elif raw:
-                    yield np.array(self.whole(raw.decode()), dtype="<u4").tobytes()
-                else:
-                    yield b""
+        for raw in raws:
+            if not raw:
+                yield b""
+            elif self.short and not any(m in raw for m in self.marks):
+                yield b"".join(map(self.table.__getitem__, raw.lower().split()))
+            else:
+                yield np.array(self.whole(raw.decode()), dtype="<u4").tobytes()
+
+
+class _Table(dict):
+    """Pieces seen lately; it starts anew when it is full."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, piece: bytes) -> bytes:
+        if len(self) >= TABLE:
+            self.clear()
+        ids = self[piece] = self.learn(piece)
+        return ids
 
 
 def counter(path: str) -> Counter:
