@@ -1,0 +1 @@
+"""A property-graph engine on Spark DataFrames."""
