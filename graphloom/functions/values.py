@@ -63,7 +63,19 @@ def kind_of(t: T.DataType) -> str:
     return "value"
 
 
-NULL = E(F.lit(None), T.NullType(), literal=None)
+class _Null(E):
+    """The null literal; its column is made when it is used, since that needs a session."""
+
+    def __init__(self):
+        for name, value in (("t", T.NullType()), ("kind", "value"), ("literal", None)):
+            object.__setattr__(self, name, value)
+
+    @property
+    def col(self) -> Column:
+        return F.lit(None)
+
+
+NULL = _Null()
 
 
 def lit(v: Any) -> E:

@@ -1,13 +1,140 @@
-"""Registered queries of the graph engine and their SQL."""
+"""Registered queries of the graph engine, each with the SQL that gives the same rows.
 
+QUERIES: name -> (query text, SQL); they run on the test tables lifted to a graph.
+"""
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries():
-    return {}
+from ..session import GraphSession
 
+_sessions: dict = {}
 
-def oracle_sql():
-    return {}
+
+def session(spark: SparkSession, sf_dir: str) -> GraphSession:
+    """A session on the lifted tables; the graph is immutable, so that it is made once for each folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _sessions:
+        _sessions.clear()
+        _sessions[key] = GraphSession.from_tables(spark, sf_dir).graph
+    return GraphSession(_sessions[key])
+
+
+_LINES = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM lineitem"
+_SUPPLIES = "SELECT DISTINCT l_suppkey, l_partkey FROM lineitem"
+_NEXT = "SELECT event_id AS a, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events"
+_NEXT = f"SELECT * FROM ({_NEXT}) WHERE b IS NOT NULL"
+
+QUERIES: dict[str, tuple[str, str]] = {
+    "label_scan_filter": ("MATCH (c:Customer) WHERE c.acctbal > 5000.0 AND c.mktsegment = 'BUILDING' RETURN c.custkey AS k, c.name AS name, c.acctbal AS bal", "SELECT c_custkey AS k, c_name AS name, c_acctbal AS bal FROM customer WHERE c_acctbal > 5000 AND c_mktsegment = 'BUILDING'"),
+    "all_nodes_count_by_label": ("MATCH (n) RETURN labels(n)[0] AS label, count(*) AS n", "SELECT 'Region' AS label, count(*) AS n FROM region UNION ALL SELECT 'Nation', count(*) FROM nation UNION ALL SELECT 'Customer', count(*) FROM customer UNION ALL SELECT 'Supplier', count(*) FROM supplier UNION ALL SELECT 'Part', count(*) FROM part UNION ALL SELECT 'Order', count(*) FROM orders UNION ALL SELECT 'Event', count(*) FROM events UNION ALL SELECT 'User', count(DISTINCT user_id) FROM events"),
+    "index_range": ("MATCH (o:Order) WHERE 1000.0 <= o.totalprice < 50000.0 RETURN count(*) AS n, max(o.totalprice) AS top", "SELECT count(*) AS n, max(o_totalprice) AS top FROM orders WHERE o_totalprice >= 1000 AND o_totalprice < 50000"),
+    "expand_out": ("MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN c.mktsegment AS seg, o.orderpriority AS prio, count(*) AS n", "SELECT c_mktsegment AS seg, o_orderpriority AS prio, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY ALL"),
+    "expand_in": ("MATCH (r:Region)<-[:IN_REGION]-(n:Nation) RETURN r.name AS r, count(n) AS n, min(n.name) AS first", "SELECT r_name AS r, count(*) AS n, min(n_name) AS first FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY 1"),
+    "expand_either": ("MATCH (e:Event)-[r:NEXT]-(f:Event) RETURN e.event_type AS t, count(r) AS n", f"SELECT event_type AS t, count(*) AS n FROM events JOIN (SELECT a FROM ({_NEXT}) UNION ALL SELECT b FROM ({_NEXT})) ON event_id = a GROUP BY 1"),
+    "expand_multi_type": ("MATCH (a)-[r:IN_NATION|IN_REGION]->(b) RETURN type(r) AS t, labels(b)[0] AS l, count(*) AS n", "SELECT 'IN_NATION' AS t, 'Nation' AS l, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n UNION ALL SELECT 'IN_REGION', 'Region', count(*) FROM nation"),
+    "edge_type_scan": ("MATCH (:Order)-[r:CONTAINS]->(:Part) WHERE r.quantity > 45.0 RETURN r.returnflag AS f, count(*) AS n, sum(r.quantity) AS q", "SELECT l_returnflag AS f, count(*) AS n, sum(l_quantity) AS q FROM lineitem WHERE l_quantity > 45 GROUP BY 1"),
+    "two_hop_building": ("MATCH (c:Customer {mktsegment: 'BUILDING'})-[:PLACED]->(o:Order)-[:CONTAINS]->(p:Part) RETURN o.orderpriority AS priority, count(*) AS n ORDER BY priority", "SELECT o_orderpriority AS priority, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1"),
+    "two_hop_same_part": ("MATCH (a:Order)-[r:CONTAINS]->(p:Part)<-[s:CONTAINS]-(b:Order) RETURN p.brand AS brand, count(*) AS n", f"WITH l AS ({_LINES}) SELECT p_brand AS brand, count(*) AS n FROM l x JOIN l y ON x.l_partkey = y.l_partkey AND (x.l_orderkey, x.rn) <> (y.l_orderkey, y.rn) JOIN part ON p_partkey = x.l_partkey GROUP BY 1"),
+    "triangle_cycle": ("MATCH (n:Nation)<-[:IN_NATION]-(c:Customer)-[:PLACED]->(:Order)-[:CONTAINS]->(:Part)<-[:SUPPLIES]-(s:Supplier)-[:IN_NATION]->(n) RETURN n.name AS n, count(*) AS k", f"SELECT n_name AS n, count(*) AS k FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem l ON l.l_orderkey = o_orderkey JOIN ({_SUPPLIES}) s ON s.l_partkey = l.l_partkey JOIN supplier ON s_suppkey = s.l_suppkey JOIN nation ON n_nationkey = c_nationkey WHERE c_nationkey = s_nationkey GROUP BY 1"),
+    "cross_join_nations": ("MATCH (a:Nation), (b:Region) RETURN a.name AS a, b.name AS b", "SELECT n_name AS a, r_name AS b FROM nation CROSS JOIN region"),
+    "theta_join": ("MATCH (a:Nation), (b:Nation) WHERE a.regionkey = b.regionkey AND a.nationkey < b.nationkey RETURN a.regionkey AS r, count(*) AS n", "SELECT a.n_regionkey::BIGINT AS r, count(*) AS n FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey GROUP BY 1"),
+    "optional_match_filtered": ("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.totalprice > 200000.0 RETURN c.custkey AS k, count(o) AS n, max(o.totalprice) AS top", "SELECT c_custkey AS k, count(o_orderkey) AS n, max(o_totalprice) AS top FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 200000 GROUP BY 1"),
+    "optional_multi_hop": ("MATCH (s:Supplier) OPTIONAL MATCH (s)-[:SUPPLIES]->(p:Part)<-[r:CONTAINS]-(o:Order) WHERE r.quantity > 49.0 RETURN s.suppkey AS k, count(r) AS n", f"SELECT s_suppkey AS k, count(l.l_orderkey) AS n FROM supplier LEFT JOIN (SELECT s.l_suppkey AS sk, i.l_orderkey FROM ({_SUPPLIES}) s JOIN lineitem i ON s.l_partkey = i.l_partkey AND i.l_quantity > 49) l ON l.sk = s_suppkey GROUP BY 1"),
+    "semi_pattern": ("MATCH (o:Order) WHERE (o)-[:CONTAINS]->() RETURN o.orderstatus AS s, count(*) AS n", "SELECT o_orderstatus AS s, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1"),
+    "anti_pattern": ("MATCH (o:Order) WHERE NOT (o)-[:CONTAINS]->() RETURN o.orderkey AS k", "SELECT o_orderkey AS k FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"),
+    "exists_where": ("MATCH (c:Customer) WHERE exists { (c)-[:PLACED]->(o:Order) WHERE o.totalprice > c.acctbal * 50.0 } RETURN c.mktsegment AS s, count(*) AS n", "SELECT c_mktsegment AS s, count(*) AS n FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 50) GROUP BY 1"),
+    "exists_full_having": ("MATCH (c:Customer) WHERE exists { MATCH (c)-[:PLACED]->(o:Order) WITH c, count(o) AS n WHERE n > 12 RETURN c } RETURN c.custkey AS k", "SELECT c_custkey AS k FROM customer WHERE (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) > 12"),
+    "exists_in_or": ("MATCH (c:Customer) WHERE c.acctbal < 0.0 OR (c)-[:PLACED]->(:Order {orderstatus: 'P'}) RETURN count(*) AS n", "SELECT count(*) AS n FROM customer WHERE c_acctbal < 0 OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')"),
+    "pattern_comprehension": ("MATCH (r:Region) WITH r.name AS r, [(r)<-[:IN_REGION]-(n:Nation) WHERE n.nationkey > 3 | n.name] AS names UNWIND names AS n RETURN r, n, size(names) AS k", "SELECT r_name AS r, n_name AS n, count(*) OVER (PARTITION BY r_name) AS k FROM region JOIN nation ON r_regionkey = n_regionkey WHERE n_nationkey > 3"),
+    "var_length_1_3": ("MATCH (a:Event)-[r:NEXT*1..3]->(b:Event) RETURN size(r) AS hops, b.event_type AS t, count(*) AS n", f"WITH RECURSIVE n AS ({_NEXT}), p AS (SELECT b, 1 AS d FROM n UNION ALL SELECT n.b, d + 1 FROM p JOIN n ON p.b = n.a WHERE d < 3) SELECT d::BIGINT AS hops, event_type AS t, count(*) AS n FROM p JOIN events ON b = event_id GROUP BY 1, 2"),
+    "var_length_zero": ("MATCH (a:Event {event_type: 'click'})-[:NEXT*0..2]->(b:Event) RETURN b.event_type AS t, count(*) AS n", f"WITH RECURSIVE n AS ({_NEXT}), p AS (SELECT event_id AS b, 0 AS d FROM events WHERE event_type = 'click' UNION ALL SELECT n.b, d + 1 FROM p JOIN n ON p.b = n.a WHERE d < 2) SELECT event_type AS t, count(*) AS n FROM p JOIN events ON b = event_id GROUP BY 1"),
+    "var_length_undirected": ("MATCH (a:Nation)-[r:IN_REGION*2..2]-(b:Nation) RETURN a.name AS a, count(b) AS n", "SELECT a.n_name AS a, count(*) AS n FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey GROUP BY 1"),
+    "var_length_rel_list": ("MATCH (a:Order)-[rs:CONTAINS*1..1]->(p:Part) UNWIND rs AS r RETURN r.linestatus AS s, count(*) AS n, sum(r.quantity) AS q", "SELECT l_linestatus AS s, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1"),
+    "named_path_length": ("MATCH p = (u:User)-[:DID]->(e:Event)-[:NEXT*1..2]->(f:Event) RETURN u.user_id AS u, length(p) AS l, count(*) AS n, max(size(nodes(p))) AS k", f"WITH RECURSIVE n AS ({_NEXT}), p AS (SELECT a, b, 1 AS d FROM n UNION ALL SELECT p.a, n.b, d + 1 FROM p JOIN n ON p.b = n.a WHERE d < 2) SELECT user_id AS u, (d + 1)::BIGINT AS l, count(*) AS n, (max(d) + 2)::BIGINT AS k FROM p JOIN events ON a = event_id GROUP BY 1, 2"),
+    "shortest_path": ("MATCH (a:Nation), (b:Nation) WHERE a.nationkey < b.nationkey MATCH p = shortestPath((a)-[:IN_REGION*..4]-(b)) RETURN a.name AS a, b.name AS b, length(p) AS l", "SELECT a.n_name AS a, b.n_name AS b, CASE WHEN a.n_regionkey = b.n_regionkey THEN 2::BIGINT END AS l FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey"),
+    "carried_relationship": ("MATCH (n:Nation)-[r:IN_REGION]->(x:Region) WITH n, r MATCH (n)-[r]->(y:Region) RETURN n.name AS n, y.name AS r", "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "group_count_sum_avg_min_max": ("MATCH (:Order)-[r:CONTAINS]->(:Part) RETURN r.returnflag AS f, r.linestatus AS s, count(*) AS n, round(sum(r.extendedprice)) AS total, round(avg(r.quantity) * 1000.0) AS q, min(r.tax) AS lo, max(r.tax) AS hi", "SELECT l_returnflag AS f, l_linestatus AS s, count(*) AS n, round(sum(l_extendedprice)) AS total, round(avg(l_quantity) * 1000) AS q, min(l_tax) AS lo, max(l_tax) AS hi FROM lineitem GROUP BY 1, 2"),
+    "count_distinct": ("MATCH (o:Order)-[r:CONTAINS]->(p:Part) RETURN o.orderstatus AS s, count(DISTINCT p) AS parts, count(DISTINCT r.suppkey) AS supps", "SELECT o_orderstatus AS s, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS supps FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1"),
+    "collect_sorted": ("MATCH (n:Nation)-[:IN_REGION]->(r:Region) WITH r, n ORDER BY n.name RETURN r.name AS r, size(collect(n.name)) AS k, size(collect(DISTINCT n.regionkey)) AS d", "SELECT r_name AS r, count(*) AS k, count(DISTINCT n_regionkey) AS d FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY 1"),
+    "percentile_cont": ("MATCH (c:Customer) RETURN c.mktsegment AS s, round(percentileCont(c.acctbal, 0.3) * 100.0) AS p", "SELECT c_mktsegment AS s, round(quantile_cont(c_acctbal, 0.3) * 100) AS p FROM customer GROUP BY 1"),
+    "percentile_disc": ("MATCH (c:Customer) RETURN c.mktsegment AS s, percentileDisc(c.acctbal, 0.3) AS p", "SELECT c_mktsegment AS s, quantile_disc(c_acctbal, 0.3) AS p FROM customer GROUP BY 1"),
+    "composed_aggregate": ("MATCH (o:Order) RETURN o.orderstatus AS s, count(*) * 2 + 1 AS a, max(o.totalprice) - min(o.totalprice) AS spread", "SELECT o_orderstatus AS s, count(*) * 2 + 1 AS a, max(o_totalprice) - min(o_totalprice) AS spread FROM orders GROUP BY 1"),
+    "global_agg_empty": ("MATCH (n:Nobody) RETURN count(*) AS n, sum(n.x) AS s, size(collect(n.x)) AS c, avg(n.x) AS a", "SELECT 0::BIGINT AS n, 0.0::DOUBLE AS s, 0::BIGINT AS c, NULL::DOUBLE AS a"),
+    "with_having": ("MATCH (c:Customer)-[:PLACED]->(o:Order) WITH c, count(o) AS n, sum(o.totalprice) AS total WHERE n > 10 RETURN c.name AS name, n, round(total) AS total", "SELECT c_name AS name, count(*) AS n, round(sum(o_totalprice)) AS total FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_name HAVING count(*) > 10"),
+    "with_order_limit_then_match": ("MATCH (c:Customer) WITH c ORDER BY c.acctbal DESC, c.custkey LIMIT 10 MATCH (c)-[:PLACED]->(o:Order) RETURN c.custkey AS k, count(o) AS n", "SELECT c_custkey AS k, count(*) AS n FROM (SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10) JOIN orders ON c_custkey = o_custkey GROUP BY 1"),
+    "with_limit_then_where": ("MATCH (c:Customer) WITH c ORDER BY c.custkey LIMIT 20 WHERE c.acctbal > 0.0 RETURN c.custkey AS k", "SELECT c_custkey AS k FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 20) WHERE c_acctbal > 0"),
+    "return_distinct": ("MATCH (p:Part) RETURN DISTINCT p.brand AS b, p.size AS s", "SELECT DISTINCT p_brand AS b, p_size::BIGINT AS s FROM part"),
+    "order_nulls": ("MATCH (o:Order) OPTIONAL MATCH (o)-[r:CONTAINS]->(:Part) WHERE r.quantity > 49.5 WITH o.orderkey AS k, max(r.quantity) AS q RETURN k, q ORDER BY q DESC, k LIMIT 25", "SELECT o_orderkey AS k, max(l_quantity) AS q FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_quantity > 49.5 GROUP BY 1 ORDER BY q DESC NULLS FIRST, k LIMIT 25"),
+    "skip_limit_topk": ("MATCH (o:Order) RETURN o.orderkey AS k, o.totalprice AS p ORDER BY p DESC, k SKIP 5 LIMIT 10", "SELECT o_orderkey AS k, o_totalprice AS p FROM orders ORDER BY p DESC, k LIMIT 10 OFFSET 5"),
+    "union": ("MATCH (n:Nation) RETURN n.regionkey AS k UNION MATCH (r:Region) RETURN r.regionkey AS k", "SELECT n_regionkey::BIGINT AS k FROM nation UNION SELECT r_regionkey FROM region"),
+    "union_all": ("MATCH (n:Nation) RETURN n.name AS k UNION ALL MATCH (r:Region) RETURN r.name AS k", "SELECT n_name AS k FROM nation UNION ALL SELECT r_name FROM region"),
+    "unwind_literal": ("UNWIND [1, 2, null, 4] AS x RETURN x, x * x AS y", "SELECT x, x * x AS y FROM (VALUES (1::BIGINT), (2), (NULL), (4)) t(x)"),
+    "unwind_collect_roundtrip": ("MATCH (n:Nation)-[:IN_REGION]->(r:Region) WITH r.name AS r, collect(n.nationkey) AS ks UNWIND ks AS k RETURN r, k", "SELECT r_name AS r, n_nationkey::BIGINT AS k FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "list_comprehension": ("MATCH (p:Part) WITH p.partkey AS k, [x IN range(1, p.size) WHERE x % 3 = 0 | x * 10] AS l RETURN k, size(l) AS n, head(l) AS h, last(l) AS t", "SELECT p_partkey AS k, (p_size // 3)::BIGINT AS n, CASE WHEN p_size >= 3 THEN 30::BIGINT END AS h, CASE WHEN p_size >= 3 THEN (p_size // 3 * 30)::BIGINT END AS t FROM part"),
+    "quantifiers": ("MATCH (p:Part) WITH p.partkey AS k, range(1, p.size) AS l RETURN k, all(x IN l WHERE x > 0) AS a, any(x IN l WHERE x = 25) AS b, none(x IN l WHERE x > 40) AS c, single(x IN l WHERE x % 20 = 0) AS d", "SELECT p_partkey AS k, true AS a, p_size >= 25 AS b, p_size <= 40 AS c, p_size // 20 = 1 AS d FROM part"),
+    "list_index_slice": ("MATCH (p:Part) WITH p.partkey AS k, range(0, p.size) AS l RETURN k, l[1] AS a, l[-1] AS b, size(l[2..4]) AS c, l[100] AS d, reverse(l)[0] AS e", "SELECT p_partkey AS k, 1::BIGINT AS a, p_size::BIGINT AS b, least(greatest(p_size + 1 - 2, 0), 2)::BIGINT AS c, NULL::BIGINT AS d, p_size::BIGINT AS e FROM part"),
+    "case_simple": ("MATCH (o:Order) RETURN CASE o.orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE 'other' END AS s, count(*) AS n", "SELECT CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE 'other' END AS s, count(*) AS n FROM orders GROUP BY 1"),
+    "case_searched": ("MATCH (p:Part) RETURN CASE WHEN p.size < 10 THEN 1 WHEN p.size < 30 THEN 2 END AS c, count(*) AS n", "SELECT CASE WHEN p_size < 10 THEN 1::BIGINT WHEN p_size < 30 THEN 2 END AS c, count(*) AS n FROM part GROUP BY 1"),
+    "string_functions": ("MATCH (n:Nation) RETURN n.name AS n, toUpper(n.name) AS u, toLower(left(n.name, 3)) AS l, right(n.name, 2) AS r, substring(n.name, 1, 3) AS s, replace(n.name, 'A', 'bb') AS p, reverse(n.name) AS v, size(n.name) AS k, split(n.name, '_')[1] AS t, trim('  ' + n.name + ' ') AS w", "SELECT n_name AS n, upper(n_name) AS u, lower(left(n_name, 3)) AS l, right(n_name, 2) AS r, substring(n_name, 2, 3) AS s, replace(n_name, 'A', 'bb') AS p, reverse(n_name) AS v, length(n_name) AS k, string_split(n_name, '_')[2] AS t, n_name AS w FROM nation"),
+    "string_predicates": ("MATCH (p:Part) WHERE p.name STARTS WITH 'p' OR p.type CONTAINS 'BRASS' OR p.brand ENDS WITH '3' RETURN count(*) AS n", "SELECT count(*) AS n FROM part WHERE starts_with(p_name, 'p') OR contains(p_type, 'BRASS') OR suffix(p_brand, '3')"),
+    "math_functions": ("MATCH (c:Customer) RETURN c.custkey AS k, abs(c.acctbal) AS a, ceil(c.acctbal) AS b, floor(c.acctbal) AS f, round(c.acctbal) AS r, sign(c.acctbal) AS s, c.custkey / 7 AS q, c.custkey % 7 AS m, c.custkey ^ 2 AS p", "SELECT c_custkey AS k, abs(c_acctbal) AS a, ceil(c_acctbal) AS b, floor(c_acctbal) AS f, round(c_acctbal) AS r, sign(c_acctbal)::BIGINT AS s, c_custkey // 7 AS q, c_custkey % 7 AS m, (c_custkey * c_custkey)::DOUBLE AS p FROM customer"),
+    "conversions": ("MATCH (p:Part) RETURN p.partkey AS k, toInteger('1.7') AS a, toFloat(toString(p.size)) AS b, toBoolean('TRUE') AS c, toInteger('x') AS d, toString(p.partkey) AS e, coalesce(null, p.size, 0) AS f", "SELECT p_partkey AS k, 1::BIGINT AS a, p_size::DOUBLE AS b, true AS c, NULL::BIGINT AS d, p_partkey::VARCHAR AS e, p_size::BIGINT AS f FROM part"),
+    "null_logic": ("UNWIND [true, false, null] AS a UNWIND [true, false, null] AS b RETURN a, b, a AND b AS c, a OR b AS d, a XOR b AS e, NOT a AS f, a = b AS g, a IS NULL AS h", "SELECT a, b, a AND b AS c, a OR b AS d, xor(a::INT, b::INT)::BOOLEAN AS e, NOT a AS f, a = b AS g, a IS NULL AS h FROM (VALUES (true), (false), (NULL)) x(a) CROSS JOIN (VALUES (true), (false), (NULL)) y(b)"),
+    "in_list": ("MATCH (o:Order) WHERE o.orderpriority IN ['1-URGENT', '5-LOW'] AND NOT o.orderstatus IN ['P'] RETURN o.orderpriority AS p, count(*) AS n", "SELECT o_orderpriority AS p, count(*) AS n FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') AND o_orderstatus <> 'P' GROUP BY 1"),
+    "date_components": ("MATCH (o:Order) WITH date(o.orderdate) AS d RETURN d.year AS y, d.quarter AS q, d.week AS w, d.dayOfWeek AS dow, count(*) AS n, max(d.ordinalDay) AS doy", "SELECT year(d)::BIGINT AS y, quarter(d)::BIGINT AS q, weekofyear(d)::BIGINT AS w, isodow(d)::BIGINT AS dow, count(*) AS n, max(dayofyear(d))::BIGINT AS doy FROM (SELECT o_orderdate::DATE AS d FROM orders) GROUP BY 1, 2, 3, 4"),
+    "date_truncate": ("MATCH (o:Order) RETURN date.truncate('month', date(o.orderdate)) AS m, count(*) AS n", "SELECT date_trunc('month', o_orderdate)::DATE AS m, count(*) AS n FROM orders GROUP BY 1"),
+    "duration_add": ("MATCH (o:Order) WITH date(o.orderdate) AS d RETURN d + duration({months: 1, days: 3}) AS e, count(*) AS n", "SELECT (d + INTERVAL 1 MONTH + INTERVAL 3 DAY)::DATE AS e, count(*) AS n FROM (SELECT o_orderdate::DATE AS d FROM orders) GROUP BY 1"),
+    "duration_between": ("MATCH (e:Event)-[:NEXT]->(f:Event) WITH duration.inSeconds(e.ts, f.ts) AS d RETURN count(*) AS n, sum(d.seconds) AS s, max(d.hours) AS h", f"SELECT count(*) AS n, sum(floor((epoch_us(y.ts) - epoch_us(x.ts)) / 1000000))::BIGINT AS s, max((epoch_us(y.ts) - epoch_us(x.ts)) // 3600000000)::BIGINT AS h FROM ({_NEXT}) JOIN events x ON x.event_id = a JOIN events y ON y.event_id = b"),
+    "label_predicate": ("MATCH (x)-[:IN_NATION]->(n:Nation) WHERE x:Supplier RETURN n.name AS n, count(x) AS k", "SELECT n_name AS n, count(*) AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1"),
+    "map_projection_literal": ("MATCH (n:Nation) WITH {name: n.name, k: n.nationkey + 1} AS m RETURN m.name AS name, m['k'] AS k, keys(m)[0] AS first", "SELECT n_name AS name, (n_nationkey + 1)::BIGINT AS k, 'name' AS first FROM nation"),
+    "node_properties": ("MATCH (r:Region) WITH r, properties(r) AS p RETURN p.name AS name, size(keys(r)) AS n, r.name IS NOT NULL AS has", "SELECT r_name AS name, 2::BIGINT AS n, true AS has FROM region"),
+    "start_end_node": ("MATCH (n:Nation)-[r:IN_REGION]->(x:Region) RETURN n.name AS n, id(startNode(r)) = id(n) AS a, endNode(r) = x AS b", "SELECT n_name AS n, true AS a, true AS b FROM nation"),
+    "call_db_labels": ("CALL db.labels() YIELD label, count AS n WHERE n > 5 RETURN label, n", "SELECT * FROM (SELECT 'Nation' AS label, count(*) AS n FROM nation UNION ALL SELECT 'Customer', count(*) FROM customer UNION ALL SELECT 'Supplier', count(*) FROM supplier UNION ALL SELECT 'Part', count(*) FROM part UNION ALL SELECT 'Order', count(*) FROM orders UNION ALL SELECT 'Event', count(*) FROM events UNION ALL SELECT 'User', count(DISTINCT user_id) FROM events) WHERE n > 5"),
+    "call_db_relationship_types": ("CALL db.relationshipTypes() YIELD relationshipType AS t, count AS n WHERE t <> 'SUPPLIES' AND t <> 'NEXT' RETURN t, n", "SELECT 'IN_REGION' AS t, count(*) AS n FROM nation UNION ALL SELECT 'IN_NATION', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) UNION ALL SELECT 'PLACED', count(*) FROM orders UNION ALL SELECT 'CONTAINS', count(*) FROM lineitem UNION ALL SELECT 'DID', count(*) FROM events"),
+}
+
+#: name -> (writing statements, the query that reads the result, SQL)
+WRITES: dict[str, tuple[tuple[str, ...], str, str]] = {
+    "create_then_match": (("MATCH (n:Nation) CREATE (n)-[:HAS {w: n.nationkey * 2}]->(:Flag {of: n.name})",), "MATCH (n:Nation)-[h:HAS]->(f:Flag) RETURN n.name AS n, f.of AS f, h.w AS w", "SELECT n_name AS n, n_name AS f, (n_nationkey * 2)::BIGINT AS w FROM nation"),
+    "merge_dedup": (("MATCH (c:Customer) MERGE (s:Segment {name: c.mktsegment}) ON CREATE SET s.made = true", "MATCH (c:Customer) MERGE (s:Segment {name: c.mktsegment}) ON MATCH SET s.again = true"), "MATCH (s:Segment) RETURN s.name AS name, s.made AS made, s.again AS again", "SELECT DISTINCT c_mktsegment AS name, true AS made, true AS again FROM customer"),
+    "set_remove": (("MATCH (n:Nation) WHERE n.nationkey < 10 SET n.low = true, n:Small REMOVE n.name",), "MATCH (n:Nation) RETURN n.nationkey AS k, n.name AS name, n.low AS low, n:Small AS small", "SELECT n_nationkey::BIGINT AS k, CASE WHEN n_nationkey >= 10 THEN n_name END AS name, CASE WHEN n_nationkey < 10 THEN true END AS low, n_nationkey < 10 AS small FROM nation"),
+    "detach_delete": (("MATCH (c:Customer) WHERE c.acctbal < 0.0 DETACH DELETE c",), "MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN c.mktsegment AS s, count(*) AS n", "SELECT c_mktsegment AS s, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_acctbal >= 0 GROUP BY 1"),
+    "delete_relationships": (("MATCH (o:Order)-[r:CONTAINS]->(:Part) WHERE r.returnflag = 'R' DELETE r",), "MATCH (:Order)-[r:CONTAINS]->(:Part) RETURN r.returnflag AS f, count(*) AS n", "SELECT l_returnflag AS f, count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1"),
+    "rollback": (("BEGIN", "MATCH (r:Region) DETACH DELETE r", "ROLLBACK"), "MATCH (r:Region) RETURN count(*) AS n", "SELECT count(*) AS n FROM region"),
+}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session(spark, sf_dir).cypher(QUERIES["two_hop_building"][0])
+
+
+def _read(text: str):
+    return lambda spark, sf_dir: session(spark, sf_dir).cypher(text)
+
+
+def _write(statements: tuple[str, ...], text: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = session(spark, sf_dir)
+        for st in statements:
+            s.cypher(st)
+        return s.cypher(text)
+
+    return run
+
+
+def integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session(spark, sf_dir).graph.check_integrity().groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+def queries() -> dict:
+    out = {n: _read(q) for n, (q, _) in QUERIES.items()}
+    out |= {n: _write(w, q) for n, (w, q, _) in WRITES.items()}
+    return out | {"check_integrity": integrity}
+
+
+def oracle_sql() -> dict[str, str]:
+    out = {n: sql for n, (_, sql) in QUERIES.items()} | {n: sql for n, (_, _, sql) in WRITES.items()}
+    return out | {"check_integrity": "SELECT '' AS problem, 0::BIGINT AS n WHERE false"}

@@ -282,6 +282,8 @@ class Compiler:
     def node_scan(self, n: NodePattern) -> tuple[DataFrame, list[str]]:
         tables = self.graph.node_tables(n.labels)
         used = self.uses.of(n.var)
+        if used is not ALL:
+            used = used | {k for k, _ in n.props}
         if not tables:
             empty = self.graph.spark.createDataFrame([], "_id long, _labels array<string>")
             return empty, ["_id", "_labels"]
