@@ -593,7 +593,21 @@ class Compiler:
 
     def lower(self, frame: Frame, e: X) -> tuple[Frame, X]:
         """Replaces patterns inside an expression by columns joined to the frame."""
-        if not any(x.op in ("pattern", "exists", "existsq", "patcomp") for x in e.walk()):
+        whole = ("nodes", "relationships", "startnode", "endnode")
+        if not any(x.op in ("pattern", "exists", "existsq", "patcomp") or x.op == "call" and x.args[0] in whole for x in e.walk()):
+            return frame, e
+        if e.op == "call" and e.args[0] in whole and len(e.args[1]) == 1:
+            frame, inner = self.lower(frame, e.args[1][0])
+            if inner.op == "var" and inner.args[0] in frame.vars:
+                v = frame.vars[inner.args[0]]
+                if v.kind == "path" and e.args[0] in ("nodes", "relationships"):
+                    return self.members(frame, inner.args[0], e.args[0])
+                if v.kind == "rel" and e.args[0] in ("startnode", "endnode"):
+                    return self.end_of(frame, v, e.args[0])
+            return frame, X("call", (e.args[0], (inner,)))
+        if e.op == "call" and e.args[0] in ("id", "size") and len(e.args[1]) == 1 and e.args[1][0].op == "call" and e.args[1][0].args[0] in whole:
+            return frame, e  # ids are enough
+        if e.op == "cmp" and any(a.op == "call" and a.args[0] in ("startnode", "endnode") for a in e.args[1:]):
             return frame, e
         if e.op in ("pattern", "exists", "existsq"):
             rows, keys, known = self.inner_rows(frame, e)
@@ -629,6 +643,33 @@ class Compiler:
         out = X(e.op, tuple(sub(a) for a in e.args))
         return frame, out
 
+    def everything(self, table: str, key: str) -> tuple[DataFrame, T.DataType, str]:
+        """All nodes or relationships as (key, struct) with all their properties."""
+        df = _union(list(getattr(self.graph, table).values()))
+        name = self.fresh("whole")
+        df = df.select(F.col("_id").alias(key), F.struct(*df.columns).alias(name))
+        return df, df.schema[name].dataType, name
+
+    def end_of(self, frame: Frame, rel: E, which: str) -> tuple[Frame, X]:
+        key = self.fresh("id")
+        side, kind, name = self.everything("nodes", key)
+        df = frame.df.join(side, rel.col["_src" if which == "startnode" else "_dst"] == F.col(key), "left_outer").drop(key)
+        return frame.bind(df, **{name: (kind, "node")}), X("var", (name,))
+
+    def members(self, frame: Frame, path: str, which: str) -> tuple[Frame, X]:
+        """The nodes or relationships of a path with their properties: distinct paths are taken apart, joined and put together."""
+        field_, table = ("nodes", "nodes") if which == "nodes" else ("rels", "rels")
+        key, p, pos = self.fresh("id"), self.fresh("p"), self.fresh("pos")
+        side, kind, name = self.everything(table, key)
+        parts = frame.df.select(F.col(f"`{path}`").alias(p)).distinct().select(p, F.posexplode(F.col(p)[field_]).alias(pos, "_member"))
+        lists = parts.join(side, F.col("_member") == F.col(key)).groupBy(p).agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("at"), F.col(name).alias("it")))).alias("_members"))
+        out = self.fresh("list")
+        lists = lists.select(F.col(p), F.transform("_members", lambda m: m["it"]).alias(out))
+        df = frame.df.join(lists, F.col(f"`{path}`").eqNullSafe(F.col(p)), "left_outer").drop(p)
+        t = T.ArrayType(kind)
+        df = df.withColumn(out, F.when(F.col(f"`{path}`").isNotNull(), F.coalesce(F.col(out), F.array().cast(t))))
+        return frame.bind(df, **{out: (t, "value")}), X("var", (out,))
+
     # -- projections
     def do_unwind(self, frame: Frame, body) -> Frame:
         e, name = body

@@ -217,3 +217,17 @@ def test_plans(spark, small):
     assert "Join" not in plan
     plan = rows(s.cypher("EXPLAIN MATCH (o:Order) WHERE NOT (o)-[:CONTAINS]->() RETURN count(*) AS n"))[0][0]
     assert "LeftAnti" in plan
+
+
+def test_members_of_paths_and_ends(ldbc):
+    q = lambda text: rows(ldbc.cypher(text))
+    assert q("MATCH p = (m:Message {id: 102})-[:REPLY_OF*0..2]->(x) RETURN [n IN nodes(p) | n.id] AS l, size(relationships(p)) AS k ORDER BY k") == [([102], 0), ([102, 101], 1), ([102, 101, 100], 2)]
+    assert q("MATCH (:Person)-[r:KNOWS]->() RETURN startNode(r).firstName AS a, endNode(r).firstName AS b, [x IN [r] | x.creationDate] AS d") == [("Alice", "Bob", [5])]
+    assert q("MATCH p = (:Person {id: 1})-[:KNOWS]->(b) UNWIND nodes(p) AS n RETURN n.lastName AS l ORDER BY l") == [("Anderson",), ("Brown",)]
+
+
+def test_builder(ldbc):
+    from graphloom.builder import Match
+
+    df = Match("(m:Message)-[:HAS_CREATOR]->(p:Person)").where("p.id < $top").returns("p.id AS p", "count(m) AS n").order_by("p").run(ldbc, top=3)
+    assert rows(df) == [(1, 1), (2, 1)]
