@@ -32,6 +32,8 @@ def equal(a: E, b: E) -> Column:
         return same & ~F.isnan(nan[0].col) if len(nan) == 2 else same
     if fa != fb:
         return both_known(a.col, b.col, False)
+    if fa in CLOCKS:
+        return instant(a) == instant(b)
     if fa == "list":
         if isinstance(a.t.elementType, T.NullType) or isinstance(b.t.elementType, T.NullType):
             return F.when(F.size(a.col) != F.size(b.col), F.lit(False)).when(F.size(a.col) == 0, F.lit(True))
@@ -55,6 +57,8 @@ def compare(op: str, a: E, b: E) -> E:
     if a.family in ("node", "rel", "path") or b.family in ("node", "rel", "path"):
         raise CypherTypeError("nodes, relationships and paths have no order")
     same = a.numeric and b.numeric or a.family == b.family and a.family in ("string", "bool", "date", "localdatetime", "datetime", "list")
+    if a.family == b.family and a.family in CLOCKS:
+        a, b, same = E(instant(a), T.LongType()), E(instant(b), T.LongType()), True
     if not same:
         return truth(F.lit(None).cast("boolean"))
     col = {"<": a.col < b.col, "<=": a.col <= b.col, ">": a.col > b.col, ">=": a.col >= b.col}[op]
@@ -65,7 +69,23 @@ def compare(op: str, a: E, b: E) -> E:
     return truth(col)
 
 
+CLOCKS = ("localtime", "time", "zoned")
+
+
+def instant(e: E) -> Column:
+    """What times of one kind are compared by."""
+    if e.family == "localtime":
+        return e.col["localtime_nanos"]
+    if e.family == "time":
+        return e.col["time_nanos"] - e.col["time_offset"].cast("long") * 1000000000
+    return F.unix_micros(e.col["utc"].cast("timestamp"))
+
+
 def add_duration(a: E, d: Column, sign: int) -> E:
+    if a.family in CLOCKS:
+        from . import temporal
+
+        return temporal.add_to_clock(a, d, sign)
     if a.family == "date":
         months, days = sign * d["months"], sign * (d["days"] + F.call_function("div", d["seconds"], F.lit(86400)))
         return E(F.date_add(F.add_months(a.col, months.cast("int")), days.cast("int")), a.t)
@@ -167,7 +187,7 @@ def prop(base: E, key: str) -> E:
 
     if base.family == "null":
         return NULL
-    if base.family in ("date", "localdatetime", "datetime", "duration"):
+    if base.family in ("date", "localdatetime", "datetime", "duration", *CLOCKS):
         return component(base, key)
     if isinstance(base.t, T.StructType):
         if key in base.t.names and not key.startswith("_"):

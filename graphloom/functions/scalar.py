@@ -178,9 +178,11 @@ FUNCTIONS = {
     "exists": lambda e: E(e.col.isNotNull(), _B),
     "date": temporal.date,
     "localdatetime": temporal.localdatetime,
-    "datetime": temporal.localdatetime,
-    "datetime.fromepoch": lambda s, n: E((F.timestamp_seconds(s.col + F.round(n.col / 1e9, 6))).cast("timestamp_ntz"), T.TimestampNTZType()),
-    "datetime.fromepochmillis": lambda ms: E(F.timestamp_millis(ms.col).cast("timestamp_ntz"), T.TimestampNTZType()),
+    "localtime": temporal.localtime,
+    "time": temporal.time,
+    "datetime": temporal.zoned,
+    "datetime.fromepoch": lambda s, n: temporal.zoned(E(F.timestamp_micros(s.col * 1000000 + F.call_function("div", n.col, F.lit(1000))).cast("timestamp_ntz"), T.TimestampNTZType())),
+    "datetime.fromepochmillis": lambda ms: temporal.zoned(E(F.timestamp_millis(ms.col).cast("timestamp_ntz"), T.TimestampNTZType())),
     "duration": temporal.duration,
     "duration.between": temporal.between,
     "duration.inmonths": lambda a, b: temporal.between(a, b, "inmonths"),
@@ -188,9 +190,11 @@ FUNCTIONS = {
     "duration.inseconds": lambda a, b: temporal.between(a, b, "inseconds"),
     "date.truncate": lambda u, e: temporal.truncate("date", u, e),
     "localdatetime.truncate": lambda u, e: temporal.truncate("localdatetime", u, e),
-    "datetime.truncate": lambda u, e: temporal.truncate("localdatetime", u, e),
+    "datetime.truncate": lambda u, e: temporal.truncate("datetime", u, e),
+    "localtime.truncate": lambda u, e: temporal.truncate("localtime", u, e),
+    "time.truncate": lambda u, e: temporal.truncate("time", u, e),
 }
-NOW = {f"{k}{s}": k for k in ("date", "localdatetime", "datetime") for s in ("", ".transaction", ".statement", ".realtime")}
+NOW = {f"{k}{s}": k for k in ("date", "localtime", "time", "localdatetime", "datetime") for s in ("", ".transaction", ".statement", ".realtime")}
 #: A null argument makes these null whatever the others are.
 _KEEPS_NULL = {"coalesce", "exists"}
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import CypherTypeError
-from .values import DURATION, NULL, E
+from .values import DURATION, LOCALTIME, NULL, TIME, ZONED, E, kind_of
 
 _UNITS = {"years": (12, 0, 0), "quarters": (3, 0, 0), "months": (1, 0, 0), "weeks": (0, 7, 0), "days": (0, 1, 0), "hours": (0, 0, 3600), "minutes": (0, 0, 60), "seconds": (0, 0, 1), "milliseconds": (0, 0, 1e-3), "microseconds": (0, 0, 1e-6), "nanoseconds": (0, 0, 1e-9)}
 MONTH_DAYS = 30.436875
@@ -60,8 +60,8 @@ def duration(arg: E) -> E:
 def date(arg: E) -> E:
     if arg.family == "null":
         return NULL
-    if arg.family in ("date", "localdatetime", "datetime"):
-        return E(arg.col.cast("date"), T.DateType())
+    if arg.family in ("date", "localdatetime", "datetime", "zoned"):
+        return E(local_of(arg).cast("date"), T.DateType())
     if arg.family == "string":
         s = arg.col
         week = F.regexp_extract(s, r"^(\d{4})-?W(\d{2})(?:-?(\d))?$", 1)
@@ -88,8 +88,8 @@ def week_date(year: Column, week: Column, day: Column) -> Column:
 
 def _date_of(arg: E) -> Column:
     names = set(arg.t.names)
-    base = E(arg.col["date"], arg.t["date"].dataType) if "date" in names else None
-    day = base.col.cast("date") if base else None
+    base = E(arg.col["date"], arg.t["date"].dataType, kind_of(arg.t["date"].dataType)) if "date" in names else None
+    day = date(base).col if base else None
     get = lambda n, default: arg.col[n].cast("int") if n in names else default
     if not names & {"year", "date"}:
         raise CypherTypeError("a date needs a year")
@@ -107,29 +107,196 @@ def _date_of(arg: E) -> Column:
     return F.make_date(y, get("month", F.month(day) if base else F.lit(1)), get("day", F.dayofmonth(day) if base else F.lit(1)))
 
 
+DAY = 86_400_000_000_000
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value as one computed thing, so that expressions don't multiply."""
+    return F.transform(F.array(value), body)[0]
+
+
+def once(e: E, f) -> E:
+    """f(e) with e computed once."""
+    made: list[E] = []
+
+    def body(v: Column) -> Column:
+        made.append(f(E(v, e.t, e.kind)))
+        return made[-1].col
+
+    col = let(e.col, body)
+    return E(col, made[-1].t, made[-1].kind)
+
+
+def clock(s: Column) -> Column:
+    """Nanoseconds of the day from HH[:MM[:SS[.fraction]]], with or without colons; null if it is none of these."""
+    pattern = r"^(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,9}))?)?)?$"
+    part = lambda g: F.regexp_extract(s, pattern, g)
+    num = lambda c: F.coalesce(F.nullif(c, F.lit("")).cast("long"), F.lit(0).cast("long"))
+    nanos = F.coalesce(F.nullif(F.rpad(part(4), 9, "0"), F.lit("000000000")).try_cast("long"), F.lit(0).cast("long"))
+    return F.when(part(1) != "", (num(part(1)) * 3600 + num(part(2)) * 60 + num(part(3))) * 1000000000 + F.when(part(4) == "", F.lit(0).cast("long")).otherwise(nanos))
+
+
+def offset_of(s: Column) -> Column:
+    """Seconds from Z, +HH, +HHMM or +HH:MM; null if it is none of these."""
+    part = lambda g: F.regexp_extract(s, r"^([+-])(\d{2})(?::?(\d{2}))?$", g)
+    size = part(2).try_cast("int") * 3600 + F.coalesce(F.nullif(part(3), F.lit("")).try_cast("int"), F.lit(0)) * 60
+    return F.when(s.isin("Z", "z"), F.lit(0)).when(part(1) != "", F.when(part(1) == "-", -size).otherwise(size))
+
+
+def _split_zone(s: Column) -> tuple[Column, Column, Column]:
+    """The local part, the offset and the zone of a text."""
+    part = lambda g: F.regexp_extract(s, r"^(.*?)(Z|[+-]\d{2}(?::?\d{2})?)?(?:\[(.+)\])?$", g)
+    return part(1), F.nullif(part(2), F.lit("")), F.nullif(part(3), F.lit(""))
+
+
+def _nanos_of(arg: E) -> Column:
+    """Nanoseconds of the day of a map's hour to nanosecond, over its time or datetime if it has one."""
+    names = arg.t.names
+    base = next((E(arg.col[n], arg.t[n].dataType, kind_of(arg.t[n].dataType)) for n in ("time", "datetime") if n in names), None)
+    of = (lambda n: component(base, n).col) if base else (lambda n: F.lit(0).cast("long"))
+    get = lambda n: arg.col[n].cast("long") if n in names else None
+    whole = [get(n) if n in names else of(n) for n in ("hour", "minute", "second")]
+    parts = [get(n) for n in ("millisecond", "microsecond", "nanosecond")]
+    if any(p is not None for p in parts):
+        fraction = F.lit(0).cast("long")
+        for p, k in zip(parts, (1000000, 1000, 1), strict=True):
+            if p is not None:
+                fraction = fraction + p * k
+    else:
+        fraction = of("nanosecond")
+    return (whole[0] * 3600 + whole[1] * 60 + whole[2]) * 1000000000 + fraction
+
+
+def local_nanos(e: E) -> Column:
+    """Nanoseconds of the day of anything with a time."""
+    if e.family == "localtime":
+        return e.col["localtime_nanos"]
+    if e.family == "time":
+        return e.col["time_nanos"]
+    ts = local_of(e)
+    return F.pmod(F.unix_micros(ts.cast("timestamp")), F.lit(86400000000)) * 1000
+
+
+def local_of(e: E) -> Column:
+    """The local date-time of a date, a local date-time or a zoned one."""
+    if e.family == "zoned":
+        return e.col["utc"] + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), e.col["utc_offset"].cast("decimal(18,6)"))
+    return e.col.cast("timestamp_ntz")
+
+
+def at_clock(day: Column, nanos: Column) -> Column:
+    return day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.call_function("div", nanos, F.lit(1000)) / F.lit(1000000)).cast("decimal(18,6)"))
+
+
+def localtime(arg: E) -> E:
+    if arg.family == "string":
+        nanos = clock(F.regexp_replace(_split_zone(arg.col)[0], "^.*T", ""))
+    elif arg.kind == "map":
+        nanos = _nanos_of(arg)
+    else:
+        nanos = local_nanos(arg)
+    return E(F.when(nanos.isNotNull(), F.struct(_long(nanos).alias("localtime_nanos"))), LOCALTIME, "localtime")
+
+
+def time(arg: E) -> E:
+    if arg.family == "string":
+        local, offset, _ = _split_zone(F.regexp_replace(arg.col, "^.*T", ""))
+        nanos, seconds = clock(local), F.coalesce(offset_of(offset), F.lit(0))
+    elif arg.kind == "map":
+        nanos = _nanos_of(arg)
+        seconds = offset_of(arg.col["timezone"]) if "timezone" in arg.t.names else F.lit(0)
+    else:
+        nanos = local_nanos(arg)
+        seconds = arg.col["time_offset"] if arg.family == "time" else arg.col["utc_offset"] if arg.family == "zoned" else F.lit(0)
+    return E(F.when(nanos.isNotNull(), F.struct(_long(nanos).alias("time_nanos"), seconds.cast("int").alias("time_offset"))), TIME, "time")
+
+
 def localdatetime(arg: E) -> E:
-    if arg.family == "null":
-        return NULL
     t = T.TimestampNTZType()
     if arg.kind == "map":
         names = arg.t.names
-        get = lambda n: arg.col[n].cast("long") if n in names else F.lit(0)
-        micros = get("millisecond") * 1000 + get("microsecond") + F.call_function("div", get("nanosecond"), F.lit(1000))
-        second = (get("second") + micros / 1e6).cast("decimal(16,6)")
-        d = _date_of(arg)
-        return E(F.make_timestamp_ntz(F.year(d), F.month(d), F.dayofmonth(d), get("hour").cast("int"), get("minute").cast("int"), second), t)
-    return E(arg.col.cast("timestamp_ntz"), t)
+        if "datetime" in names and not {"year", "date"} & set(names):
+            inner = E(arg.col["datetime"], arg.t["datetime"].dataType, kind_of(arg.t["datetime"].dataType))
+            return E(at_clock(local_of(inner).cast("date"), _nanos_of(arg)), t)
+        return E(at_clock(_date_of(arg), _nanos_of(arg)), t)
+    if arg.family == "string":
+        day, rest = F.regexp_extract(arg.col, r"^([^T ]*)", 1), F.regexp_extract(arg.col, r"[T ](.*)$", 1)
+        nanos = F.when(rest == "", F.lit(0).cast("long")).otherwise(clock(_split_zone(rest)[0]))
+        return E(at_clock(date(E(day, T.StringType())).col, nanos), t)
+    return E(local_of(arg), t)
+
+
+def zoned(arg: E) -> E:
+    """A date-time with an offset or a named zone, kept as its UTC instant, offset and zone; UTC if none is given."""
+    if arg.family == "zoned":
+        return arg
+    offset = zone = F.lit(None).cast("string")
+    local = arg
+    if arg.family == "string":
+        day, rest = F.regexp_extract(arg.col, r"^([^T ]*)", 1), F.regexp_extract(arg.col, r"[T ](.*)$", 1)
+        clock_text, offset, zone = _split_zone(rest)
+        nanos = F.when(clock_text == "", F.lit(0).cast("long")).otherwise(clock(clock_text))
+        ts = at_clock(date(E(day, T.StringType())).col, nanos)
+    else:
+        if arg.kind == "map" and "timezone" in arg.t.names:
+            z = arg.col["timezone"]
+            offset = F.when(offset_of(z).isNotNull(), z)
+            zone = F.when(offset_of(z).isNull(), z)
+        ts = localdatetime(local).col
+    fixed = offset_of(offset)
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+
+    def utc_of(t: Column) -> Column:
+        named = F.to_utc_timestamp(t.cast("timestamp"), F.coalesce(zone, F.lit("UTC"))).cast("timestamp_ntz")
+        return let(fixed, lambda o: F.when(o.isNotNull(), t - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), o.cast("decimal(18,6)"))).otherwise(named))
+
+    def whole(t: Column, utc: Column) -> Column:
+        seconds = F.call_function("div", micros(t) - micros(utc), F.lit(1000000)).cast("int")
+        return F.when(t.isNotNull(), F.struct(utc.alias("utc"), seconds.alias("utc_offset"), zone.alias("zone")))
+
+    return E(let(ts, lambda t: let(utc_of(t), lambda u: whole(t, u))), ZONED, "zoned")
+
+
+def add_to_clock(a: E, d: Column, sign: int) -> E:
+    """Times wrap at 24 hours; a zoned date-time moves months and days on its local calendar, the rest on the time line."""
+    nanos = (d["seconds"] * 1000000000 + d["nanos"]) * sign
+    if a.family == "localtime":
+        return E(F.struct(F.pmod(a.col["localtime_nanos"] + nanos, F.lit(DAY)).alias("localtime_nanos")), a.t, a.kind)
+    if a.family == "time":
+        return E(F.struct(F.pmod(a.col["time_nanos"] + nanos, F.lit(DAY)).alias("time_nanos"), a.col["time_offset"].alias("time_offset")), a.t, a.kind)
+
+    def moved(a: Column, d: Column) -> Column:
+        local = local_of(E(a, ZONED, "zoned")) + F.make_interval(F.lit(0), (d["months"] * sign).cast("int"), F.lit(0), (d["days"] * sign).cast("int"))
+        step = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), ((d["seconds"] + d["nanos"] / F.lit(1e9)) * sign).cast("decimal(18,6)"))
+        fixed = lambda l: l - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), a["utc_offset"].cast("decimal(18,6)"))
+        zone = F.coalesce(a["zone"], F.lit("UTC"))
+        return let(local, lambda l: F.when(a["zone"].isNull(), fixed(l)).otherwise(F.to_utc_timestamp(l.cast("timestamp"), zone).cast("timestamp_ntz")) + step)
+
+    def whole(a: Column, utc: Column) -> Column:
+        ts = utc.cast("timestamp")
+        shifted = F.from_utc_timestamp(ts, F.coalesce(a["zone"], F.lit("UTC")))
+        seconds = F.when(a["zone"].isNull(), a["utc_offset"]).otherwise(F.call_function("div", F.unix_micros(shifted) - F.unix_micros(ts), F.lit(1000000)).cast("int"))
+        return F.struct(utc.alias("utc"), seconds.alias("utc_offset"), a["zone"].alias("zone"))
+
+    return E(let(a.col, lambda x: let(d, lambda y: let(moved(x, y), lambda u: whole(x, u)))), ZONED, "zoned")
 
 
 def now(kind: str, instant) -> E:
-    ts = F.lit(instant.replace(tzinfo=None)).cast("timestamp_ntz")
-    return E(ts.cast("date"), T.DateType()) if kind == "date" else E(ts, T.TimestampNTZType())
+    ts = E(F.lit(instant.replace(tzinfo=None)).cast("timestamp_ntz"), T.TimestampNTZType())
+    return {"date": date, "localtime": localtime, "time": time, "datetime": zoned}.get(kind, lambda e: e)(ts)
 
 
 _DATE_PARTS = {"year": "YEAR", "month": "MONTH", "day": "DAY", "quarter": "QUARTER", "week": "WEEK", "weekYear": "YEAROFWEEK", "ordinalDay": "DOY", "hour": "HOUR", "minute": "MINUTE"}
 
 
 def component(e: E, key: str) -> E:
+    if e.family in ("zoned", "time", "duration"):
+        made = _component(E(F.lit(None), e.t, e.kind), key)
+        return NULL if made is NULL else once(e, lambda x: _component(x, key))
+    return _component(e, key)
+
+
+def _component(e: E, key: str) -> E:
     c = e.col
     if e.family == "duration":
         out = {
@@ -155,6 +322,14 @@ def component(e: E, key: str) -> E:
             "nanosecondsOfSecond": lambda: c["nanos"],
         }.get(key)
         return E(_long(out()), T.LongType()) if out else NULL
+    if e.family in ("localtime", "time", "zoned"):
+        if (found := _clock_component(e, key)) is not None:
+            return E(found, T.StringType() if key in ("timezone", "offset") else T.LongType())
+        if e.family != "zoned":
+            return NULL
+        if key in ("epochSeconds", "epochMillis"):
+            return component(E(c["utc"], T.TimestampNTZType()), key)
+        return component(E(local_of(e), T.TimestampNTZType()), key)
     if key in _DATE_PARTS:
         return E(_long(F.date_part(F.lit(_DATE_PARTS[key]), c)), T.LongType())
     if key in ("weekDay", "dayOfWeek"):
@@ -175,10 +350,66 @@ def component(e: E, key: str) -> E:
     return E(_long(out()), T.LongType()) if out else NULL
 
 
+def _clock_component(e: E, key: str) -> Column | None:
+    div = lambda a, k: F.call_function("div", a, F.lit(k))
+    if e.family != "localtime":
+        seconds = e.col["time_offset" if e.family == "time" else "utc_offset"]
+        if key == "offsetSeconds":
+            return _long(seconds)
+        if key == "offsetMinutes":
+            return _long(div(seconds, 60))
+        if key == "offset":
+            return offset_text(seconds)
+        if key == "timezone":
+            return F.coalesce(e.col["zone"], offset_text(seconds)) if e.family == "zoned" else offset_text(seconds)
+    n = local_nanos(e)
+    sub = n % 1000000000
+    out = {"hour": lambda: div(n, 3600000000000), "minute": lambda: div(n, 60000000000) % 60, "second": lambda: div(n, 1000000000) % 60, "millisecond": lambda: div(sub, 1000000), "microsecond": lambda: div(sub, 1000), "nanosecond": lambda: sub}
+    return _long(out[key]()) if key in out else None
+
+
+def offset_text(seconds: Column) -> Column:
+    size = F.abs(seconds)
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    signed = F.concat(F.when(seconds < 0, F.lit("-")).otherwise(F.lit("+")), two(F.call_function("div", size, F.lit(3600))), F.lit(":"), two(F.call_function("div", size, F.lit(60)) % 60))
+    return F.when(seconds == 0, F.lit("Z")).otherwise(signed)
+
+
+def clock_text(n: Column) -> Column:
+    """HH:MM, with seconds and a fraction where they aren't zero."""
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    div = lambda k: F.call_function("div", n, F.lit(k))
+    fraction = F.when(n % 1000000000 != 0, F.concat(F.lit("."), F.rtrim(F.lpad((n % 1000000000).cast("string"), 9, "0"), F.lit("0")))).otherwise(F.lit(""))
+    seconds = F.when(n % 60000000000 != 0, F.concat(F.lit(":"), two(div(1000000000) % 60), fraction)).otherwise(F.lit(""))
+    return F.concat(two(div(3600000000000)), F.lit(":"), two(div(60000000000) % 60), seconds)
+
+
+_CLOCK_UNITS = {"day": DAY, "hour": 3600000000000, "minute": 60000000000, "second": 1000000000, "millisecond": 1000000, "microsecond": 1000}
+
+
 def truncate(kind: str, unit: E, e: E) -> E:
-    """kind: date or localdatetime; the unit is a literal."""
+    return once(e, lambda x: _truncate(kind, unit, x))
+
+
+def _truncate(kind: str, unit: E, e: E) -> E:
+    """kind: what comes out; the unit is a literal."""
     u = str(unit.literal).lower()
-    ts = e.col.cast("timestamp_ntz")
+    if kind in ("localtime", "time"):
+        if u not in _CLOCK_UNITS:
+            raise CypherTypeError(f"unknown unit {u}")
+        n = local_nanos(e)
+        n = n - n % _CLOCK_UNITS[u]
+        if kind == "localtime":
+            return E(F.struct(n.alias("localtime_nanos")), LOCALTIME, "localtime")
+        return E(F.struct(n.alias("time_nanos"), time(e).col["time_offset"].alias("time_offset")), TIME, "time")
+    if kind == "datetime":
+        if e.family != "zoned":
+            return once(zoned(e), lambda x: _truncate(kind, unit, x))
+        z = e
+        local = _truncate("localdatetime", unit, z).col
+        utc = local - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), z.col["utc_offset"].cast("decimal(18,6)"))
+        return E(F.struct(utc.alias("utc"), z.col["utc_offset"].alias("utc_offset"), z.col["zone"].alias("zone")), ZONED, "zoned")
+    ts = local_of(e)
     years = {"millennium": 1000, "century": 100, "decade": 10}
     if u in years:
         y = F.call_function("div", F.year(ts), F.lit(years[u])) * years[u]
@@ -194,8 +425,20 @@ def truncate(kind: str, unit: E, e: E) -> E:
 
 
 def between(a: E, b: E, mode: str = "between") -> E:
+    return once(a, lambda x: once(b, lambda y: _between(x, y, mode)))
+
+
+def _between(a: E, b: E, mode: str) -> E:
     """Whole months, then days, then the rest (between), or one of them only."""
-    x, y = a.col.cast("timestamp_ntz"), b.col.cast("timestamp_ntz")
+    times = ("localtime", "time")
+    if a.family in times or b.family in times:
+        # without a date on one side, only the times differ
+        nanos = local_nanos(b) - local_nanos(a)
+        s = F.floor(nanos / F.lit(1000000000)).cast("long")
+        zero = F.lit(0).cast("long")
+        return E(F.struct(zero.alias("months"), zero.alias("days"), s.alias("seconds"), (nanos - s * 1000000000).alias("nanos")), DURATION, "duration")
+    both_zoned = a.family == b.family == "zoned"
+    x, y = (a.col["utc"], b.col["utc"]) if both_zoned else (local_of(a), local_of(b))
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     zero = F.lit(0).cast("long")
 
@@ -226,10 +469,23 @@ def between(a: E, b: E, mode: str = "between") -> E:
 
 
 def text(e: E) -> Column:
+    if e.family in ("zoned", "time", "localtime", "localdatetime", "duration"):
+        return let(e.col, lambda c: _text(E(c, e.t, e.kind)))
+    return _text(e)
+
+
+def _text(e: E) -> Column:
     """ISO text of a duration; Spark's own for the rest."""
-    if e.family != "duration":
+    if e.family == "localtime":
+        return clock_text(e.col["localtime_nanos"])
+    if e.family == "time":
+        return F.concat(clock_text(e.col["time_nanos"]), offset_text(e.col["time_offset"]))
+    if e.family in ("zoned", "localdatetime"):
+        local = F.concat(local_of(e).cast("date").cast("string"), F.lit("T"), clock_text(local_nanos(e)))
         if e.family == "localdatetime":
-            return F.regexp_replace(e.col.cast("string"), " ", "T")
+            return local
+        return F.concat(local, offset_text(e.col["utc_offset"]), F.coalesce(F.concat(F.lit("["), e.col["zone"], F.lit("]")), F.lit("")))
+    if e.family != "duration":
         return e.col.cast("string")
     c = e.col
     put = lambda v, u: F.when(v != 0, F.concat(v.cast("string"), F.lit(u))).otherwise(F.lit(""))

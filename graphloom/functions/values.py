@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 from ..errors import CypherTypeError
 
 DURATION = T.StructType([T.StructField("months", T.LongType()), T.StructField("days", T.LongType()), T.StructField("seconds", T.LongType()), T.StructField("nanos", T.LongType())])
+LOCALTIME = T.StructType([T.StructField("localtime_nanos", T.LongType())])
+TIME = T.StructType([T.StructField("time_nanos", T.LongType()), T.StructField("time_offset", T.IntegerType())])
+ZONED = T.StructType([T.StructField("utc", T.TimestampNTZType()), T.StructField("utc_offset", T.IntegerType()), T.StructField("zone", T.StringType())])
 PATH = T.StructType([T.StructField("nodes", T.ArrayType(T.LongType())), T.StructField("rels", T.ArrayType(T.LongType()))])
 
 
@@ -19,7 +22,7 @@ PATH = T.StructType([T.StructField("nodes", T.ArrayType(T.LongType())), T.Struct
 class E:
     col: Column
     t: T.DataType
-    kind: str = "value"  # value, node, rel, path, map, duration
+    kind: str = "value"  # value, node, rel, path, map, duration, localtime, time, zoned
     literal: Any = None
 
     @property
@@ -51,8 +54,9 @@ class E:
 def kind_of(t: T.DataType) -> str:
     if isinstance(t, T.StructType):
         names = t.names
-        if t == DURATION:
-            return "duration"
+        for known, kind in ((DURATION, "duration"), (LOCALTIME, "localtime"), (TIME, "time"), (ZONED, "zoned")):
+            if names == known.names:
+                return kind
         if names[:2] == ["nodes", "rels"] and len(names) == 2:
             return "path"
         if "_src" in names:

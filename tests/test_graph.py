@@ -94,7 +94,13 @@ def one(spark, text, **params):
         ("date('2015-W30-2')", dt.date(2015, 7, 21)), ("date('2015-202')", dt.date(2015, 7, 21)), ("date({year: 2015, quarter: 3, dayOfQuarter: 21})", dt.date(2015, 7, 21)), ("date('2015-07-21').week", 30), ("date('2015-07-21').dayOfQuarter", 21),
         ("date.truncate('decade', date('2017-05-05'))", dt.date(2010, 1, 1)), ("date.truncate('week', date('2017-05-05'))", dt.date(2017, 5, 1)), ("date('2020-01-31') + duration('P1M')", dt.date(2020, 2, 29)),
         ("toString(duration('P1Y2M3DT4H5M6.5S'))", "P1Y2M3DT4H5M6.5S"), ("duration({days: 1.5}).hours", 12), ("duration.between(date('2020-01-31'), date('2020-03-01')).months", 1), ("duration.inDays(date('2020-01-01'), date('2020-03-01')).days", 60),
-        ("localdatetime('2020-01-02T03:04:05').minute", 4), ("(duration('P1D') + duration('PT1H')).seconds", 3600),
+        ("localdatetime('2020-01-02T03:04:05').minute", 4), ("toString(localtime('12:31:14.645876123'))", "12:31:14.645876123"), ("toString(localtime({hour: 12, minute: 5}))", "12:05"), ("toString(time('214032+0100'))", "21:40:32+01:00"), ("time('10:00+01:00') = time('09:00Z')", True), ("time('10:00+01:00') < time('09:30Z')", True),
+        ("toString(localtime('23:30') + duration('PT1H'))", "00:30"), ("localtime('12:31:14.645').millisecond", 645), ("time('12:31+01:30').offsetMinutes", 90),
+        ("toString(datetime('2015-07-21T21:40:32.142+0100'))", "2015-07-21T21:40:32.142+01:00"), ("toString(datetime('2015-07-21T21:40[Europe/Berlin]'))", "2015-07-21T21:40+02:00[Europe/Berlin]"), ("toString(datetime({year: 2020, month: 1, day: 31, hour: 5, timezone: '-02:00'}) + duration('P1MT3H'))", "2020-02-29T08:00-02:00"),
+        ("datetime('2020-01-01T01:00+01:00') = datetime('2020-01-01T00:00Z')", True), ("datetime('2020-01-01T01:00+01:00').epochSeconds", 1577836800), ("datetime('2020-01-01T01:00+01:00').hour", 1), ("toString(datetime.truncate('day', datetime('2020-05-01T13:00+02:00')))", "2020-05-01T00:00+02:00"),
+        ("toString(localdatetime('2015-W30-2T214032.142'))", "2015-07-21T21:40:32.142"), ("toString(date(datetime('2020-01-01T23:00-05:00')))", "2020-01-01"), ("toString(datetime.fromepochmillis(1000))", "1970-01-01T00:00:01Z"), ("duration.between(localtime('10:00'), localtime('11:30')).minutes", 90),
+        ("toString(localtime.truncate('minute', localtime('10:11:12.5')))", "10:11"), ("toString(time({time: localtime('10:11'), timezone: '+01:00'}))", "10:11+01:00"),
+        ("(duration('P1D') + duration('PT1H')).seconds", 3600),
     ],
 )
 def test_values(spark, text, want):
