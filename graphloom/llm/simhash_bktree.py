@@ -231,5 +231,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     members = linked.unionByName(roots)
     smallest = members.groupBy("root").agg(F.min("rep").alias("least"))
     moved = members.join(smallest, "root").select(F.col("node").alias("fp"), "least")
-    where = distinct.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    # written, so that both sides of the last join are dealt anew and a hot fingerprint's part can be split
+    where = stage(distinct.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")), "simhash-components")
     return fps.join(where, "fp").select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
