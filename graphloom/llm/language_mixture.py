@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 BUCKETS = 1 << 16
 #: Each language is learnt from at most this many rows (SALTS strata of equal size, by hash of the id).
-ROWS_PER_LANGUAGE, SALTS = 1024, 32
+ROWS_PER_LANGUAGE, SALTS = 1024, 256
 #: More label values than this are an error: the model is LANGUAGES x BUCKETS numbers at most.
 LANGUAGES = 256
 UNDETERMINED = "und"
