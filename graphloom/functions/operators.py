@@ -157,7 +157,7 @@ def contains(x: E, l: E) -> E:
         raise CypherTypeError("IN needs a list")
     if isinstance(l.t.elementType, T.NullType):
         return truth(F.when(F.size(l.col) == 0, F.lit(False)))
-    if isinstance(l.literal, list) and l.literal and x.family in ("int", "float", "string") and all(isinstance(v, str) == (x.family == "string") for v in l.literal):
+    if isinstance(l.literal, list) and l.literal and x.family in ("int", "float", "string") and all(isinstance(v, str if x.family == "string" else (int, float)) and not isinstance(v, bool) for v in l.literal):
         return truth(x.col.isin(l.literal))  # reaches the scan
     return truth(F.when(F.size(l.col) == 0, F.lit(False)).otherwise(F.exists(l.col, lambda y: equal(x, l.item(y)))))
 

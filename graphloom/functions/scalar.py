@@ -188,11 +188,11 @@ FUNCTIONS = {
     "duration.inmonths": lambda a, b: temporal.between(a, b, "inmonths"),
     "duration.indays": lambda a, b: temporal.between(a, b, "indays"),
     "duration.inseconds": lambda a, b: temporal.between(a, b, "inseconds"),
-    "date.truncate": lambda u, e: temporal.truncate("date", u, e),
-    "localdatetime.truncate": lambda u, e: temporal.truncate("localdatetime", u, e),
-    "datetime.truncate": lambda u, e: temporal.truncate("datetime", u, e),
-    "localtime.truncate": lambda u, e: temporal.truncate("localtime", u, e),
-    "time.truncate": lambda u, e: temporal.truncate("time", u, e),
+    "date.truncate": lambda u, e, parts=None: temporal.truncate("date", u, e, parts),
+    "localdatetime.truncate": lambda u, e, parts=None: temporal.truncate("localdatetime", u, e, parts),
+    "datetime.truncate": lambda u, e, parts=None: temporal.truncate("datetime", u, e, parts),
+    "localtime.truncate": lambda u, e, parts=None: temporal.truncate("localtime", u, e, parts),
+    "time.truncate": lambda u, e, parts=None: temporal.truncate("time", u, e, parts),
 }
 NOW = {f"{k}{s}": k for k in ("date", "localtime", "time", "localdatetime", "datetime") for s in ("", ".transaction", ".statement", ".realtime")}
 #: A null argument makes these null whatever the others are.

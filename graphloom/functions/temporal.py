@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import CypherTypeError
-from .values import DURATION, LOCALTIME, NULL, TIME, ZONED, E, kind_of
+from .values import DURATION, LOCALTIME, NULL, TIME, ZONED, E, kind_of, make_map
 
 _UNITS = {"years": (12, 0, 0), "quarters": (3, 0, 0), "months": (1, 0, 0), "weeks": (0, 7, 0), "days": (0, 1, 0), "hours": (0, 0, 3600), "minutes": (0, 0, 60), "seconds": (0, 0, 1), "milliseconds": (0, 0, 1e-3), "microseconds": (0, 0, 1e-6), "nanoseconds": (0, 0, 1e-9)}
 MONTH_DAYS = 30.436875
@@ -54,7 +54,11 @@ def duration(arg: E) -> E:
     months = part(date_part + n + "Y") * 12 + part(date_part + n + "M")
     days = part(date_part + n + "W") * 7 + part(date_part + n + "D")
     seconds = part(time_part + n + "H") * 3600 + part(time_part + n + "M") + part(time_part + n + "M") * 59 + part(time_part + n + "S")
-    return make_duration(months, days, seconds)
+    combined = r"^P(\d{4})-(\d{2})-(\d{2})(?:T(\d{2}):(\d{2})(?::(\d{2}(?:\.\d+)?))?)?$"
+    alike = F.regexp_extract(arg.col, combined, 1) != ""
+    num = lambda g: F.coalesce(F.nullif(F.regexp_extract(arg.col, combined, g), F.lit("")).cast("double"), F.lit(0.0))
+    either = lambda a, b: F.when(alike, a).otherwise(b)
+    return make_duration(either(num(1) * 12 + num(2), months), either(num(3), days), either(num(4) * 3600 + num(5) * 60 + num(6), seconds))
 
 
 def date(arg: E) -> E:
@@ -96,11 +100,13 @@ def _date_of(arg: E) -> Column:
     if "week" in names:
         y = get("year", F.date_part(F.lit("YEAROFWEEK"), day).cast("int") if base else None)
         return week_date(y, get("week", None), get("dayOfWeek", F.weekday(day) + 1 if base else F.lit(1)))
+    if base and "dayOfWeek" in names:
+        return F.date_add(day, arg.col["dayOfWeek"].cast("int") - 1 - F.weekday(day))
     y = get("year", F.year(day) if base else None)
     if "ordinalDay" in names:
         return F.date_add(F.make_date(y, F.lit(1), F.lit(1)), get("ordinalDay", None) - 1)
-    if "quarter" in names:
-        first = F.make_date(y, get("quarter", None) * 3 - 2, F.lit(1))
+    if "quarter" in names or base and "dayOfQuarter" in names:
+        first = F.make_date(y, get("quarter", F.quarter(day) if base else None) * 3 - 2, F.lit(1))
         if "dayOfQuarter" in names:
             return F.date_add(first, get("dayOfQuarter", None) - 1)
         return first
@@ -203,8 +209,13 @@ def time(arg: E) -> E:
         local, offset, _ = _split_zone(F.regexp_replace(arg.col, "^.*T", ""))
         nanos, seconds = clock(local), F.coalesce(offset_of(offset), F.lit(0))
     elif arg.kind == "map":
-        nanos = _nanos_of(arg)
-        seconds = offset_of(arg.col["timezone"]) if "timezone" in arg.t.names else F.lit(0)
+        nanos, old = _nanos_of(arg), None
+        if "time" in arg.t.names:
+            base = E(arg.col["time"], arg.t["time"].dataType, kind_of(arg.t["time"].dataType))
+            old = base.col["time_offset"] if base.family == "time" else base.col["utc_offset"] if base.family == "zoned" else None
+        seconds = offset_of(arg.col["timezone"]) if "timezone" in arg.t.names else F.lit(0) if old is None else old
+        if old is not None and "timezone" in arg.t.names:  # the same instant in another zone
+            nanos = F.pmod(nanos + (seconds - old).cast("long") * 1000000000, F.lit(DAY))
     else:
         nanos = local_nanos(arg)
         seconds = arg.col["time_offset"] if arg.family == "time" else arg.col["utc_offset"] if arg.family == "zoned" else F.lit(0)
@@ -226,6 +237,17 @@ def localdatetime(arg: E) -> E:
     return E(local_of(arg), t)
 
 
+def _moved_base(arg: E, offset: Column, zone: Column) -> E:
+    """A map whose zoned datetime becomes the local one of the same instant in another zone."""
+    if "datetime" not in arg.t.names or kind_of(arg.t["datetime"].dataType) != "zoned":
+        return arg
+    utc = arg.col["datetime"]["utc"]
+    fixed = utc + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), offset.cast("decimal(18,6)"))
+    named = F.from_utc_timestamp(utc.cast("timestamp"), zone).cast("timestamp_ntz")
+    moved = E(F.when(offset.isNotNull(), fixed).otherwise(named), T.TimestampNTZType())
+    return make_map([(f.name, moved if f.name == "datetime" else E(arg.col[f.name], f.dataType, kind_of(f.dataType))) for f in arg.t])
+
+
 def zoned(arg: E) -> E:
     """A date-time with an offset or a named zone, kept as its UTC instant, offset and zone; UTC if none is given."""
     if arg.family == "zoned":
@@ -242,6 +264,7 @@ def zoned(arg: E) -> E:
             z = arg.col["timezone"]
             offset = F.when(offset_of(z).isNotNull(), z)
             zone = F.when(offset_of(z).isNull(), z)
+            local = _moved_base(arg, offset_of(offset), zone)
         ts = localdatetime(local).col
     fixed = offset_of(offset)
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
@@ -387,8 +410,36 @@ def clock_text(n: Column) -> Column:
 _CLOCK_UNITS = {"day": DAY, "hour": 3600000000000, "minute": 60000000000, "second": 1000000000, "millisecond": 1000000, "microsecond": 1000}
 
 
-def truncate(kind: str, unit: E, e: E) -> E:
-    return once(e, lambda x: _truncate(kind, unit, x))
+def truncate(kind: str, unit: E, e: E, parts: E | None = None) -> E:
+    """The value cut to the unit; parts (a map) then replace single components."""
+    out = once(e, lambda x: _truncate(kind, unit, x))
+    if parts is None or isinstance(parts.t, T.NullType):
+        return out
+    if parts.kind != "map":
+        raise CypherTypeError(f"{kind}.truncate() takes a map of components")
+    return once(out, lambda x: _replaced(kind, x, parts))
+
+
+def _replaced(kind: str, e: E, parts: E) -> E:
+    fields = [(f.name, E(parts.col[f.name], f.dataType, kind_of(f.dataType))) for f in parts.t if not f.name.startswith("_")]
+    sub_second = ("millisecond", "microsecond", "nanosecond")
+    if kind != "date" and {n for n, _ in fields} & set(sub_second):
+        # finer components than the given ones stay as they were cut
+        given = {n for n, _ in fields}
+        nanos = component(e, "nanosecond").col
+        left = {"millisecond": F.call_function("div", nanos, F.lit(1000000)), "microsecond": F.call_function("div", nanos, F.lit(1000)) % 1000, "nanosecond": nanos % 1000}
+        fields += [(n, E(left[n], T.LongType())) for n in sub_second if n not in given]
+    if kind == "date":
+        return date(make_map([("date", e), *fields]))
+    if kind in ("localtime", "time"):
+        return (localtime if kind == "localtime" else time)(make_map([("time", e), *fields]))
+    if kind == "localdatetime":
+        return localdatetime(make_map([("date", e), ("time", e), *fields]))
+    wall = E(local_of(e), T.TimestampNTZType())
+    if "timezone" not in parts.t.names:
+        zone = F.coalesce(e.col["zone"], offset_text(e.col["utc_offset"]))
+        fields.append(("timezone", E(zone, T.StringType())))
+    return zoned(make_map([("date", wall), ("time", wall), *fields]))
 
 
 def _truncate(kind: str, unit: E, e: E) -> E:
@@ -406,9 +457,10 @@ def _truncate(kind: str, unit: E, e: E) -> E:
         if e.family != "zoned":
             return once(zoned(e), lambda x: _truncate(kind, unit, x))
         z = e
-        local = _truncate("localdatetime", unit, z).col
-        utc = local - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), z.col["utc_offset"].cast("decimal(18,6)"))
-        return E(F.struct(utc.alias("utc"), z.col["utc_offset"].alias("utc_offset"), z.col["zone"].alias("zone")), ZONED, "zoned")
+        # the offset of a named zone can be another one at the cut instant
+        local = _truncate("localdatetime", unit, z)
+        zone = F.coalesce(z.col["zone"], offset_text(z.col["utc_offset"]))
+        return zoned(make_map([("datetime", local), ("timezone", E(zone, T.StringType()))]))
     ts = local_of(e)
     years = {"millennium": 1000, "century": 100, "decade": 10}
     if u in years:

@@ -882,7 +882,13 @@ class Compiler:
         return op.compare(x.args[0], self.ex(x.args[1], scope), self.ex(x.args[2], scope))
 
     def ex_in(self, x, scope):
-        return op.contains(self.ex(x.args[0], scope), self.ex(x.args[1], scope))
+        needle, l = x.args
+        if l.op == "list" and l.args:
+            items = [self.ex(y, scope) for y in l.args]
+            if len({"number" if e.numeric else e.family for e in items} - {"null"}) > 1:  # no column holds such a list, but it needs none
+                e = self.ex(needle, scope)
+                return op.truth(reduce(lambda a, b: a | b, [op.equal(e, y) for y in items]))
+        return op.contains(self.ex(needle, scope), self.ex(l, scope))
 
     def text_test(self, x, scope, f):
         a, b = (self.ex(y, scope) for y in x.args)

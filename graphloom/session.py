@@ -146,6 +146,33 @@ class GraphSession:
     def execute_batch(self, text: str, params: dict | None = None) -> list[DataFrame]:
         return [self.cypher(s, params) for s in split_batch(text)]
 
+    def execute_batch_grouped(self, text: str, size: int, params: dict | None = None) -> list[DataFrame]:
+        """As execute_batch(), with one transaction for each so many statements; an error takes back its group alone."""
+        if size < 1:
+            raise GraphError("a group has one statement at least")
+        statements, out = split_batch(text), []
+        for i in range(0, len(statements), size):
+            self.begin()
+            try:
+                out += [self.cypher(s, params) for s in statements[i : i + size]]
+            except Exception:
+                if self._saved is not None:
+                    self.rollback()
+                raise
+            self.commit()
+        return out
+
+    def introspect_schema(self) -> dict:
+        """Labels and relationship types with the types of their properties, from the catalogue alone (no job runs)."""
+        props = lambda t: {n: k for n, k in t.dtypes if not n.startswith("_")}
+        labels: dict = {}
+        for names, t in self.graph.nodes.items():
+            for label in names:
+                labels.setdefault(label, {}).update(props(t))
+        ends = {k: {"from": sorted(a), "to": sorted(b)} for k, (a, b) in self.graph.ends.items()}
+        rels = {k: {"properties": props(t), **ends.get(k, {"from": [], "to": []})} for k, t in self.graph.rels.items()}
+        return {"labels": dict(sorted(labels.items())), "relationships": dict(sorted(rels.items())), "indexes": [{"label": a, "property": b, "unique": u} for (a, b), u in sorted(self.graph.indexes.items())]}
+
     def query_arrow(self, text: str, params: dict | None = None):
         return self.cypher(text, params).toArrow()
 

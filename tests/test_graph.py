@@ -101,6 +101,14 @@ def one(spark, text, **params):
         ("toString(localdatetime('2015-W30-2T214032.142'))", "2015-07-21T21:40:32.142"), ("toString(date(datetime('2020-01-01T23:00-05:00')))", "2020-01-01"), ("toString(datetime.fromepochmillis(1000))", "1970-01-01T00:00:01Z"), ("duration.between(localtime('10:00'), localtime('11:30')).minutes", 90),
         ("toString(localtime.truncate('minute', localtime('10:11:12.5')))", "10:11"), ("toString(time({time: localtime('10:11'), timezone: '+01:00'}))", "10:11+01:00"),
         ("(duration('P1D') + duration('PT1H')).seconds", 3600),
+        ("toString(duration('P2012-02-02T14:37:21.545'))", "P2012Y2M2DT14H37M21.545S"), ("toString(duration('P0.5Y'))", "P6M"),
+        ("toString(date.truncate('year', date('2017-05-05'), {day: 5}))", "2017-01-05"), ("toString(date.truncate('week', date('2017-05-05'), {dayOfWeek: 2}))", "2017-05-02"), ("toString(localdatetime.truncate('day', localdatetime('2017-05-05T10:11'), {hour: 3, millisecond: 7}))", "2017-05-05T03:00:00.007"),
+        ("toString(localtime.truncate('millisecond', localtime('10:11:12.345678'), {nanosecond: 2}))", "10:11:12.345000002"), ("toString(time.truncate('hour', time('10:11+02:00'), {minute: 9}))", "10:09+02:00"),
+        ("toString(datetime.truncate('year', datetime('2017-05-05T10:00+02:00'), {day: 2}))", "2017-01-02T00:00+02:00"), ("toString(datetime.truncate('month', datetime('2017-05-05T10:00Z'), {timezone: '+03:00'}))", "2017-05-01T00:00+03:00"), ("toString(datetime.truncate('year', datetime('2017-07-05T10:00[Europe/Berlin]')))", "2017-01-01T00:00+01:00[Europe/Berlin]"),
+        ("date.truncate('year', null, {day: 5})", None), ("toString(date({date: date('2015-05-12'), dayOfQuarter: 1}))", "2015-04-01"),
+        ("toString(datetime({datetime: datetime('2015-01-01T10:00+03:00'), timezone: 'Europe/Stockholm'}))", "2015-01-01T08:00+01:00[Europe/Stockholm]"), ("toString(datetime({datetime: localdatetime('2015-01-01T10:00'), timezone: '+02:00'}))", "2015-01-01T10:00+02:00"),
+        ("toString(time({time: time('10:00+01:00'), timezone: '+03:00'}))", "12:00+03:00"), ("toString(time({time: time('10:00+01:00'), hour: 4}))", "04:00+01:00"),
+        ("1 IN [[1]]", False), ("1 IN [true]", False), ("1 IN ['a', 1.0]", True), ("2 IN ['a', 1, null]", None), ("'a' IN [1, [2], 'b']", False),
     ],
 )
 def test_values(spark, text, want):
@@ -174,6 +182,33 @@ def test_transactions_batches_and_storage(spark, tmp_path):
         s.cypher("UNWIND range(1, 10) AS x RETURN x", max_rows=5)
 
 
+def test_groups_of_statements_and_schema(spark):
+    s = GraphSession.in_memory(spark)
+    s.execute_batch_grouped("CREATE (:A {x: 1}); CREATE (:A {x: 2}); CREATE (:B:C {y: 'b'})-[:R {w: 1.5}]->(:A {x: 3})", 2)
+    with pytest.raises(UnboundVariable):
+        s.execute_batch_grouped("CREATE (:A {x: 4}); CREATE (:A {x: 5}); CREATE (:A {x: 6}); RETURN nobody", 2)
+    assert rows(s.cypher("MATCH (a:A) RETURN a.x AS x ORDER BY x")) == [(1,), (2,), (3,), (4,), (5,)]
+    schema = s.introspect_schema()
+    assert schema["labels"] == {"A": {"x": "bigint"}, "B": {"y": "string"}, "C": {"y": "string"}}
+    assert schema["relationships"]["R"]["properties"] == {"w": "double"}
+    with pytest.raises(GraphError):
+        s.execute_batch_grouped("RETURN 1 AS x", 0)
+
+
+def test_command_line(spark):
+    import io
+
+    from graphloom.__main__ import prompt
+
+    out = io.StringIO()
+    text = "UNWIND [1, 2, 3]\nAS x RETURN x;\nRETURN y;\n\n.labels\n.schema\n.what\n.help\nRETURN 'a;b' AS s; RETURN 2 AS t;\n.quit\nRETURN 5 AS never;\n"
+    prompt(GraphSession.in_memory(spark), 2, io.StringIO(text), out)
+    said = out.getvalue()
+    assert '{"x":2}' in said and '{"x":3}' not in said and "more than 2 rows" in said
+    assert "UnboundVariable" in said and '"labels": {}' in said and "unknown command .what" in said
+    assert '{"s":"a;b"}' in said and '{"t":2}' in said and "never" not in said
+
+
 def test_procedures(spark):
     s = GraphSession.in_memory(spark)
     s.register("my.pair", [("n", "INTEGER")], [("a", "INTEGER"), ("b", "INTEGER")], lambda g, n: g.spark.createDataFrame([(n, n * 2)], "a long, b long"))
