@@ -25,6 +25,9 @@ from .syntax import Clause, NodePattern, PathPattern, Projection, Query, RelPatt
 ALL = None
 MAX_HOPS = 30
 
+#: The place of a row in the order that a WITH gave.
+SEQUENCE = "_sequence"
+
 
 class Uses(dict):
     """variable -> names of the fields read, or ALL."""
@@ -741,6 +744,8 @@ class Compiler:
             df = df.limit(self.amount(p.limit, "LIMIT"))
         keep = [*outer, *out.vars]
         df = df.select(*[F.col(f"`{n}`") for n in keep])
+        if sort and not last:  # partitions of a sorted frame are in order, and so are these numbers
+            df = df.withColumn(SEQUENCE, F.monotonically_increasing_id())
         return Frame(df, out.vars)
 
     def distinct(self, df: DataFrame, made: dict[str, E], outer: list[str]) -> DataFrame:
@@ -766,7 +771,7 @@ class Compiler:
         def collect(e: X):
             if e.op == "agg":
                 if e not in aggs:
-                    aggs[e] = (self.fresh("a"), self.agg(e, frame.vars))
+                    aggs[e] = (self.fresh("a"), self.agg(e, frame.vars, SEQUENCE in frame.df.columns))
                 return
             for a in e.args:
                 for b in a if isinstance(a, tuple) else (a,):
@@ -806,7 +811,8 @@ class Compiler:
         out = df.select(*outer, *[v.col.alias(n) for n, v in made.items()], *[v.col.alias(n) for n, v in extra.items()])
         return Frame(out, {n: frame.var(n, v.t, v.kind) for n, v in made.items()}), sort
 
-    def agg(self, x: X, scope) -> E:
+    def agg(self, x: X, scope, ordered: bool = False) -> E:
+        """ordered: the rows have their place in a column, which collect() goes by."""
         name, distinct, args = x.args
         if name == "count" and not args:
             return E(F.count(F.lit(1)), T.LongType())
@@ -827,6 +833,10 @@ class Compiler:
             if e.family in ("node", "map", "rel"):
                 raise CypherTypeError(f"{name}() doesn't take a {e.family}")
             return E(F.min(c) if name == "min" else F.max(c), e.t, e.kind)
+        if name == "collect" and ordered and not isinstance(e.t, T.NullType):
+            placed = F.sort_array(F.collect_list(F.when(c.isNotNull(), F.struct(F.col(SEQUENCE).alias("s"), c.alias("v")))))
+            values = F.transform(placed, lambda x: x["v"])
+            return E(F.array_distinct(values) if distinct else values, T.ArrayType(e.t))
         if name == "collect":
             return E(F.collect_set(c) if distinct else F.collect_list(c), T.ArrayType(e.t))
         p = self.ex(args[1], scope)

@@ -146,6 +146,22 @@ def test_aggregates(spark):
     assert q("UNWIND [1, 1, 2] AS x WITH DISTINCT x RETURN sum(x) AS s UNION ALL RETURN 3 AS s") == [(3,), (3,)]
 
 
+def test_collect_keeps_the_order_of_with(spark):
+    s, key = GraphSession.in_memory(spark), "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")  # so that the sorted rows are in several partitions
+    try:
+        got = dict(rows(s.cypher("UNWIND range(1, 3000) AS x WITH x, x % 3 AS k ORDER BY (x * 7919) % 3001 DESC WHERE x <> 5 RETURN k, collect(x) AS l")))
+        want = sorted((x for x in range(1, 3001) if x != 5), key=lambda x: -((x * 7919) % 3001))
+        assert got == {k: [x for x in want if x % 3 == k] for k in range(3)}
+        assert rows(s.cypher("UNWIND [3, null, 1, 3, 2] AS x WITH x ORDER BY x DESC RETURN collect(DISTINCT x) AS l, count(*) AS n")) == [([3, 2, 1], 5)]
+        assert rows(s.cypher("UNWIND range(1, 50) AS x WITH x ORDER BY x DESC SKIP 2 LIMIT 4 UNWIND [x, -x] AS y WITH collect(y) AS l UNWIND l AS z RETURN sum(z) AS t, max(z) AS m")) == [(0, 48)]
+        assert rows(s.cypher("UNWIND [2, 1] AS x WITH x ORDER BY x WITH * RETURN *")) == [(1,), (2,)]
+        assert rows(s.cypher("UNWIND [] AS x WITH x ORDER BY x RETURN collect(x) AS l")) == [([],)]
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_writes(spark):
     s = GraphSession.in_memory(spark)
     _, st = s.execute_with_stats("UNWIND [1, 2, 2, 3] AS k MERGE (n:K {k: k}) ON CREATE SET n.new = true")
