@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import CypherTypeError
-from .values import DURATION, NULL, E, common, make_list, to
+from .values import DURATION, MIXED, NULL, RANKS, E, common, kind_of, make_list, pack, to
 
 _BOOL = T.BooleanType()
 
@@ -24,6 +24,10 @@ def equal(a: E, b: E) -> Column:
     fa, fb = a.family, b.family
     if "null" in (fa, fb):
         return F.lit(None).cast("boolean")
+    if "mixed" in (fa, fb):
+        if {fa, fb} - {"mixed", *RANKS}:
+            return both_known(a.col, b.col, False)
+        return _mixed(a, b, lambda x, y: x == y, F.lit(False))
     if {fa, fb} <= {"node", "rel"}:
         return a.col["_id"] == b.col["_id"] if fa == fb else both_known(a.col, b.col, False)
     if a.numeric and b.numeric:
@@ -44,11 +48,20 @@ def equal(a: E, b: E) -> Column:
             return both_known(a.col, b.col, False)
         out = F.lit(True)
         for f in a.t:
-            out = out & equal(E(a.col[f.name], f.dataType), E(b.col[f.name], b.t[f.name].dataType))
+            out = out & equal(prop(a, f.name), prop(b, f.name))
         return out
     return a.col == b.col
 
 
+def _mixed(a: E, b: E, test, other: Column) -> Column:
+    """test() on the values of mixed ones if both are of one type; NaN passes none."""
+    x, y = pack(a), pack(b)
+    ints = x["mixed_int"].isNotNull() & y["mixed_int"].isNotNull()
+    numbers = test(x["mixed_number"], y["mixed_number"]) & ~F.isnan(x["mixed_number"]) & ~F.isnan(y["mixed_number"])
+    same = F.when(x["mixed_rank"] == 1, test(x["mixed_text"], y["mixed_text"])).when(ints, test(x["mixed_int"], y["mixed_int"])).otherwise(numbers)
+    return F.when(x["mixed_rank"].isNotNull() & y["mixed_rank"].isNotNull(), F.when(x["mixed_rank"] == y["mixed_rank"], same).otherwise(other))
+
+
 def compare(op: str, a: E, b: E) -> E:
     if op == "=":
         return truth(equal(a, b))
@@ -56,6 +69,9 @@ def compare(op: str, a: E, b: E) -> E:
         return truth(~equal(a, b))
     if a.family in ("node", "rel", "path") or b.family in ("node", "rel", "path"):
         raise CypherTypeError("nodes, relationships and paths have no order")
+    if "mixed" in (a.family, b.family) and not {a.family, b.family} - {"mixed", *RANKS}:
+        test = {"<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}[op]
+        return truth(_mixed(a, b, test, F.lit(None).cast("boolean")))
     same = a.numeric and b.numeric or a.family == b.family and a.family in ("string", "bool", "date", "localdatetime", "datetime", "list")
     if a.family == b.family and a.family in CLOCKS:
         a, b, same = E(instant(a), T.LongType()), E(instant(b), T.LongType()), True
@@ -114,7 +130,9 @@ def arith(op: str, a: E, b: E) -> E:
             t = common(b.t.elementType, a.t)
             return E(F.array_prepend(to(b, T.ArrayType(t)), to(a, t)), T.ArrayType(t))
         if "string" in (fa, fb):
-            return E(F.concat(a.col.cast("string"), b.col.cast("string")), T.StringType())
+            return E(F.concat(mixed_text(a) if fa == "mixed" else a.col.cast("string"), mixed_text(b) if fb == "mixed" else b.col.cast("string")), T.StringType())
+    if "mixed" in (fa, fb) and not {fa, fb} - {"mixed", *RANKS}:
+        return _mixed_arith(op, a, b)
     if op in "+-" and fb == "duration":
         if fa == "duration":
             return duration_sum(a.col, b.col, 1 if op == "+" else -1)
@@ -139,6 +157,26 @@ def arith(op: str, a: E, b: E) -> E:
     return E({"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: x / y, "%": lambda: x % y}[op](), T.DoubleType())
 
 
+def mixed_text(e: E) -> Column:
+    x = e.col
+    number = F.coalesce(x["mixed_int"].cast("string"), x["mixed_number"].cast("string"))
+    return F.when(x["mixed_rank"] == 1, x["mixed_text"]).when(x["mixed_rank"] == 2, (x["mixed_number"] != 0).cast("string")).otherwise(number)
+
+
+def _mixed_arith(op: str, a: E, b: E) -> E:
+    """Numbers as ever, whole ones stay whole; + joins texts; anything else is an error when it is met."""
+    x, y = E(pack(a), MIXED, "mixed"), E(pack(b), MIXED, "mixed")
+    ints = x.col["mixed_int"].isNotNull() & y.col["mixed_int"].isNotNull()
+    part = lambda e, name, t, when: E(F.when(when, e.col[name]), t)
+    whole = pack(arith(op, part(x, "mixed_int", T.LongType(), ints), part(y, "mixed_int", T.LongType(), ints)))
+    numbers = (x.col["mixed_rank"] == 3) & (y.col["mixed_rank"] == 3)
+    real = pack(arith(op, part(x, "mixed_number", T.DoubleType(), numbers), part(y, "mixed_number", T.DoubleType(), numbers)))
+    out = F.when(x.col.isNull() | y.col.isNull(), F.lit(None).cast(MIXED)).when(ints, whole).when(numbers, real)
+    if op == "+":
+        out = out.when((x.col["mixed_rank"] == 1) | (y.col["mixed_rank"] == 1), pack(E(F.concat(mixed_text(x), mixed_text(y)), T.StringType())))
+    return E(out.otherwise(F.raise_error(F.lit(f"values of these types have no {op}")).cast(MIXED)), MIXED, "mixed")
+
+
 def scale(d: Column, k: Column) -> E:
     """A duration times a number; fractions go down to the next unit (a month is 30.436875 days)."""
     months = d["months"] * k
@@ -177,8 +215,8 @@ def index(l: E, i: E) -> E:
             t = common(t, f.dataType)
         out = F.lit(None)
         for f in fields:
-            out = F.when(i.col == f.name, l.col[f.name].cast(t)).otherwise(out)
-        return E(out, t)
+            out = F.when(i.col == f.name, to(prop(l, f.name), t)).otherwise(out)
+        return E(out, t, kind_of(t))
     raise CypherTypeError(f"{l.family}[{i.family}]")
 
 
@@ -192,7 +230,7 @@ def prop(base: E, key: str) -> E:
     if isinstance(base.t, T.StructType):
         if key in base.t.names and not key.startswith("_"):
             t = base.t[key].dataType
-            return E(base.col[key], t, "value" if not isinstance(t, T.StructType) else "map" if t != DURATION else "duration")
+            return E(base.col[key], t, kind_of(t))
         return NULL
     raise CypherTypeError(f"a {base.family} has no properties")
 

@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from ..errors import CypherTypeError, SemanticError
 from . import temporal
-from .values import DURATION, NULL, E, common, make_list, to
+from .operators import mixed_text
+from .values import DURATION, NULL, E, common, kind_of, make_list, to
 
 _L, _D, _S, _B = T.LongType(), T.DoubleType(), T.StringType(), T.BooleanType()
 #: What Unicode calls white space.
@@ -25,7 +26,17 @@ def _number(e: E, name: str) -> E:
     return e
 
 
+def by_type(e: E, **each) -> Column:
+    """What a function of strings, booleans or numbers gives for a mixed value."""
+    x = e.col
+    of = lambda name: each[name](x).col if name in each else F.lit(None)
+    return F.when(x["mixed_rank"] == 1, of("string")).when(x["mixed_rank"] == 2, of("bool")).when(x["mixed_rank"] == 3, of("number"))
+
+
 def to_integer(e: E) -> E:
+    if e.family == "mixed":
+        whole = lambda x: F.coalesce(x["mixed_int"], x["mixed_number"].try_cast("long"))
+        return E(by_type(e, string=lambda x: to_integer(E(x["mixed_text"], _S)), number=lambda x: E(whole(x), _L)), _L)
     if e.family == "bool":
         return E(F.lit(None).cast("long"), _L)
     if e.family == "string":
@@ -37,6 +48,8 @@ def to_integer(e: E) -> E:
 
 
 def to_float(e: E) -> E:
+    if e.family == "mixed":
+        return E(by_type(e, string=lambda x: to_float(E(x["mixed_text"], _S)), number=lambda x: E(x["mixed_number"], _D)), _D)
     if e.family == "string":
         return E(F.btrim(e.col).try_cast("double"), _D)
     return E(_number(e, "toFloat").col.cast("double"), _D)
@@ -45,6 +58,8 @@ def to_float(e: E) -> E:
 def to_boolean(e: E) -> E:
     if e.family == "bool":
         return e
+    if e.family == "mixed":
+        return E(by_type(e, string=lambda x: to_boolean(E(x["mixed_text"], _S)), bool=lambda x: E(x["mixed_number"] != 0, _B)), _B)
     if e.family != "string":
         raise CypherTypeError("toBoolean() takes a string or a boolean")
     s = F.lower(F.btrim(e.col))
@@ -54,17 +69,23 @@ def to_boolean(e: E) -> E:
 def to_string(e: E) -> E:
     if e.family in ("list", "map", "node", "rel", "path"):
         raise CypherTypeError(f"toString() doesn't take a {e.family}")
+    if e.family == "mixed":
+        return E(mixed_text(e), _S)
     return E(temporal.text(e), _S)
 
 
 def size(e: E) -> E:
     if e.family == "list":
         return E(F.size(e.col).cast("long"), _L)
-    if e.family == "string":
-        return E(F.length(e.col).cast("long"), _L)
+    if e.family in ("string", "mixed"):
+        return E(F.length(e.col if e.family == "string" else e.col["mixed_text"]).cast("long"), _L)
     raise CypherTypeError("size() takes a list or a string")
 
 
+def _no_path(e: E) -> E:
+    raise CypherTypeError(f"length() takes a path, not a {e.family}")
+
+
 def range_(a: E, b: E, step: E | None = None) -> E:
     s = step.col.cast("long") if step else F.lit(1).cast("long")
     if step and step.literal == 0:
@@ -115,7 +136,7 @@ def coalesce(*es: E) -> E:
     t: T.DataType = T.NullType()
     for e in es:
         t = common(t, e.t)
-    kind = next((e.kind for e in es if e.kind != "value"), "value")
+    kind = next((e.kind for e in es if e.kind not in ("value", "mixed")), kind_of(t))
     return E(F.coalesce(*[to(e, t) for e in es]), t, kind)
 
 
@@ -146,7 +167,7 @@ FUNCTIONS = {
     "toboolean": to_boolean,
     "tostring": to_string,
     "size": size,
-    "length": lambda p: E(F.size(p.col["rels"]).cast("long"), _L) if p.kind == "path" else size(p),
+    "length": lambda p: E(F.size(p.col["rels"]).cast("long"), _L) if p.kind == "path" else _no_path(p),
     "nodes": lambda p: E(p.col["nodes"], T.ArrayType(_L)),
     "relationships": lambda p: E(p.col["rels"], T.ArrayType(_L)),
     "head": lambda l: l.item(F.get(l.col, F.lit(0))),

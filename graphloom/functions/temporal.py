@@ -484,6 +484,9 @@ def _between(a: E, b: E, mode: str) -> E:
     """Whole months, then days, then the rest (between), or one of them only."""
     times = ("localtime", "time")
     if a.family in times or b.family in times:
+        if mode in ("inmonths", "indays"):
+            none = F.when(a.col.isNotNull() & b.col.isNotNull(), F.lit(0)).cast("long")
+            return E(F.when(none.isNotNull(), F.struct(*[none.alias(n) for n in DURATION.names])), DURATION, "duration")
         # without a date on one side, only the times differ
         nanos = local_nanos(b) - local_nanos(a)
         s = F.floor(nanos / F.lit(1000000000)).cast("long")
@@ -542,9 +545,15 @@ def _text(e: E) -> Column:
     c = e.col
     put = lambda v, u: F.when(v != 0, F.concat(v.cast("string"), F.lit(u))).otherwise(F.lit(""))
     div = lambda v, k: F.call_function("div", v, F.lit(k))
-    seconds = c["seconds"] % 60
-    fraction = F.when(c["nanos"] != 0, F.concat(F.lit("."), F.rtrim(F.lpad(c["nanos"].cast("string"), 9, "0"), F.lit("0")))).otherwise(F.lit(""))
-    time = F.concat(put(div(c["seconds"], 3600), "H"), put(div(c["seconds"] % 3600, 60), "M"), F.when((seconds != 0) | (c["nanos"] != 0), F.concat(seconds.cast("string"), fraction, F.lit("S"))).otherwise(F.lit("")))
+    # seconds are rounded down, so below zero the fraction counts back from the next one
+    carry = F.floor(c["nanos"] / F.lit(1000000000)).cast("long")
+    whole_seconds, nanos = c["seconds"] + carry, c["nanos"] - carry * 1000000000
+    below = (whole_seconds < 0) & (nanos > 0)
+    total, nanos = F.when(below, whole_seconds + 1).otherwise(whole_seconds), F.when(below, F.lit(1000000000) - nanos).otherwise(nanos)
+    seconds = total % 60
+    fraction = F.when(nanos != 0, F.concat(F.lit("."), F.rtrim(F.lpad(nanos.cast("string"), 9, "0"), F.lit("0")))).otherwise(F.lit(""))
+    shown = F.concat(F.when(below & (seconds == 0), F.lit("-")).otherwise(F.lit("")), seconds.cast("string"), fraction, F.lit("S"))
+    time = F.concat(put(div(total, 3600), "H"), put(div(total % 3600, 60), "M"), F.when((seconds != 0) | (nanos != 0), shown).otherwise(F.lit("")))
     days = F.concat(put(div(c["months"], 12), "Y"), put(c["months"] % 12, "M"), put(c["days"], "D"))
     whole = F.concat(F.lit("P"), days, F.when(time != "", F.concat(F.lit("T"), time)).otherwise(F.lit("")))
     return F.when(whole == "P", F.lit("PT0S")).otherwise(whole)

@@ -15,6 +15,11 @@ DURATION = T.StructType([T.StructField("months", T.LongType()), T.StructField("d
 LOCALTIME = T.StructType([T.StructField("localtime_nanos", T.LongType())])
 TIME = T.StructType([T.StructField("time_nanos", T.LongType()), T.StructField("time_offset", T.IntegerType())])
 ZONED = T.StructType([T.StructField("utc", T.TimestampNTZType()), T.StructField("utc_offset", T.IntegerType()), T.StructField("zone", T.StringType())])
+#: A string, boolean or number where one column holds several of these: its place in the order of types, then its value.
+MIXED = T.StructType([T.StructField("mixed_rank", T.IntegerType()), T.StructField("mixed_number", T.DoubleType()), T.StructField("mixed_int", T.LongType()), T.StructField("mixed_text", T.StringType())])
+#: Kinds whose values may differ in their fields.
+RECORDS = ("map", "node", "rel")
+RANKS = {"string": 1, "bool": 2, "int": 3, "float": 3}
 PATH = T.StructType([T.StructField("nodes", T.ArrayType(T.LongType())), T.StructField("rels", T.ArrayType(T.LongType()))])
 
 
@@ -22,7 +27,7 @@ PATH = T.StructType([T.StructField("nodes", T.ArrayType(T.LongType())), T.Struct
 class E:
     col: Column
     t: T.DataType
-    kind: str = "value"  # value, node, rel, path, map, duration, localtime, time, zoned
+    kind: str = "value"  # value, node, rel, path, map, mixed, duration, localtime, time, zoned
     literal: Any = None
 
     @property
@@ -54,7 +59,7 @@ class E:
 def kind_of(t: T.DataType) -> str:
     if isinstance(t, T.StructType):
         names = t.names
-        for known, kind in ((DURATION, "duration"), (LOCALTIME, "localtime"), (TIME, "time"), (ZONED, "zoned")):
+        for known, kind in ((DURATION, "duration"), (LOCALTIME, "localtime"), (TIME, "time"), (ZONED, "zoned"), (MIXED, "mixed")):
             if names == known.names:
                 return kind
         if names[:2] == ["nodes", "rels"] and len(names) == 2:
@@ -120,13 +125,62 @@ def common(a: T.DataType, b: T.DataType) -> T.DataType:
         return T.DoubleType() if isinstance(a, (T.DoubleType, T.FloatType)) or isinstance(b, (T.DoubleType, T.FloatType)) else T.LongType()
     if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
         return T.ArrayType(common(a.elementType, b.elementType))
-    if isinstance(a, T.StructType) and isinstance(b, T.StructType) and a.names == b.names:
-        return T.StructType([T.StructField(x.name, common(x.dataType, y.dataType)) for x, y in zip(a, b, strict=True)])
+    if _mixable(a) and _mixable(b):
+        return MIXED
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType) and (a.names == b.names or kind_of(a) == kind_of(b) in RECORDS):
+        # what one of them lacks is null there
+        names = [*a.names, *(n for n in b.names if n not in a.names)]
+        of = lambda t, n: t[n].dataType if n in t.names else T.NullType()
+        return T.StructType([T.StructField(n, common(of(a, n), of(b, n))) for n in names])
     raise CypherTypeError(f"values of {a.simpleString()} and {b.simpleString()} can't share a column")
 
 
+def _mixable(t: T.DataType) -> bool:
+    return E(None, t, kind_of(t)).family in (*RANKS, "mixed")
+
+
+def pack(e: E) -> Column:
+    """A string, boolean or number as a mixed value."""
+    if e.family == "mixed":
+        return e.col
+    if e.family == "null":
+        return F.lit(None).cast(MIXED)
+    if e.family not in RANKS:
+        raise CypherTypeError(f"a {e.family} can't share a column with other types")
+    number = e.col.cast("double") if e.family != "string" else F.lit(None).cast("double")
+    whole = e.col.cast("long") if e.family == "int" else F.lit(None).cast("long")
+    words = e.col if e.family == "string" else F.lit(None).cast("string")
+    return F.when(e.col.isNotNull(), F.struct(F.lit(RANKS[e.family]).alias("mixed_rank"), number.alias("mixed_number"), whole.alias("mixed_int"), words.alias("mixed_text")))
+
+
+def plain(col: Column, t: T.DataType) -> tuple[Column, bool]:
+    """A column for the outside, with its mixed values as variants; and whether there were any."""
+    if kind_of(t) == "mixed":
+        number = F.coalesce(col["mixed_int"].cast("variant"), col["mixed_number"].cast("variant"))
+        return F.when(col["mixed_rank"] == 1, col["mixed_text"].cast("variant")).when(col["mixed_rank"] == 2, (col["mixed_number"] != 0).cast("variant")).otherwise(number), True
+    if isinstance(t, T.ArrayType) and plain(col, t.elementType)[1]:
+        return F.transform(col, lambda x: plain(x, t.elementType)[0]), True
+    if isinstance(t, T.StructType):
+        parts = [(f.name, *plain(col[f.name], f.dataType)) for f in t]
+        if any(p[2] for p in parts):
+            return F.when(col.isNotNull(), F.struct(*[c.alias(n) for n, c, _ in parts])), True
+    return col, False
+
+
 def to(e: E, t: T.DataType) -> Column:
-    return e.col if e.t == t else e.col.cast(t)
+    """e as a value of a type that common() gave."""
+    if e.t == t:
+        return e.col
+    if isinstance(e.t, T.NullType):
+        return e.col.cast(t)
+    if kind_of(t) == "mixed":
+        return pack(e)
+    if isinstance(t, T.ArrayType) and isinstance(e.t, T.ArrayType) and not isinstance(e.t.elementType, T.NullType):
+        return F.transform(e.col, lambda x: to(e.item(x), t.elementType))
+    if isinstance(t, T.StructType) and isinstance(e.t, T.StructType) and kind_of(t) in RECORDS:
+        of = lambda f: to(E(e.col[f.name], e.t[f.name].dataType, kind_of(e.t[f.name].dataType)), f.dataType) if f.name in e.t.names else F.lit(None).cast(f.dataType)
+        return F.when(e.col.isNotNull(), F.struct(*[of(f).alias(f.name) for f in t]))
+    return e.col.cast(t)
 
 
 def make_list(items: list[E]) -> E:

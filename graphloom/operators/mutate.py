@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..errors import CypherTypeError, GraphError, SemanticError
 from ..functions import operators as op
-from ..functions.values import E, common, kind_of
+from ..functions.values import E, common, kind_of, to
 from ..sources.graph import _union
 from .iterate import cut
 
@@ -222,7 +222,7 @@ def _update(c, frame, var: str, kind: str, values: dict[str, E], replace: bool =
             old = F.col(k) if k in t.columns else F.lit(None).cast(v.t)
             if k in t.columns and t.schema[k].dataType != v.t and not isinstance(v.t, T.NullType):
                 both = common(t.schema[k].dataType, v.t)
-                new, old = new.cast(both), old.cast(both)
+                new, old = to(E(new, v.t, kind_of(v.t)), both), to(E(old, t.schema[k].dataType, kind_of(t.schema[k].dataType)), both)
             elif isinstance(v.t, T.NullType):
                 new = new.cast(t.schema[k].dataType if k in t.columns else "string")
                 old = old if k in t.columns else old.cast("string")

@@ -161,7 +161,7 @@ class Compiler:
         names = frames[0].columns
         if any(f.columns != names for f in frames):
             raise SemanticError("the parts of a UNION need the same column names")
-        out = reduce(lambda a, b: a.union(b), frames)
+        out = _union(frames) if len(frames) > 1 else frames[0]
         return out if not q.union_all or q.union_all[0] else out.distinct()
 
     def part(self, clauses: list[Clause], frame: Frame) -> DataFrame:
@@ -235,12 +235,23 @@ class Compiler:
     def match(self, frame: Frame, patterns: list[PathPattern]) -> Frame:
         rels: list[tuple[str, tuple, bool]] = []  # of this clause: name, types, whether it is a list
         patterns = list(patterns)
+        self.check_kinds(frame, patterns)
         while patterns:
             # patterns that touch what is bound come first, so that no product is made without need
             at = next((i for i, p in enumerate(patterns) if any(n.var in frame.vars for n in p.nodes if n.var)), 0)
             frame = self.match_path(frame, patterns.pop(at), rels)
         return frame
 
+    @staticmethod
+    def check_kinds(frame: Frame, patterns: list[PathPattern]) -> None:
+        """A name stands for a node, a relationship (or a list of them), or a path, here and where it was bound."""
+        seen = {v: e.kind for v, e in frame.vars.items() if e.kind in ("node", "rel", "path")}
+        for p in patterns:
+            own = [(n.var, "node") for n in p.nodes] + [(r.var, "rel") for r in p.rels] + [(p.var, "path")]
+            for name, kind in own:
+                if name and seen.setdefault(name, kind) != kind:
+                    raise SemanticError(f"{name} can't be a {seen[name]} and a {kind}")
+
     def match_path(self, frame: Frame, p: PathPattern, rels: list) -> Frame:
         nodes = [n if n.var else NodePattern(self.fresh("n"), n.labels, n.props) for n in p.nodes]
         hops = [r if r.var else RelPattern(self.fresh("r"), r.types, r.props, r.way, r.hops) for r in p.rels]
@@ -612,6 +623,8 @@ class Compiler:
             return frame, e  # ids are enough
         if e.op == "cmp" and any(a.op == "call" and a.args[0] in ("startnode", "endnode") for a in e.args[1:]):
             return frame, e
+        if e.op == "call" and e.args[0] == "exists" and len(e.args[1]) == 1 and e.args[1][0].op == "pattern":
+            return self.lower(frame, e.args[1][0])
         if e.op in ("pattern", "exists", "existsq"):
             rows, keys, known = self.inner_rows(frame, e)
             name = self.fresh("has")
@@ -819,6 +832,9 @@ class Compiler:
         if any(self.has_agg(a) for a in args):
             raise SemanticError("an aggregate inside an aggregate")
         e = self.ex(args[0], scope)
+        if e.family == "mixed" and name not in ("count", "min", "max", "collect", "percentiledisc"):
+            text = F.lit(f"{name}() takes numbers")  # only where a value is none
+            e = E(F.when(e.col["mixed_rank"] == 3, e.col["mixed_number"]).when(e.col.isNotNull(), F.raise_error(text).cast("double")), T.DoubleType())
         c = self.key_of(e) if name == "count" else e.col
         if name == "count":
             return E(F.count_distinct(c) if distinct else F.count(c), T.LongType())
@@ -847,7 +863,7 @@ class Compiler:
             return E(F.percentile(c.cast("double"), F.lit(float(share))), T.DoubleType())
         ordered = F.sort_array(F.collect_set(c) if distinct else F.collect_list(c))
         at = F.greatest(F.ceil(F.lit(float(share)) * F.size(ordered)), F.lit(1)).cast("int")
-        return E(F.try_element_at(ordered, at), e.t)
+        return E(F.try_element_at(ordered, at), e.t, e.kind)
 
     # -- expressions
     done: dict = {}
@@ -872,6 +888,8 @@ class Compiler:
 
     def bool(self, x, scope) -> Column:
         e = self.ex(x, scope)
+        if e.family == "mixed":
+            return F.when(e.col["mixed_rank"] == 2, e.col["mixed_number"] != 0).when(e.col.isNotNull(), F.raise_error(F.lit("a boolean is needed")).cast("boolean"))
         if e.family not in ("bool", "null"):
             raise CypherTypeError(f"a boolean is needed, not a {e.family}")
         return e.col.cast("boolean")
@@ -902,6 +920,7 @@ class Compiler:
 
     def text_test(self, x, scope, f):
         a, b = (self.ex(y, scope) for y in x.args)
+        a, b = (E(e.col["mixed_text"], T.StringType()) if e.family == "mixed" else e for e in (a, b))
         if a.family != "string" or b.family != "string":
             return op.truth(F.lit(None).cast("boolean"))
         return op.truth(f(a.col, b.col))

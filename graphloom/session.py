@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import Cancelled, GraphError, QueryTimeout, ResourceLimit
+from .functions.values import plain
 from .operators.mutate import Stats, check_unique
 from .plans.compiler import Compiler
 from .plans.syntax import Query, parse, split_batch
@@ -134,6 +135,9 @@ class GraphSession:
             raise
         if self._writes(st.body):
             self.graph, self.stats = c.graph, c.stats
+        made = {f.name: plain(F.col(f"`{f.name}`"), f.dataType) for f in out.schema}
+        if any(changed for _, changed in made.values()):
+            out = out.select(*[c.alias(n) for n, (c, _) in made.items()])
         return self._limited(out, max_rows, timeout) if max_rows is not None or timeout is not None else out
 
     execute = cypher

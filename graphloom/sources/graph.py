@@ -11,8 +11,11 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.values import E, common, kind_of, to
+
 SPAN = 1 << 48
 NODE_META, REL_META = ("_id", "_labels"), ("_id", "_src", "_dst", "_type")
 
@@ -55,8 +58,15 @@ class Graph:
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
+    """All rows by column name; a column of several types gets the one that holds them all."""
+    types: dict = {}
+    for f in frames:
+        for x in f.schema:
+            types[x.name] = common(types.get(x.name, T.NullType()), x.dataType)
+    fitted = lambda f: f.select(*[to(E(F.col(f"`{x.name}`"), x.dataType, kind_of(x.dataType)), types[x.name]).alias(x.name) for x in f.schema])
+    same = lambda f: all(x.dataType == types[x.name] for x in f.schema)
+    out, *rest = [f if same(f) else fitted(f) for f in frames]
+    for f in rest:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
 

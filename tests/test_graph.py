@@ -241,7 +241,7 @@ def test_procedures(spark):
         ("MATCH (n", CypherSyntaxError), ("MATCH (n)", CypherSyntaxError), ("RETURN 1 AS a, 2 AS a", CypherSyntaxError), ("MATCH (n) WITH n.x RETURN 1 AS a", CypherSyntaxError),
         ("RETURN 1 AS a UNION RETURN 2 AS a UNION ALL RETURN 3 AS a", CypherSyntaxError), ("RETURN x", UnboundVariable), ("RETURN nothing(1) AS x", SemanticError), ("RETURN 1 AS a UNION RETURN 2 AS b", SemanticError),
         ("CREATE (a)-[:R|S]->(b)", SemanticError), ("CREATE (a)-[:R]-(b)", SemanticError), ("MATCH (n) WHERE count(n) > 1 RETURN n", SemanticError), ("RETURN 1 + true AS x", CypherTypeError), ("MATCH (n) WHERE 1 RETURN n", CypherTypeError),
-        ("RETURN 1 AS x LIMIT -1", CypherTypeError), ("RETURN [1, 'a'] AS x", CypherTypeError), ("RETURN *", SemanticError), ("UNWIND 1 AS x RETURN x", CypherTypeError), ("RETURN count(count(1)) AS x", SemanticError),
+        ("RETURN 1 AS x LIMIT -1", CypherTypeError), ("RETURN [1, date()] AS x", CypherTypeError), ("RETURN *", SemanticError), ("UNWIND 1 AS x RETURN x", CypherTypeError), ("RETURN count(count(1)) AS x", SemanticError),
     ],
 )
 def test_errors(spark, text, error):
@@ -288,3 +288,69 @@ def test_builder(ldbc):
 
     df = Match("(m:Message)-[:HAS_CREATOR]->(p:Person)").where("p.id < $top").returns("p.id AS p", "count(m) AS n").order_by("p").run(ldbc, top=3)
     assert rows(df) == [(1, 1), (2, 1)]
+
+
+def value(s, text, **params):
+    """The only value of the first row, variants as Python values."""
+    def open_(v):
+        return v.toPython() if hasattr(v, "toPython") else [open_(x) for x in v] if isinstance(v, list) else v
+
+    return [open_(r[0]) for r in s.cypher(text, params).collect()]
+
+
+def test_mixed_types(spark):
+    s = GraphSession.in_memory(spark)
+    assert value(s, "UNWIND [1, 'a', null, 2.5, true] AS x RETURN x") == [1, "a", None, 2.5, True]
+    assert value(s, "UNWIND [1, 'a', null, 2.5, true] AS x RETURN x ORDER BY x DESC") == [None, 2.5, 1, True, "a"]
+    assert value(s, "RETURN [1, 'a', null, 2.5] AS l") == [[1, "a", None, 2.5]]
+    assert value(s, "RETURN size([1, 'a', true]) AS n") == [3]
+    assert value(s, "RETURN [x IN [1, 'a', 2.0, 3] WHERE x > 1] AS l") == [[2.0, 3]]
+    assert value(s, "RETURN head([1, 'a']) = 1.0 AS b") == [True]
+    assert value(s, "RETURN [1, 'a'] = [1, 'a'] AS b") == [True]
+    assert value(s, "RETURN [1, null, 'a'] = [1, 2, 'a'] AS b") == [None]
+    assert value(s, "UNWIND [1, 'a', 2.5] AS x RETURN x + 1 AS y") == [2, "a1", 3.5]
+    assert value(s, "UNWIND [1, 'x', 'true', 2.5, true] AS x RETURN toString(x) AS y") == ["1", "x", "true", "2.5", "true"]
+    assert value(s, "UNWIND [1, '7', true, 2.9] AS x RETURN toInteger(x) AS y") == [1, 7, None, 2]
+    assert value(s, "UNWIND [1, 'abc', true] AS x RETURN x STARTS WITH 'a' AS y") == [None, True, None]
+    assert value(s, "UNWIND [1, 'a', 1, 'a', null] AS x WITH DISTINCT x RETURN count(x) AS n") == [2]
+    assert value(s, "UNWIND [1, 'a', 2.5] AS x RETURN max(x) AS y") == [2.5]
+    assert value(s, "UNWIND [1, 'a', 2.5] AS x RETURN min(x) AS y") == ["a"]
+    assert value(s, "RETURN coalesce(null, 1, 'a') AS x") == [1]
+    assert value(s, "UNWIND [1, 2] AS n RETURN CASE WHEN n > 1 THEN 'many' ELSE n END AS x") == [1, "many"]
+    assert value(s, "RETURN 1 AS x UNION RETURN 'a' AS x UNION RETURN 1 AS x") in ([1, "a"], ["a", 1])
+    assert value(s, "UNWIND [{a: 1}, {a: 2, b: 'y'}] AS m RETURN m.b AS b") == [None, "y"]
+    assert value(s, "UNWIND $rows AS m RETURN m.v AS v", rows=[{"v": 1}, {"v": "x"}]) == [1, "x"]
+
+
+def test_mixed_properties(spark):
+    s = GraphSession.in_memory(spark)
+    s.cypher("CREATE (:M {t: 'int', year: 1999}), (:M {t: 'float', year: 2000.5})")
+    s.cypher("CREATE (:M {t: 'text', year: '2001'}), (:M {t: 'none'})")
+    assert value(s, "MATCH (m:M) WHERE m.year > 1990 RETURN m.t AS t ORDER BY t") == ["float", "int"]
+    assert value(s, "MATCH (m:M) WHERE m.year = '2001' RETURN m.t AS t") == ["text"]
+    assert value(s, "MATCH (m:M) WHERE 1990 <= m.year < 2000 RETURN m.year AS y") == [1999]
+    assert value(s, "MATCH (m:M) RETURN m.year AS y ORDER BY y") == ["2001", 1999, 2000.5, None]
+    assert value(s, "MATCH (m:M {year: 1999}) RETURN m.t AS t") == ["int"]
+    s.cypher("MATCH (m:M {t: 'none'}) SET m.year = true")
+    assert value(s, "MATCH (m:M {t: 'none'}) RETURN m.year AS y") == [True]
+    s.cypher("CREATE (:K {year: 'k'})")
+    assert value(s, "MATCH (n) WHERE n.year = 'k' RETURN labels(n)[0] AS l") == ["K"]
+    with pytest.raises(CypherTypeError):
+        s.cypher("MATCH (m:M) WITH collect(m.year) AS l RETURN length(l) AS n")
+
+
+def test_durations_below_zero_and_other_repairs(spark):
+    s = GraphSession.in_memory(spark)
+    text = lambda e: value(s, f"RETURN toString({e}) AS t")[0]
+    assert text("duration.between(localdatetime('2015-07-21T21:40:32.142'), date('2015-06-24'))") == "P-27DT-21H-40M-32.142S"
+    assert text("duration({nanoseconds: -1})") == "PT-0.000000001S"
+    assert text("duration({seconds: -2, nanoseconds: 1})") == "PT-1.999999999S"
+    assert text("duration({seconds: 1, milliseconds: 700}) + duration({milliseconds: 700})") == "PT2.4S"
+    assert text("duration.inDays(date('1984-10-11'), time('16:30'))") == "PT0S"
+    assert text("duration.inMonths(localtime('14:30'), time('16:30+01:00'))") == "PT0S"
+    s.cypher("CREATE (a:A {t: localtime('10:00')})-[:L]->(:B)")
+    assert value(s, "MATCH (a:A) RETURN toString(a.t) AS t") == ["10:00"]
+    assert sorted(value(s, "MATCH (a) RETURN exists((a)-[:L]->()) AS f")) == [False, True]
+    for bad in ("MATCH (a)-[a]->(b) RETURN 1 AS x", "MATCH (a)-[r]->(b) MATCH (r)-->(c) RETURN 1 AS x", "MATCH p = (a)-->(p) RETURN 1 AS x"):
+        with pytest.raises(SemanticError):
+            s.cypher(bad)
