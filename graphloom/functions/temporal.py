@@ -480,6 +480,18 @@ def between(a: E, b: E, mode: str = "between") -> E:
     return once(a, lambda x: once(b, lambda y: _between(x, y, mode)))
 
 
+def _local_in(e: E, other: E) -> Column:
+    """The local date-time of a zoned one in the zone of another."""
+    fixed = e.col["utc"] + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), other.col["utc_offset"].cast("decimal(18,6)"))
+    named = F.from_utc_timestamp(e.col["utc"].cast("timestamp"), F.coalesce(other.col["zone"], F.lit("UTC"))).cast("timestamp_ntz")
+    return F.when(other.col["zone"].isNull(), fixed).otherwise(named)
+
+
+def _in_zone_of(z: E, local: E) -> E:
+    zone = F.coalesce(z.col["zone"], offset_text(z.col["utc_offset"]))
+    return zoned(make_map([("datetime", E(local_of(local), T.TimestampNTZType())), ("timezone", E(zone, T.StringType()))]))
+
+
 def _between(a: E, b: E, mode: str) -> E:
     """Whole months, then days, then the rest (between), or one of them only."""
     times = ("localtime", "time")
@@ -489,11 +501,19 @@ def _between(a: E, b: E, mode: str) -> E:
             return E(F.when(none.isNotNull(), F.struct(*[none.alias(n) for n in DURATION.names])), DURATION, "duration")
         # without a date on one side, only the times differ
         nanos = local_nanos(b) - local_nanos(a)
+        offsets = {"time": "time_offset", "zoned": "utc_offset"}
+        if a.family in offsets and b.family in offsets:
+            nanos = nanos - (b.col[offsets[b.family]] - a.col[offsets[a.family]]).cast("long") * 1000000000
         s = F.floor(nanos / F.lit(1000000000)).cast("long")
         zero = F.lit(0).cast("long")
         return E(F.struct(zero.alias("months"), zero.alias("days"), s.alias("seconds"), (nanos - s * 1000000000).alias("nanos")), DURATION, "duration")
     both_zoned = a.family == b.family == "zoned"
-    x, y = (a.col["utc"], b.col["utc"]) if both_zoned else (local_of(a), local_of(b))
+    if mode == "inseconds" and not both_zoned and "zoned" in (a.family, b.family):
+        # the local one is read in the zone of the other
+        return between(*(e if e.family == "zoned" else _in_zone_of(b if a is e else a, e) for e in (a, b)), mode)
+    x, y = local_of(a), local_of(b)
+    if both_zoned:
+        x, y = (a.col["utc"], b.col["utc"]) if mode == "inseconds" else (x, _local_in(b, a))
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     zero = F.lit(0).cast("long")
 
@@ -514,6 +534,8 @@ def _between(a: E, b: E, mode: str) -> E:
     d = micros(y) - micros(base)
     days = F.call_function("div", d, F.lit(86400000000))
     left = d - days * 86400000000
+    if both_zoned:  # hours that a change of the clocks adds or takes
+        left = F.when((m == 0) & (days == 0), micros(b.col["utc"]) - micros(a.col["utc"])).otherwise(left)
     s = F.floor(left / F.lit(1000000)).cast("long")
     out = {"months": _long(m), "days": _long(days), "seconds": s, "nanos": (left - s * 1000000) * 1000}
     if mode == "inmonths":

@@ -273,7 +273,8 @@ def set(c, frame, actions):  # noqa: A001
             c.stats.labels_added += _update(c, frame, var, kind, {}, labels=lambda l, new=new: F.array_union(l, new))
         elif a[0] == "prop":
             var, kind = _targets(frame, a[1])
-            c.stats.properties_set += _update(c, frame, var, kind, {a[2]: c.ex(a[3], frame.vars)})
+            wide, x = c.lower(frame, a[3])
+            c.stats.properties_set += _update(c, wide, var, kind, {a[2]: c.ex(x, wide.vars)})
         else:
             var, kind = _targets(frame, a[1])
             e = c.ex(a[2], frame.vars)
@@ -302,6 +303,7 @@ def delete(c, frame, body):
     targets, detach = body
     nodes, rels = [], []
     for x in targets:
+        frame, x = c.lower(frame, x)
         e = c.ex(x, frame.vars)
         if e.family == "null":
             continue

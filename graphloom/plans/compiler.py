@@ -841,7 +841,7 @@ class Compiler:
         if name in ("sum", "avg"):
             if e.family not in ("int", "float", "null"):
                 raise CypherTypeError(f"{name}() takes numbers")
-            t = T.LongType() if e.family == "int" else T.DoubleType()
+            t = T.LongType() if e.family in ("int", "null") else T.DoubleType()
             if name == "avg":
                 return E(F.avg(c) if not distinct else F.sum_distinct(c.cast("double")) / F.nullif(F.count_distinct(c), F.lit(0)), T.DoubleType())
             return E(F.coalesce(F.sum_distinct(c) if distinct else F.sum(c), F.lit(0).cast(t)).cast(t), t)
