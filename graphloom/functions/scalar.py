@@ -82,8 +82,8 @@ def size(e: E) -> E:
     raise CypherTypeError("size() takes a list or a string")
 
 
-def _no_path(e: E) -> E:
-    raise CypherTypeError(f"length() takes a path, not a {e.family}")
+def _no_path(e: E, name: str = "length") -> E:
+    raise CypherTypeError(f"{name}() takes a path, not a {e.family}")
 
 
 def range_(a: E, b: E, step: E | None = None) -> E:
@@ -168,8 +168,8 @@ FUNCTIONS = {
     "tostring": to_string,
     "size": size,
     "length": lambda p: E(F.size(p.col["rels"]).cast("long"), _L) if p.kind == "path" else _no_path(p),
-    "nodes": lambda p: E(p.col["nodes"], T.ArrayType(_L)),
-    "relationships": lambda p: E(p.col["rels"], T.ArrayType(_L)),
+    "nodes": lambda p: E(p.col["nodes"], T.ArrayType(_L)) if p.kind == "path" else _no_path(p, "nodes"),
+    "relationships": lambda p: E(p.col["rels"], T.ArrayType(_L)) if p.kind == "path" else _no_path(p, "relationships"),
     "head": lambda l: l.item(F.get(l.col, F.lit(0))),
     "last": lambda l: l.item(F.try_element_at(l.col, F.lit(-1))),
     "tail": lambda l: E(F.slice(l.col, F.lit(2), F.greatest(F.size(l.col) - 1, F.lit(0))), l.t),

@@ -246,6 +246,9 @@ class Compiler:
     def check_kinds(frame: Frame, patterns: list[PathPattern]) -> None:
         """A name stands for a node, a relationship (or a list of them), or a path, here and where it was bound."""
         seen = {v: e.kind for v, e in frame.vars.items() if e.kind in ("node", "rel", "path")}
+        hops = [r.var for p in patterns for r in p.rels if r.var]
+        if len(set(hops)) < len(hops):
+            raise SemanticError("a relationship's name can stand in one pattern of a MATCH only")
         for p in patterns:
             own = [(n.var, "node") for n in p.nodes] + [(r.var, "rel") for r in p.rels] + [(p.var, "path")]
             for name, kind in own:

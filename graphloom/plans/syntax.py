@@ -641,6 +641,8 @@ class Parser:
                 low = name.lower()
                 if low in AGGREGATES:
                     return X("agg", (low, distinct, args))
+                if distinct:
+                    raise CypherSyntaxError(f"{low}() is no aggregate, and takes no DISTINCT")
                 return X("call", (low, args))
             self.i = save
             return X("var", (self.name(),))

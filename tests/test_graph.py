@@ -241,7 +241,7 @@ def test_procedures(spark):
         ("MATCH (n", CypherSyntaxError), ("MATCH (n)", CypherSyntaxError), ("RETURN 1 AS a, 2 AS a", CypherSyntaxError), ("MATCH (n) WITH n.x RETURN 1 AS a", CypherSyntaxError),
         ("RETURN 1 AS a UNION RETURN 2 AS a UNION ALL RETURN 3 AS a", CypherSyntaxError), ("RETURN x", UnboundVariable), ("RETURN nothing(1) AS x", SemanticError), ("RETURN 1 AS a UNION RETURN 2 AS b", SemanticError),
         ("CREATE (a)-[:R|S]->(b)", SemanticError), ("CREATE (a)-[:R]-(b)", SemanticError), ("MATCH (n) WHERE count(n) > 1 RETURN n", SemanticError), ("RETURN 1 + true AS x", CypherTypeError), ("MATCH (n) WHERE 1 RETURN n", CypherTypeError),
-        ("RETURN 1 AS x LIMIT -1", CypherTypeError), ("RETURN [1, date()] AS x", CypherTypeError), ("RETURN *", SemanticError), ("UNWIND 1 AS x RETURN x", CypherTypeError), ("RETURN count(count(1)) AS x", SemanticError),
+        ("RETURN 1 AS x LIMIT -1", CypherTypeError), ("RETURN [1, date()] AS x", CypherTypeError), ("RETURN toUpper(DISTINCT 'a') AS x", CypherSyntaxError), ("MATCH (a) RETURN nodes(a) AS x", CypherTypeError), ("RETURN *", SemanticError), ("UNWIND 1 AS x RETURN x", CypherTypeError), ("RETURN count(count(1)) AS x", SemanticError),
     ],
 )
 def test_errors(spark, text, error):
@@ -366,6 +366,6 @@ def test_durations_below_zero_and_other_repairs(spark):
     assert value(s, "MATCH (a:A) RETURN a.n AS n") == [1]
     s.cypher("MATCH p = (:A)-->() DELETE relationships(p)[0]")
     assert value(s, "MATCH ()-[r]->() RETURN count(r) AS n") == [0]
-    for bad in ("MATCH (a)-[a]->(b) RETURN 1 AS x", "MATCH (a)-[r]->(b) MATCH (r)-->(c) RETURN 1 AS x", "MATCH p = (a)-->(p) RETURN 1 AS x"):
+    for bad in ("MATCH (a)-[a]->(b) RETURN 1 AS x", "MATCH (a)-[r]->(b) MATCH (r)-->(c) RETURN 1 AS x", "MATCH p = (a)-->(p) RETURN 1 AS x", "MATCH (a)-[r]->()-[r]->(b) RETURN 1 AS x", "MATCH (a)-[r*2]->(b), (c)-[r]->(d) RETURN 1 AS x"):
         with pytest.raises(SemanticError):
             s.cypher(bad)
