@@ -75,6 +75,10 @@ QUERIES: dict[str, tuple[str, str]] = {
     "unwind_collect_roundtrip": ("MATCH (n:Nation)-[:IN_REGION]->(r:Region) WITH r.name AS r, collect(n.nationkey) AS ks UNWIND ks AS k RETURN r, k", "SELECT r_name AS r, n_nationkey::BIGINT AS k FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "list_comprehension": ("MATCH (p:Part) WITH p.partkey AS k, [x IN range(1, p.size) WHERE x % 3 = 0 | x * 10] AS l RETURN k, size(l) AS n, head(l) AS h, last(l) AS t", "SELECT p_partkey AS k, (p_size // 3)::BIGINT AS n, CASE WHEN p_size >= 3 THEN 30::BIGINT END AS h, CASE WHEN p_size >= 3 THEN (p_size // 3 * 30)::BIGINT END AS t FROM part"),
     "quantifiers": ("MATCH (p:Part) WITH p.partkey AS k, range(1, p.size) AS l RETURN k, all(x IN l WHERE x > 0) AS a, any(x IN l WHERE x = 25) AS b, none(x IN l WHERE x > 40) AS c, single(x IN l WHERE x % 20 = 0) AS d", "SELECT p_partkey AS k, true AS a, p_size >= 25 AS b, p_size <= 40 AS c, p_size // 20 = 1 AS d FROM part"),
+    "exists_pattern_column": ("MATCH (c:Customer) RETURN exists((c)-[:PLACED]->()) AS has, count(*) AS n", "SELECT c_custkey IN (SELECT o_custkey FROM orders) AS has, count(*) AS n FROM customer GROUP BY 1"),
+    "mixed_case": ("MATCH (p:Part) WITH CASE WHEN p.size < 10 THEN 'small' ELSE p.size END AS s RETURN toString(s) AS s, count(*) AS n", "SELECT CASE WHEN p_size < 10 THEN 'small' ELSE p_size::VARCHAR END AS s, count(*) AS n FROM part GROUP BY 1"),
+    "mixed_filter": ("MATCH (p:Part) UNWIND [p.size, p.brand] AS v WITH v WHERE v > 40 RETURN count(*) AS n, max(toInteger(v)) AS top", "SELECT count(*) AS n, max(p_size)::BIGINT AS top FROM part WHERE p_size > 40"),
+    "maps_of_different_keys": ("UNWIND [{a: 1}, {a: 2, b: 'y'}] AS m RETURN m.a AS a, m.b AS b", "SELECT a, b FROM (VALUES (1::BIGINT, NULL), (2, 'y')) t(a, b)"),
     "list_index_slice": ("MATCH (p:Part) WITH p.partkey AS k, range(0, p.size) AS l RETURN k, l[1] AS a, l[-1] AS b, size(l[2..4]) AS c, l[100] AS d, reverse(l)[0] AS e", "SELECT p_partkey AS k, 1::BIGINT AS a, p_size::BIGINT AS b, least(greatest(p_size + 1 - 2, 0), 2)::BIGINT AS c, NULL::BIGINT AS d, p_size::BIGINT AS e FROM part"),
     "case_simple": ("MATCH (o:Order) RETURN CASE o.orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE 'other' END AS s, count(*) AS n", "SELECT CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE 'other' END AS s, count(*) AS n FROM orders GROUP BY 1"),
     "case_searched": ("MATCH (p:Part) RETURN CASE WHEN p.size < 10 THEN 1 WHEN p.size < 30 THEN 2 END AS c, count(*) AS n", "SELECT CASE WHEN p_size < 10 THEN 1::BIGINT WHEN p_size < 30 THEN 2 END AS c, count(*) AS n FROM part GROUP BY 1"),
