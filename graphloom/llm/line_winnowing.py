@@ -1,15 +1,14 @@
-"""Line dedup by winnowing, with DataFrame functions only.
+"""Line dedup by fingerprints of minimal runs, with DataFrame functions only.
 
 A text is cut into lines, at line feeds and after sentence ends, so that a
-passage pasted inside a line is seen too.  Fingerprints are hashes of two
-neighbouring short lines: of every two such hashes that follow each other the smaller
-is kept, and so is every pair of min_chars or more; a line of min_chars or
-more is a fingerprint by itself.  Any run of min_chars characters that two
-places share therefore shares a fingerprint, while a short line that many
-documents have is none.  Each fingerprint is joined with its first position in
-the corpus (and, inside a document, with its previous one).  From there matches
-are extended both ways, line by line, and where a repeated run has at least
-min_chars characters, the later one is deleted.
+passage pasted inside a line is seen too.  A fingerprint stands for a minimal
+run: the lines from a start until min_chars characters are reached; and, where
+the next start's run ends more than one line further on, the same run longer by
+each line between.  A line is in a repeated run of min_chars or more exactly if
+it is in a repeated one of these, so that the first holder of a fingerprint is
+the only partner to compare with: no run depends on which document is tried.
+Every start counts, none is left out; short lines alone are no fingerprint.
+Where a fingerprint has an earlier place, the lines of the later one are deleted.
 """
 
 from __future__ import annotations
@@ -32,72 +31,70 @@ def _bare(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(SPACE_CHARS)))
 
 
+def _reach(sizes: Column, i: Column, min_chars: int) -> Column:
+    """How many lines from i on have min_chars together; null where the text ends before. A line has a character at least."""
+
+    def within(most: int) -> Column:
+        start = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("n"))
+        add = lambda acc, x: F.when(acc.chars < min_chars, F.struct((acc.chars + x).alias("chars"), (acc.n + 1).alias("n"))).otherwise(acc)
+        return F.aggregate(F.slice(sizes, i + 1, F.lit(most)), start, add, lambda acc: F.when(acc.chars >= min_chars, acc.n))
+
+    first, second, third = (F.get(sizes, i + k) for k in range(3))
+    few = F.when(first >= min_chars, F.lit(1)).when(first + second >= min_chars, F.lit(2)).when(first + second + third >= min_chars, F.lit(3))
+    return few.otherwise(F.coalesce(within(16), within(min_chars)))
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per document: d, t (its place in the order), h, len, pos (of lines with content),
-    firsts (fingerprint, line) at its first place in the document, steps (distances to the previous place of a repeated one)."""
+    """One row per document: d, t (its place in the order) and prints: h, m (two hashes and the number of lines) and i (the
+    first line, of those with content) of each fingerprint."""
     lines = docs.select(
         F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("d"),
         F.xxhash64(text).alias("t"),
-        F.filter(F.transform(F.transform(lines_of(F.col(text)), _bare), lambda b, i: F.struct(F.xxhash64(b).alias("h"), F.length(b).alias("len"), i.alias("pos"))), lambda x: x.len > 0).alias("l"),
+        F.filter(F.transform(lines_of(F.col(text)), _bare), lambda b: b != "").alias("l"),
     )
 
-    def chosen(l: Column) -> Column:
-        """(h, i) of the fingerprints, by line."""
-        short = lambda x: F.coalesce(x.len < min_chars, F.lit(False))
-        pairs = F.transform(l, lambda x, i: F.when(short(x) & short(F.get(l, i + 1)), F.xxhash64(x.h, F.get(l, i + 1).h)))
-
-        def one(x: Column, i: Column, b: Column) -> Column:
-            own = F.get(b, i)
-            least = F.coalesce(own < F.get(b, i - 1), F.lit(False)) | F.coalesce(own <= F.get(b, i + 1), F.lit(False))
-            long_pair = F.coalesce(x.len + F.get(l, i + 1).len >= min_chars, F.lit(False))
-            return F.struct(F.when(x.len >= min_chars, x.h).when(least | long_pair, own).alias("h"), i.alias("i"))
-
-        return let(pairs, lambda b: F.filter(F.transform(l, lambda x, i: one(x, i, b)), lambda y: y.h.isNotNull()))
-
-    def places(f: Column) -> Column:
-        """firsts and steps; only a document that repeats a fingerprint is sorted for them."""
-        none = F.array().cast("array<int>")
-
-        def repeated(s: Column) -> Column:
-            before = lambda j: F.get(s, j - 1)
-            gaps = F.transform(s, lambda x, j: F.when(x.h == before(j).h, x.i - before(j).i))
-            return F.struct(F.filter(s, lambda x, j: (j == 0) | (x.h != before(j).h)).alias("firsts"), F.array_distinct(F.filter(gaps, lambda g: g.isNotNull())).alias("steps"))
-
-        once = F.size(F.array_distinct(F.transform(f, lambda x: x.h))) == F.size(f)
-        return F.when(once, F.struct(f.alias("firsts"), none.alias("steps"))).otherwise(let(F.sort_array(f), repeated))
-
-    found = lines.select("d", "t", "l", let(let(F.col("l"), chosen), places).alias("f"))
-    return found.select("d", "t", F.col("l.h").alias("h"), F.col("l.len").alias("len"), F.col("l.pos").alias("pos"), "f.firsts", "f.steps")
-
-
-def repeated_runs(prints: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """d, t and runs: the (first, last) lines of repeated runs that have an earlier place."""
-    places = prints.select("d", "t", F.inline("firsts"))
-    first = places.groupBy("h").agg(F.min(F.struct("d", "t", "i")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "o")
-    across = places.join(first, "h").where((F.col("d") != F.col("o.d")) | (F.col("t") != F.col("o.t")))
-    pairs = across.select("d", "t", F.col("o.d").alias("d0"), F.col("o.t").alias("t0"), (F.col("i") - F.col("o.i")).alias("shift"))
-    within = prints.select("d", "t", F.col("d").alias("d0"), F.col("t").alias("t0"), F.explode("steps").alias("shift"))
-    anchored = pairs.unionByName(within).distinct()
-    # a document's row may be repeated: one of its copies stands for all
-    texts = prints.groupBy("d", "t").agg(F.first("h").alias("h"), F.first("len").alias("len"), F.first("pos").alias("pos"))
-    olds = texts.select(F.col("d").alias("d0"), F.col("t").alias("t0"), F.col("h").alias("h0"))
-    pair = anchored.join(olds, ["d0", "t0"]).select("d", "t", "shift", "h0").join(texts, ["d", "t"])
-
-    def step(acc: Column, i: Column) -> Column:
-        same = F.coalesce(F.get("h", i) == F.get("h0", i - F.col("shift")), F.lit(False))
-        ends = (acc["at"] >= 0) & (acc["chars"] >= min_chars)
-        run = F.struct(F.get("pos", acc["at"]).alias("a"), F.get("pos", i - 1).alias("b"))
-        return F.struct(
-            F.when(~same, F.lit(-1)).when(acc["at"] < 0, i).otherwise(acc["at"]).alias("at"),
-            F.when(same, acc["chars"] + F.get("len", i)).otherwise(F.lit(0)).alias("chars"),
-            F.when(~same & ends, F.array_append(acc["runs"], run)).otherwise(acc["runs"]).alias("runs"),
-        )
-
-    none = F.array().cast("array<struct<a:int,b:int>>")
-    start = F.struct(F.lit(-1).alias("at"), F.lit(0).alias("chars"), none.alias("runs"))
-    runs = F.aggregate(F.sequence(F.lit(0), F.size("h")), start, step, lambda acc: acc["runs"])
-    each = pair.select("d", "t", runs.alias("runs")).where(F.size("runs") > 0)
-    return each.groupBy("d", "t").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+    def printed(hashes: Column, i: Column, n: Column) -> Column:
+        check = lambda s: F.struct(F.xxhash64(s).alias("h"), F.shiftleft(n.cast("long"), 32).bitwiseOR(F.hash(s).cast("long").bitwiseAND(2**32 - 1)).alias("m"), i.alias("i"))
+        return let(F.slice(hashes, i + 1, n), check)
+
+    def longer(hashes: Column, reach: Column) -> Column:
+        """The runs longer than the minimal one of their start, where no other start's run ends."""
+        end = lambda i: F.when(i < F.size(hashes), F.coalesce(i + F.get(reach, i), F.size(hashes) + 1)).otherwise(F.size(hashes) + 1)
+        more = lambda n, i: F.when(n.isNotNull() & (end(i + 1) - i - 1 > n), F.transform(F.sequence(n + 1, end(i + 1) - i - 1), lambda k: printed(hashes, i, k)))
+        return F.flatten(F.filter(F.transform(reach, more), lambda x: x.isNotNull()))
+
+    def all_of(hashes: Column, reach: Column) -> Column:
+        own = F.filter(F.transform(reach, lambda n, i: F.when(n.isNotNull(), printed(hashes, i, n))), lambda x: x.isNotNull())
+        return F.concat(own, longer(hashes, reach))
+
+    def found(l: Column) -> Column:
+        reach = lambda sizes: F.transform(sizes, lambda x, i: _reach(sizes, i, min_chars))
+        return let(F.transform(l, lambda b: F.xxhash64(b)), lambda hashes: let(let(F.transform(l, lambda b: F.length(b)), reach), lambda r: all_of(hashes, r)))
+
+    return lines.select("d", "t", let(F.col("l"), found).alias("prints"))
+
+
+def repeated_runs(prints: DataFrame) -> DataFrame:
+    """d, t and runs: the (a, b) first and last lines, of those with content, of repeated runs that have an earlier place.
+
+    Runs of one document neither overlap nor touch.
+    """
+    places = prints.select("d", "t", F.inline("prints"))
+    twice = places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    some = stage(places.join(twice, "h"), "winnow-repeated")
+    first = some.groupBy("h", "m").agg(F.min(F.struct("d", "t", "i")).alias("o"))
+    later = some.join(first, ["h", "m"]).where(F.struct("d", "t", "i") != F.col("o"))
+    last = F.col("i") + F.shiftright("m", 32).cast("int") - 1
+    # a document's row may be repeated: its runs are those of one copy
+    each = later.groupBy("d", "t").agg(F.sort_array(F.collect_set(F.struct(F.col("i").alias("a"), last.alias("b")))).alias("s"))
+
+    def joined(s: Column) -> Column:
+        """Starts and ends never fall in this order, so a run begins where the one before has ended."""
+        begins = F.filter(s, lambda x, j: (j == 0) | F.coalesce(x.a > F.get(s, j - 1).b + 1, F.lit(False)))
+        ends = F.filter(s, lambda x, j: (j == F.size(s) - 1) | F.coalesce(F.get(s, j + 1).a > x.b + 1, F.lit(False)))
+        return F.zip_with(begins, ends, lambda x, y: F.struct(x.a.alias("a"), y.b.alias("b")))
+
+    return each.select("d", "t", let(F.col("s"), joined).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -109,11 +106,17 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     cut as the first is.  Other columns stay as they are.
     """
     prints = stage(fingerprints(docs, key, text, min_chars), "winnow")
-    runs = repeated_runs(prints, min_chars).select(F.col("d").alias("_gl_d"), F.col("t").alias("_gl_t"), F.col("runs").alias("_gl_runs"))
+    runs = repeated_runs(prints).select(F.col("d").alias("_gl_d"), F.col("t").alias("_gl_t"), F.col("runs").alias("_gl_runs"))
     keyed = docs.withColumns({"_gl_d": F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)), "_gl_t": F.xxhash64(text)})
     joined = keyed.join(runs.hint("shuffle_hash"), ["_gl_d", "_gl_t"], "left")
-    gone = lambda i: F.exists("_gl_runs", lambda r: (i >= r.a) & (i <= r.b))
-    left = lambda l: F.filter(l, lambda x, i: ~gone(i))
+
+    def left(l: Column) -> Column:
+        """The lines before, between and behind the runs."""
+        content = F.filter(F.transform(l, lambda x, i: F.when(F.btrim(x, F.lit(SPACE_CHARS)) != "", i)), lambda i: i.isNotNull())
+        gone = let(content, lambda c: F.transform("_gl_runs", lambda r: F.struct(F.get(c, r.a).alias("a"), F.get(c, r.b).alias("b"))))
+        after = lambda g, r, j: F.slice(l, r.b + 2, F.coalesce(F.get(g, j + 1).a, F.size(l)) - r.b - 1)
+        return let(gone, lambda g: F.concat(F.slice(l, F.lit(1), g[0].a), F.flatten(F.transform(g, lambda r, j: after(g, r, j)))))
+
     result = lambda l, k: F.struct(F.array_join(k, "").alias("text"), (F.size(l) - F.size(k)).cast("long").alias("n"))
     cut = F.when(F.col("_gl_runs").isNotNull(), let(lines_of(F.col(text)), lambda l: let(left(l), lambda k: result(l, k))))
     done = joined.withColumn("_gl_cut", cut)

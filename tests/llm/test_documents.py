@@ -365,6 +365,48 @@ def test_lines_run_without_python(odd):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def brute_runs(texts, min_chars):
+    """Lines (with content) of each text that are in a run of min_chars or more with an earlier place, by comparing all pairs."""
+    lines = [bare_lines(t) for t in texts]
+    gone = [set() for _ in texts]
+    for p, mine in enumerate(lines):
+        for q in range(p + 1):
+            other = lines[q]
+            for shift in range(1 - len(other), len(mine)) if q < p else range(1, len(mine)):
+                run = []
+                for i in range(len(mine) + 1):
+                    if i < len(mine) and 0 <= i - shift < len(other) and mine[i] == other[i - shift]:
+                        run.append(i)
+                    else:
+                        if sum(len(mine[j]) for j in run) >= min_chars:
+                            gone[p].update(run)
+                        run = []
+    return [[x for i, x in enumerate(l) if i not in g] for l, g in zip(lines, gone, strict=True)]
+
+
+def test_earlier_quotes_do_not_hide_a_run(spark):
+    passage = [f"Here is sentence {i} of a passage, about so long. " for i in range(10)]
+    assert all(len(a) + len(b) < line_winnowing.MIN_CHARS for a, b in zip(passage, passage[1:], strict=False))
+    # in four surroundings each
+    quotes = [f"Quote {i} of {k} begins. {passage[i]}{passage[i + 1]}And quote {i} of {k} is over." for i in range(9) for k in range(4)]
+    docs = frame(spark, [*quotes, "First place. " + "".join(passage) + "Its end.", "Later place. " + "".join(passage) + "Other end."])
+    out = {r.doc_id: r for r in line_winnowing.dedup_lines(docs).collect()}
+    assert all(out[i].removed_lines == 0 for i in range(37))
+    assert out[37].removed_lines == 10 and out[37].text == "Later place. Other end."
+
+
+def test_runs_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    stock = [f"{'abcdefghijklmnopqrstuvwxyz'[int(i) % 26] * int(n)}{i}.\n" for i, n in enumerate(rng.choice([1, 1, 8, 30, 60, 90, 170], 30))]
+    for size in (12, 30):
+        texts = ["".join(stock[int(i)] for i in rng.integers(0, size // 3, rng.integers(1, 40))) for _ in range(12)]
+        # pieces of earlier texts, so that runs have several partners
+        texts += ["".join(re.split(r"(?<=\n)", texts[int(p)])[int(a) : int(a) + 8] * 2) for p, a in zip(rng.integers(0, 12, 12), rng.integers(0, 20, 12), strict=True)]
+        want = brute_runs(texts, line_winnowing.MIN_CHARS)
+        got = {r.doc_id: r.text for r in line_winnowing.dedup_lines(frame(spark, texts)).collect()}
+        assert [bare_lines(got[i]) for i in range(len(texts))] == want
+
+
 # -- pieces
 
 
