@@ -8,7 +8,8 @@ and deficits carry over windows and partitions without any task seeing the
 others' documents.  Documents are cut where a window's share ends, so all
 windows but the last are full.
 
-The table of queues is bounded: beyond MAX_QUEUES sources, sources share queues by hash.
+Every source has its own queue, at any number of sources: shares are looked up
+in a tree over the queues' sums, in steps that grow with its depth only.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from pyspark.sql.window import Window
 from .common import stage
 from .token_count import _rows, counter
 
-MAX_QUEUES = 1024
 END_ID = 1
+#: Windows or tokens looked up at a time.
+LOOK_UPS = 1 << 18
 PIECES = "doc_id {key}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -55,50 +57,87 @@ def phases(totals: list[int], weights: list[float] | None = None) -> list[list[i
     return out
 
 
-def served(x: np.ndarray, plan: list[list[int]]) -> np.ndarray:
-    """served[s, j]: tokens queue s has given when x[j] tokens are out; whole, never falling, and summing to x.
-
-    Each queue in turn gets the whole part of its share of what is left for it
-    and those after it; the rest is its deficit, carried on.
-    """
-    big = sum(map(sum, plan))
-    kind = np.int64 if big * big < 2**63 else object  # exact either way
-    out = np.zeros((len(plan[0]), len(x)), dtype=kind)
-    began = 0
-    for give in plan:
-        amount = sum(give)
-        left, of = np.clip(x.astype(kind) - began, 0, amount), amount
-        for s, g in enumerate(give):
-            if g:
-                part = left * g // of
-                out[s] += part
-                left = left - part
-                of -= g
-        began += amount
-    return out
-
-
-def pieces_of(queue: int, begin: int, end: int, plan: list[list[int]], size: int) -> tuple[np.ndarray, ...]:
-    """Window, first and last+1 token in the queue, and offset, of each part of [begin, end) of a queue."""
-    total = sum(map(sum, plan))
-    last = -(-total // size)
-
-    def window(t: int) -> int:
-        lo, hi = 0, last - 1  # the window that holds token t: the largest k with served(k) <= t
-        while lo < hi:
+def _share(x: np.ndarray, part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """x * part // whole, exact for wholes below 2**61: an estimate, put right by the remainder, which is small again after wrapping."""
+    whole = np.maximum(whole, 1)
+    q = (x.astype(np.longdouble) * part / whole).astype(np.int64)
+    return q + (x * part - q * whole) // whole
+
+
+class Plan:
+    """Phases in turn, each a pair of arrays: queues (rising) and the tokens they give."""
+
+    def __init__(self, given: list[tuple[np.ndarray, np.ndarray]]):
+        self.total, self.phases = 0, []
+        for queues, tokens in given:
+            some = np.asarray(tokens) > 0
+            sums = np.r_[0, np.cumsum(np.asarray(tokens, dtype=np.int64)[some])]
+            if some.any():
+                self.phases.append((self.total, np.asarray(queues, dtype=np.int64)[some], sums))
+                self.total += int(sums[-1])
+
+    def at(self, queue: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens that queue[j] has given when x[j] tokens are out, and those of all queues before it; whole, never falling.
+
+        The queues of a phase are halved again and again; the first half gets the
+        whole part of its share of what both get, the second the rest, its deficit carried on.
+        """
+        mine, ahead = np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=np.int64)
+        for began, queues, sums in self.phases:
+            left = np.clip(x - began, 0, sums[-1])
+            place = np.searchsorted(queues, queue)
+            lo, hi = np.zeros(len(x), dtype=np.int64), np.full(len(x), len(queues))
+            for _ in range((len(queues) - 1).bit_length()):
+                mid = (lo + hi) // 2
+                first = _share(left, sums[mid] - sums[lo], sums[hi] - sums[lo])
+                later = place >= mid
+                ahead += np.where(later, first, 0)
+                left = np.where(later, left - first, first)
+                lo, hi = np.where(later, mid, lo), np.where(later, hi, mid)
+            ahead += np.where(place > lo, left, 0)
+            mine += np.where(queues[lo] == queue, left, 0)
+        return mine, ahead
+
+    def windows(self, queue: np.ndarray, token: np.ndarray, size: int) -> np.ndarray:
+        """The window that holds a token of a queue: the last one before which the queue has given no more than the tokens before it."""
+        lo, hi = np.zeros(len(token), dtype=np.int64), np.full(len(token), max(0, -(-self.total // size) - 1))
+        while (lo < hi).any():
             mid = (lo + hi + 1) // 2
-            if int(served(np.array([min(mid * size, total)]), plan)[queue][0]) <= t:
-                lo = mid
-            else:
-                hi = mid - 1
+            fits = self.at(queue, np.minimum(mid * size, self.total))[0] <= token
+            lo, hi = np.where(fits, mid, lo), np.where(fits, hi, mid - 1)
         return lo
 
-    k0, k1 = window(begin), window(end - 1)
-    edges = np.minimum(np.arange(k0, k1 + 2, dtype=np.int64) * size, total)
-    given = served(edges, plan)
-    ahead = (given[:queue, 1:] - given[:queue, :-1]).sum(axis=0) if queue else np.zeros(k1 - k0 + 1, dtype=np.int64)
-    own = given[queue].astype(np.int64)
-    return np.arange(k0, k1 + 1), own[:-1], own[1:], np.asarray(ahead, dtype=np.int64)
+
+def served(x: np.ndarray, plan: list[list[int]]) -> np.ndarray:
+    """served[s, j]: tokens queue s has given when x[j] tokens are out; they sum to x."""
+    n = len(plan[0])
+    whole = Plan([(np.arange(n), np.array(give, dtype=np.int64)) for give in plan])
+    return np.stack([whole.at(np.full(len(x), s), np.asarray(x, dtype=np.int64))[0] for s in range(n)])
+
+
+def pieces_of(queue: np.ndarray, begin: np.ndarray, n: np.ndarray, plan: Plan, size: int) -> tuple[np.ndarray, ...]:
+    """Document, start, length, window and offset of the pieces of documents: n tokens from begin on in their queue."""
+
+    def spread(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        doc = np.repeat(np.arange(len(count)), count)
+        return doc, np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+
+    k0, k1 = plan.windows(queue, begin, size), plan.windows(queue, begin + n - 1, size)
+    dense = k1 - k0 < n
+    doc, step = spread(np.where(dense, k1 - k0 + 1, 0))
+    k = k0[doc] + step
+    if not dense.all():  # a small queue gives nothing to most windows: only those of its tokens
+        thin, step = spread(np.where(dense, 0, n))
+        found = plan.windows(queue[thin], begin[thin] + step, size)
+        new = np.r_[True, (thin[1:] != thin[:-1]) | (found[1:] != found[:-1])]
+        doc, k = np.r_[doc, thin[new]], np.r_[k, found[new]]
+        order = np.argsort(doc, kind="stable")
+        doc, k = doc[order], k[order]
+    lo, before = plan.at(queue[doc], np.minimum(k * size, plan.total))
+    hi, after = plan.at(queue[doc], np.minimum((k + 1) * size, plan.total))
+    start, end = np.maximum(lo, begin[doc]), np.minimum(hi, (begin + n)[doc])
+    keep = end > start
+    return tuple(c[keep] for c in (doc, start - begin[doc], end - start, k, after - before + start - lo))
 
 
 def pack(
@@ -120,10 +159,7 @@ def pack(
     places in the whole queues; pass 2 cuts.
     """
     kind = docs.schema[key].dataType.simpleString()
-    sources = docs.select(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("q"))
-    many = sources.distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES
-    q = F.coalesce(F.col(source).cast("string"), F.lit(""))
-    queue = F.concat(F.lit("#"), F.pmod(F.xxhash64(q), F.lit(MAX_QUEUES))) if many else q
+    queue = F.coalesce(F.col(source).cast("string"), F.lit(""))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, part = counter(path), TaskContext.get().partitionId()
@@ -146,60 +182,42 @@ def pack(
     sums = ids.groupBy("part", "queue").agg(F.sum("n").alias("tokens"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = stage(sums.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0))), "pack-bases")
-    # at most MAX_QUEUES rows
-    totals = {r["queue"]: r["tokens"] for r in bases.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect()}
-    names = sorted(totals)
-    plan = phases([totals[s] for s in names], [float(weights.get(s, 0.0)) for s in names] if weights else None)
-    number = {s: i for i, s in enumerate(names)}
+    # written with its ids, which rise with the queues' names
+    totals = stage(bases.groupBy("queue").agg(F.sum("tokens").alias("tokens")).sort("queue").withColumn("id", F.monotonically_increasing_id()), "pack-queues")
+    table = totals.select("id", "tokens").toArrow()  # two numbers a source
+    order = np.argsort(table.column(0).to_numpy())
+    numbers, tokens_of = table.column(0).to_numpy()[order], table.column(1).to_numpy()[order]
+    rest, given = np.ones(len(numbers), dtype=bool), []
+    wanted = {s: float(w) for s, w in (weights or {}).items() if w > 0}
+    if wanted:
+        found = totals.where(F.col("queue").isin(list(wanted))).select("id", "queue").orderBy("id").collect()
+        own = np.searchsorted(numbers, np.array([r["id"] for r in found], dtype=np.int64))
+        rest[own] = False
+        given = [(own, np.array(g, dtype=np.int64)) for g in phases([int(t) for t in tokens_of[own]], [wanted[r["queue"]] for r in found])]
+    # those without a weight go on after the others, as the supply has it
+    plan = Plan([*given, (np.flatnonzero(rest), tokens_of[rest])])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, queues = batch.column(0), batch.column(1).to_pylist()
-            begin = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            n = batch.column(4).to_numpy()
-            ids = batch.column(5).to_pylist()
-            rows: dict[str, list[int]] = {}
-            for i, s in enumerate(queues):
-                rows.setdefault(s, []).append(i)
-            out: list[list[np.ndarray]] = []
-            crcs: list[int] = []
-            for s, own in rows.items():
-                own.sort(key=lambda i: begin[i])
-                # one look-up for each stretch of documents that follow each other
-                stretch: list[int] = []
-                for i in [*own, -1]:
-                    if stretch and (i < 0 or begin[i] != begin[stretch[-1]] + n[stretch[-1]]):
-                        found = pieces_of(number[s], int(begin[stretch[0]]), int(begin[stretch[-1]] + n[stretch[-1]]), plan, size)
-                        _cut(stretch, begin, n, ids, found, out, crcs)
-                        stretch = []
-                    stretch.append(i)
-            cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
-            doc, start, length, seq, off = cols
-            yield pa.RecordBatch.from_arrays(
-                [keys.take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(np.array(crcs, dtype=np.int64)), pa.array(n[doc].astype(np.int64)), pa.array(seq), pa.array(off)],
-                names=["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
-            )
-
-    placed = ids.join(bases.select("part", "queue", "base"), ["part", "queue"]).select("key", "queue", "base", "at", "n", "ids")
-    return placed.mapInArrow(pieces, PIECES.format(key=kind)).withColumnRenamed("doc_id", key)
-
+            queues = np.searchsorted(numbers, batch.column(2).to_numpy())
+            begin, n = batch.column(3).to_numpy() + batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            upto, a = np.cumsum(n), 0
+            while a < len(n):
+                z = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + LOOK_UPS, side="right")))
+                doc, start, length, seq, off = pieces_of(queues[a:z], begin[a:z], n[a:z], plan, size)
+                doc = doc + a
+                at, crcs = -1, []
+                for d, s, t in zip(doc.tolist(), start.tolist(), (start + length).tolist(), strict=True):
+                    if d != at:
+                        at, whole = d, memoryview(batch.column(6)[d].as_py())
+                    crcs.append(zlib.crc32(whole[4 * s : 4 * t]))
+                rows = pa.array(doc)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), pa.array(n[doc]), pa.array(seq), pa.array(off)],
+                    names=["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+                )
+                a = z
 
-def _cut(stretch: list[int], begin: np.ndarray, n: np.ndarray, ids: list[bytes], found: tuple[np.ndarray, ...], out: list, crcs: list[int]) -> None:
-    """Pieces of the documents of one stretch: document, start, length, window, offset; crcs in the same order."""
-    windows, lo, hi, ahead = found
-    b = begin[stretch].astype(np.int64)
-    e = b + n[stretch]
-    first = np.searchsorted(hi, b, side="right")  # the window whose part ends after b
-    last = np.searchsorted(lo, e, side="left") - 1
-    count = last - first + 1
-    doc = np.repeat(np.arange(len(stretch)), count)
-    w = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-    start, end = np.maximum(lo[w], b[doc]), np.minimum(hi[w], e[doc])
-    keep = end > start
-    doc, w, start, end = doc[keep], w[keep], start[keep], end[keep]
-    out.append([np.array(stretch)[doc], start - b[doc], end - start, windows[w], ahead[w] + start - lo[w]])
-    at = -1
-    for d, s, t in zip(doc.tolist(), (start - b[doc]).tolist(), (end - b[doc]).tolist(), strict=True):
-        if d != at:
-            at, whole = d, memoryview(ids[stretch[d]])
-        crcs.append(zlib.crc32(whole[4 * s : 4 * t]))
+    numbered = bases.join(totals.select("queue", "id"), "queue").select("part", "queue", "base", "id")
+    placed = ids.join(numbered, ["part", "queue"]).select("key", "queue", "id", "base", "at", "n", "ids")
+    return placed.mapInArrow(pieces, PIECES.format(key=kind)).withColumnRenamed("doc_id", key)

@@ -148,6 +148,40 @@ def test_served_stays_exact_for_huge_corpora():
     assert [int(v) for v in given.sum(axis=0)] == x.tolist() and [int(v) for v in given[:, -1]] == totals
 
 
+def test_packing_of_many_sources(spark):
+    rows = [(i, f"word {i} and some more words", None, f"host{i}.example", 0, None, None) for i in range(1500)]
+    rows += [(2000 + i, "hot words " * 100, None, "hot", 0, None, None) for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    names = {r[0]: r[3] for r in rows}
+    for weights in (None, {"hot": 3.0, "host7.example": 1.0, "absent": 5.0}):
+        pieces = packing.pack(docs, WORDS_FILE, 512, weights).cache()
+        check_packing(docs, pieces, 512)
+        p = pieces.toPandas()
+        assert (p.source == p.doc_id.map(names)).all()
+        share = p[p.source == "hot"].groupby("sequence_id").length.sum()
+        if weights is None:
+            share = share.reindex(range(p.sequence_id.max()), fill_value=0)
+            assert (share - 512 * p[p.source == "hot"].length.sum() / p.length.sum()).abs().max() < 12
+        else:  # the weighted sources first: the small one a quarter until it ends
+            small = p[p.source == "host7.example"]
+            assert share.loc[1] == 512 and small.sequence_id.max() == 0 and abs((small.offset + small.length).max() - small.length.sum()) < 512
+
+
+def test_shares_are_exact_and_their_look_up_finds_each_token():
+    rng = np.random.default_rng(2)
+    totals = rng.integers(1, 50, 37)
+    plan = packing.Plan([(np.arange(0, 37, 2), totals[::2]), (np.arange(1, 37, 2), totals[1::2])])
+    x = np.arange(plan.total + 1)
+    got = [plan.at(np.full(len(x), s), x) for s in range(37)]
+    mine = np.stack([g[0] for g in got])
+    assert (mine.sum(axis=0) == x).all() and (np.diff(mine) >= 0).all() and (mine[:, -1] == totals).all()
+    assert (np.stack([g[1] for g in got]) == np.cumsum(mine, axis=0) - mine).all()
+    big = rng.integers(1, 2**60, 500)
+    part = rng.integers(0, 2**60, 500) % (big + 1)
+    much = rng.integers(0, 2**60, 500) % (big + 1)
+    assert packing._share(much, part, big).tolist() == [int(a) * int(b) // int(c) for a, b, c in zip(much, part, big, strict=True)]
+
+
 def test_packing_of_no_rows(none):
     assert packing.pack(none, WORDS_FILE).count() == 0
 
