@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Trees are fitted on at most this many labelled rows, those with the smallest hash of the URL.
+#: Trees are fitted on at most this many distinct labelled URLs, those with the smallest hash.
 SAMPLE = 20_000
 #: (verdict, host suffix and path prefix)
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -165,8 +165,8 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES,
     them like others.  Repeated rows stay; other columns are not read.
     """
     ruled = with_rule(pages.select(F.col(key).alias("_gl_key"), F.col(url).cast("string").alias("_gl_url")), "_gl_url", rules)
-    labelled = ruled.where(F.col("rule").isNotNull()).select("_gl_url", "host", "rule_verdict")
-    # the sample is bounded by its parameter
+    labelled = ruled.where(F.col("rule").isNotNull()).select("_gl_url", "host", "rule_verdict").distinct()
+    # copies of a URL count once, so that none fills the sample; the sample is bounded by its parameter
     rows = labelled.orderBy(F.xxhash64("_gl_url"), "_gl_url").limit(sample).collect()
     model = fit([r[0] for r in rows], [r[1] for r in rows], np.array([r[2] == "block" for r in rows], dtype=float))
     shared = pages.sparkSession.sparkContext.broadcast(model)

@@ -131,6 +131,15 @@ def test_trees_on_held_out_urls(spark):
     assert good > max(y.mean(), 1 - y.mean()) and good > 0.8
 
 
+def test_copies_of_a_url_do_not_fill_the_sample(spark):
+    rows = [(i, f"http://h{i}.example.{'com/en' if i % 2 else 'net/de'}/{i}") for i in range(200)] + [(1000, "http://new.example.com/fr/1"), (1001, "http://new.example.net/fr/1")]
+    once = spark.createDataFrame(rows, "page_id long, url string")
+    hot = once.where("page_id < 200").orderBy(F.xxhash64("url")).first()
+    copies = spark.range(2000, 2300).select(F.col("id").alias("page_id"), F.lit(hot.url).alias("url"))
+    score = lambda df: {r.page_id: r.score for r in url_trees.judge(df, sample=200).where("rule is null").collect()}
+    assert score(once.unionByName(copies)) == score(once)
+
+
 def test_pipeline_against_its_parts(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     kept = docs
