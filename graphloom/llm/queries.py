@@ -48,7 +48,8 @@ def op5_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality_ledger.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.col("fail_bits").bitwiseAND(quality_ledger.BASE) != 0
-    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality_ledger.passes().alias("kept"), "n_lines", "fail_bits")
+    # version 3: the registered SQL keeps documents without any bit
+    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality_ledger.passes(3).alias("kept"), "n_lines", "fail_bits")
 
 
 def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -222,6 +222,11 @@ def test_ablation_counts(odd):
         assert r.kept == sum(b & mask == 0 for b in bits) and r.kept_without == sum(b & mask & ~bit == 0 for b in bits)
 
 
+def test_length_alone_does_not_reject(spark):
+    bits = spark.createDataFrame([(64,), (65,), (0,)], "fail_bits int")
+    assert [r.fail_bits for r in bits.where(quality_ledger.passes()).collect()] == [64, 0]
+
+
 def test_quality_runs_without_python(odd):
     plan = quality_ledger.ledger(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
