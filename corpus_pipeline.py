@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language that makes up at least half of them."""
+    """Documents whose languages are determined; all, if none is labelled to learn from."""
     model = language_mixture.train(docs, ~F.coalesce(held_out(), F.lit(False)))
     return language_mixture.keep_determined(docs, model)
 

@@ -175,13 +175,14 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
     return _each(docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text).cast("string").alias("_gl_text")), len(kept), model, penalty, rows, fields)
 
 
-def keep_determined(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", least: float = 0.5, penalty: float = 1.0) -> DataFrame:
-    """The rows of docs whose language is determined and has at least the proportion ``least``; all columns stay as they are."""
+def keep_determined(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", penalty: float = 1.0) -> DataFrame:
+    """The rows of docs whose languages are determined, whatever the largest proportion; a model without languages says nothing, and all rows stay."""
+    if not model[0]:
+        return docs
     at = docs.columns.index(text)
 
     def rows(batch: pa.RecordBatch, said: list[str], score: np.ndarray, sets: list[list[str]]) -> pa.RecordBatch:
-        good = np.array([s != UNDETERMINED for s in said], dtype=bool) & (score >= least)
-        return batch.filter(pa.array(good))
+        return batch.filter(pa.array(np.array([s != UNDETERMINED for s in said], dtype=bool)))
 
     return _each(docs, at, model, penalty, rows, docs.schema)
 

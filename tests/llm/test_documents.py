@@ -265,6 +265,16 @@ def test_mixtures_are_found(spark, small):
     assert out[1].languages == ["es"] and out[1].score == 1.0
 
 
+def test_documents_of_several_languages_stay(spark, small, none):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = language_mixture.train(docs)
+    by = {r.lang: r.text for r in docs.where("length(text) > 1500").select("lang", "text").collect()}
+    mixed = frame(spark, [" ".join(by[x][:1500] for x in ("de", "fr", "es")), "123 456"])
+    assert language_mixture.predict(mixed, model).where("doc_id = 0").first().score < 0.5
+    assert [r.doc_id for r in language_mixture.keep_determined(mixed, model).collect()] == [0]
+    assert language_mixture.keep_determined(mixed, language_mixture.train(none)).count() == 2
+
+
 def test_proportions_maximise_likelihood():
     rng = np.random.default_rng(1)
     p = rng.dirichlet(np.ones(40) * 0.3, size=2).T + 1e-6
