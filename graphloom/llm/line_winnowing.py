@@ -1,18 +1,27 @@
-"""Line dedup by fingerprints of minimal runs, with DataFrame functions only.
+"""Line dedup by winnowing over line hashes, with DataFrame functions only.
 
 A text is cut into lines, at line feeds and after sentence ends, so that a
-passage pasted inside a line is seen too.  A fingerprint stands for a minimal
-run: the lines from a start until min_chars characters are reached; and, where
-the next start's run ends more than one line further on, the same run longer by
-each line between.  A line is in a repeated run of min_chars or more exactly if
-it is in a repeated one of these, so that the first holder of a fingerprint is
-the only partner to compare with: no run depends on which document is tried.
-Every start counts, none is left out; short lines alone are no fingerprint.
-Where a fingerprint has an earlier place, the lines of the later one are deleted.
+passage pasted inside a line is seen too.  The steps are:
+
+1. Select.  A window is a minimal run: the lines from a start until min_chars
+   characters are reached.  Of each window the least line is selected as
+   fingerprint (longest first, then by hash, so that common short lines are
+   seldom taken).  Two places that share min_chars characters in whole lines
+   share a window, hence its fingerprint.
+2. Join.  Fingerprints that occur once are gone; every start whose window has a
+   repeated one is a candidate, whatever document holds it.
+3. Extend.  At candidate starts whole runs are hashed: the window, and, where the
+   next start's window ends more than one line further on, the same run longer by
+   each line between.  A line is in a repeated run of min_chars or more exactly if
+   it is in a repeated one of these, so that the first holder of a run is the only
+   partner to compare with: no run depends on which document is tried.
+4. Delete.  Where a run has an earlier place, the lines of the later one go.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,72 +30,137 @@ from .common import SPACE_CHARS, let, stage
 MIN_CHARS = 150
 #: Zero-width, so that the lines together are the text.
 CUT = r"(?<=\n)|(?<=[.!?] )"
+#: The same ends as plain strings, and a mark to set behind them; texts that hold the mark go by CUT.
+ENDS, MARK = ("\n", ". ", "! ", "? "), "\x01"
+#: A key that holds a share of 1 / HOT of all places or more is hot: at most HOT keys are.
+HOT = 1024
 
 
 def lines_of(text: Column) -> Column:
-    return F.split(text, CUT)
+    marked = reduce(lambda x, e: F.replace(x, F.lit(e), F.lit(e + MARK)), ENDS, text)
+    return F.when(F.contains(text, F.lit(MARK)), F.split(text, CUT)).otherwise(F.split(marked, MARK))
 
 
 def _bare(line: Column) -> Column:
-    return F.lower(F.btrim(line, F.lit(SPACE_CHARS)))
+    return F.btrim(line, F.lit(SPACE_CHARS))
+
 
+def _sums(sizes: Column) -> Column:
+    """Of each line on, the characters of 4 and of 16 lines; null where there are fewer."""
+    add = lambda c, step: F.transform(c, lambda x, i: x + F.get(c, i + step) + F.get(c, i + 2 * step) + F.get(c, i + 3 * step))
+    return let(add(sizes, 1), lambda four: F.struct(sizes.alias("one"), four.alias("four"), add(four, 4).alias("sixteen")))
 
-def _reach(sizes: Column, i: Column, min_chars: int) -> Column:
-    """How many lines from i on have min_chars together; null where the text ends before. A line has a character at least."""
 
-    def within(most: int) -> Column:
-        start = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("n"))
-        add = lambda acc, x: F.when(acc.chars < min_chars, F.struct((acc.chars + x).alias("chars"), (acc.n + 1).alias("n"))).otherwise(acc)
-        return F.aggregate(F.slice(sizes, i + 1, F.lit(most)), start, add, lambda acc: F.when(acc.chars >= min_chars, acc.n))
+def _reach(sums: Column, i: Column, min_chars: int) -> Column:
+    """How many lines from i on have min_chars together; null where the text ends before. A line has a character at least.
 
-    first, second, third = (F.get(sizes, i + k) for k in range(3))
+    Few lines do for most starts; else steps of 16, 4 and 1 lines are made while the characters stay below min_chars.
+    The state is characters << 12 | lines.
+    """
+    one = sums["one"]
+
+    def steps(state: Column | None, of: Column, step: int, most: int) -> Column:
+        n, chars = (F.lit(0), F.lit(0)) if state is None else (state.bitwiseAND(4095), F.shiftright(state, 12))
+        out, now, total = None, F.lit(0) if state is None else state, chars
+        for k in range(most):
+            total = total + F.get(of, i + n + k * step)
+            stop = F.coalesce(total >= min_chars, F.lit(True))
+            out = F.when(stop, now) if out is None else out.when(stop, now)
+            now = F.shiftleft(total, 12).bitwiseOR(n + (k + 1) * step)
+        return now if out is None else out.otherwise(now)
+
+    last = lambda s: F.when(F.get(one, i + s.bitwiseAND(4095)).isNotNull(), s.bitwiseAND(4095) + 1)
+    many = let(let(let(steps(None, sums["sixteen"], 16, min_chars // 16), lambda s: steps(s, sums["four"], 4, 3)), lambda s: steps(s, one, 1, 3)), last)
+    first, second, third = (F.get(one, i + k) for k in range(3))
     few = F.when(first >= min_chars, F.lit(1)).when(first + second >= min_chars, F.lit(2)).when(first + second + third >= min_chars, F.lit(3))
-    return few.otherwise(F.coalesce(within(16), within(min_chars)))
+    return few.otherwise(many)
+
+
+def _doc(docs: DataFrame, key: str, text: str) -> dict[str, Column]:
+    """A document's identity and place in the order: null keys last, then by key and hash of the text."""
+    return {"z": F.col(key).isNull(), "d": F.col(key), "t": F.xxhash64(text)}
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per document: d, t (its place in the order) and prints: h, m (two hashes and the number of lines) and i (the
-    first line, of those with content) of each fingerprint."""
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return (a["z"] == b["z"]) & a["d"].eqNullSafe(b["d"]) & (a["t"] == b["t"])
+
+
+def select(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """One row per document: z, d, t (its place in the order), l (hashes of its lines with content), r (lines of the window
+    from each of them that has one) and picks: h, a, b, the fingerprint of the windows from start a up to, not with, b."""
     lines = docs.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("d"),
-        F.xxhash64(text).alias("t"),
-        F.filter(F.transform(lines_of(F.col(text)), _bare), lambda b: b != "").alias("l"),
+        *(c.alias(n) for n, c in _doc(docs, key, text).items()),
+        F.filter(F.transform(lines_of(F.lower(F.col(text))), _bare), lambda b: b != "").alias("lines"),
     )
+    hashed = lines.select("z", "d", "t", F.transform("lines", lambda b: F.xxhash64(b)).alias("l"), F.transform("lines", lambda b: F.length(b)).alias("s"))
+    reaches = lambda sums: F.filter(F.transform("s", lambda _, i: _reach(sums, i, min_chars)), lambda n: n.isNotNull())
+    rank = lambda s, h: F.shiftleft((F.lit(127) - F.least(s, F.lit(127))).cast("long"), 56).bitwiseOR(h.bitwiseAND(2**56 - 1))
+    reach = hashed.select("z", "d", "t", "l", F.zip_with("s", "l", rank).alias("o"), let(_sums(F.col("s")), reaches).alias("r"))
 
-    def printed(hashes: Column, i: Column, n: Column) -> Column:
-        check = lambda s: F.struct(F.xxhash64(s).alias("h"), F.shiftleft(n.cast("long"), 32).bitwiseOR(F.hash(s).cast("long").bitwiseAND(2**32 - 1)).alias("m"), i.alias("i"))
-        return let(F.slice(hashes, i + 1, n), check)
+    def least(n: Column, i: Column) -> Column:
+        one, two, three = (F.get("o", i + k) for k in range(3))
+        return F.when(n == 1, one).when(n == 2, F.least(one, two)).when(n == 3, F.least(one, two, three)).otherwise(F.array_min(F.slice("o", i + 1, n)))
+
+    def picks(p: Column) -> Column:
+        # a window's fingerprint is its leftmost least line: another one, also if it is equal, once the line before the start was it
+        new = lambda x, i: (i == 0) | (x != F.get(p, i - 1)) | (F.get("o", i - 1) == F.get(p, i - 1))
+        begins = F.filter(F.transform(p, lambda x, i: F.when(new(x, i), i)), lambda i: i.isNotNull())
+        return let(begins, lambda b: F.transform(b, lambda i, j: F.struct(F.get(p, i).alias("h"), i.alias("a"), F.coalesce(F.get(b, j + 1), F.size(p)).alias("b"))))
 
-    def longer(hashes: Column, reach: Column) -> Column:
-        """The runs longer than the minimal one of their start, where no other start's run ends."""
-        end = lambda i: F.when(i < F.size(hashes), F.coalesce(i + F.get(reach, i), F.size(hashes) + 1)).otherwise(F.size(hashes) + 1)
-        more = lambda n, i: F.when(n.isNotNull() & (end(i + 1) - i - 1 > n), F.transform(F.sequence(n + 1, end(i + 1) - i - 1), lambda k: printed(hashes, i, k)))
-        return F.flatten(F.filter(F.transform(reach, more), lambda x: x.isNotNull()))
+    # the windows that reach min_chars are those of the first starts; no filter here, as it would be pushed into the lambdas
+    return reach.select("z", "d", "t", "l", "r", let(F.transform("r", least), picks).alias("picks"))
 
-    def all_of(hashes: Column, reach: Column) -> Column:
-        own = F.filter(F.transform(reach, lambda n, i: F.when(n.isNotNull(), printed(hashes, i, n))), lambda x: x.isNotNull())
-        return F.concat(own, longer(hashes, reach))
 
-    def found(l: Column) -> Column:
-        reach = lambda sizes: F.transform(sizes, lambda x, i: _reach(sizes, i, min_chars))
-        return let(F.transform(l, lambda b: F.xxhash64(b)), lambda hashes: let(let(F.transform(l, lambda b: F.length(b)), reach), lambda r: all_of(hashes, r)))
+def _join(places: DataFrame, found: DataFrame, total: int, on: list[str]) -> DataFrame:
+    """places with the columns that found (one row per key, n places each) has for their key; others go.
+
+    Places of hot keys meet them by broadcast, since at most HOT keys can hold 1 / HOT of the places each; the others by shuffle.
+    """
+    is_hot = F.col("n") * HOT >= total
+    hot = F.broadcast(found.where(is_hot).drop("n"))
+    cold = places.join(hot.select(*on), on, "left_anti").join(found.where(~is_hot).drop("n"), on)
+    return places.join(hot, on).unionByName(cold)
+
+
+def candidates(selected: DataFrame) -> DataFrame:
+    """The documents with a repeated fingerprint: z, d, t, l, r and starts, those of the windows that have one."""
+    places = selected.select("z", "d", "t", F.inline("picks"))
+    twice = stage(places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "winnow-twice")
+    total = selected.agg(F.sum(F.size("picks"))).first()[0] or 0
+    some = _join(places, twice, total, ["h"])
+    of = some.groupBy("z", "d", "t").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
+    rows = selected.select("z", "d", "t", "l", "r").dropDuplicates(["z", "d", "t"])
+    starts = F.flatten(F.transform("ranges", lambda x: F.sequence(x.a, x.b - 1)))
+    return rows.join(of, _same(rows, of)).select(rows["z"], rows["d"], rows["t"], "l", "r", starts.alias("starts"))
+
+
+def runs_of(candidates: DataFrame) -> DataFrame:
+    """z, d, t and h, m (two hashes and the number of lines), i (the first line, of those with content) of each run."""
+
+    def printed(i: Column, n: Column) -> Column:
+        check = lambda s: F.struct(F.xxhash64(s).alias("h"), F.shiftleft(n.cast("long"), 32).bitwiseOR(F.hash(s).cast("long").bitwiseAND(2**32 - 1)).alias("m"), i.alias("i"))
+        return let(F.slice("l", i + 1, n), check)
+
+    def from_(i: Column) -> Column:
+        """The window from i, and the longer runs up to where the next start's window ends; behind the last start up to the end."""
+        n = F.get("r", i)
+        upto = F.coalesce(F.get("r", i + 1), F.size("l") - i)
+        return F.transform(F.sequence(n, F.greatest(n, upto)), lambda k: printed(i, k))
 
-    return lines.select("d", "t", let(F.col("l"), found).alias("prints"))
+    return candidates.select("z", "d", "t", F.inline(F.flatten(F.transform("starts", from_))))
 
 
-def repeated_runs(prints: DataFrame) -> DataFrame:
-    """d, t and runs: the (a, b) first and last lines, of those with content, of repeated runs that have an earlier place.
+def repeated_runs(selected: DataFrame) -> DataFrame:
+    """z, d, t and runs: the (a, b) first and last lines, of those with content, of repeated runs that have an earlier place.
 
     Runs of one document neither overlap nor touch.
     """
-    places = prints.select("d", "t", F.inline("prints"))
-    twice = places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    some = stage(places.join(twice, "h"), "winnow-repeated")
-    first = some.groupBy("h", "m").agg(F.min(F.struct("d", "t", "i")).alias("o"))
-    later = some.join(first, ["h", "m"]).where(F.struct("d", "t", "i") != F.col("o"))
+    places = stage(runs_of(candidates(selected)), "winnow-runs")
+    place = F.struct("z", "d", "t", "i")
+    first = stage(places.groupBy("h", "m").agg(F.min(place).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1"), "winnow-first")
+    later = _join(places, first, places.count(), ["h", "m"]).where(~place.eqNullSafe(F.col("o")))
     last = F.col("i") + F.shiftright("m", 32).cast("int") - 1
-    # a document's row may be repeated: its runs are those of one copy
-    each = later.groupBy("d", "t").agg(F.sort_array(F.collect_set(F.struct(F.col("i").alias("a"), last.alias("b")))).alias("s"))
+    each = later.groupBy("z", "d", "t").agg(F.sort_array(F.collect_set(F.struct(F.col("i").alias("a"), last.alias("b")))).alias("s"))
 
     def joined(s: Column) -> Column:
         """Starts and ends never fall in this order, so a run begins where the one before has ended."""
@@ -94,25 +168,29 @@ def repeated_runs(prints: DataFrame) -> DataFrame:
         ends = F.filter(s, lambda x, j: (j == F.size(s) - 1) | F.coalesce(F.get(s, j + 1).a > x.b + 1, F.lit(False)))
         return F.zip_with(begins, ends, lambda x, y: F.struct(x.a.alias("a"), y.b.alias("b")))
 
-    return each.select("d", "t", let(F.col("s"), joined).alias("runs"))
+    return each.select("z", "d", "t", let(F.col("s"), joined).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with its text cut, and removed_lines, removed_chars (long).
 
     The first place of a run, in the order of (key, hash of the text, line), stays;
-    every later one goes.  Null and empty texts stay as they are.  Rows with a
-    null key come last in the order.  Repeated rows are one document: each is
-    cut as the first is.  Other columns stay as they are.
+    every later one goes.  Null and empty texts stay as they are.  Keys are of
+    any type that can be ordered; rows with a null key come last in the order.
+    Repeated rows are one document: each is cut as the first is.  Other columns
+    stay as they are, but for own ones named removed_lines or removed_chars,
+    which are replaced.
     """
-    prints = stage(fingerprints(docs, key, text, min_chars), "winnow")
-    runs = repeated_runs(prints).select(F.col("d").alias("_gl_d"), F.col("t").alias("_gl_t"), F.col("runs").alias("_gl_runs"))
-    keyed = docs.withColumns({"_gl_d": F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)), "_gl_t": F.xxhash64(text)})
-    joined = keyed.join(runs.hint("shuffle_hash"), ["_gl_d", "_gl_t"], "left")
+    selected = stage(select(docs, key, text, min_chars), "winnow")
+    found = repeated_runs(selected)
+    runs = found.select(*(F.col(c).alias(f"_gl_{c}") for c in ("z", "d", "t")), F.col("runs").alias("_gl_runs"))
+    keyed = docs.withColumns({f"_gl_{n}2": c for n, c in _doc(docs, key, text).items()})
+    same = (F.col("_gl_z") == F.col("_gl_z2")) & F.col("_gl_d").eqNullSafe(F.col("_gl_d2")) & (F.col("_gl_t") == F.col("_gl_t2"))
+    joined = keyed.join(runs.hint("shuffle_hash"), same, "left")
 
     def left(l: Column) -> Column:
         """The lines before, between and behind the runs."""
-        content = F.filter(F.transform(l, lambda x, i: F.when(F.btrim(x, F.lit(SPACE_CHARS)) != "", i)), lambda i: i.isNotNull())
+        content = F.filter(F.transform(l, lambda x, i: F.when(_bare(x) != "", i)), lambda i: i.isNotNull())
         gone = let(content, lambda c: F.transform("_gl_runs", lambda r: F.struct(F.get(c, r.a).alias("a"), F.get(c, r.b).alias("b"))))
         after = lambda g, r, j: F.slice(l, r.b + 2, F.coalesce(F.get(g, j + 1).a, F.size(l)) - r.b - 1)
         return let(gone, lambda g: F.concat(F.slice(l, F.lit(1), g[0].a), F.flatten(F.transform(g, lambda r, j: after(g, r, j)))))
@@ -122,4 +200,5 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     done = joined.withColumn("_gl_cut", cut)
     new = F.when(F.col("_gl_cut").isNotNull(), F.col("_gl_cut.text")).otherwise(F.col(text))
     chars = F.when(F.col("_gl_cut").isNotNull(), F.length(text) - F.length("_gl_cut.text")).otherwise(F.lit(0))
-    return done.withColumns({"removed_lines": F.coalesce("_gl_cut.n", F.lit(0).cast("long")), "removed_chars": chars.cast("long"), text: new}).drop("_gl_d", "_gl_t", "_gl_runs", "_gl_cut")
+    out = done.withColumns({"removed_lines": F.coalesce("_gl_cut.n", F.lit(0).cast("long")), "removed_chars": chars.cast("long"), text: new})
+    return out.drop(*(f"_gl_{c}{k}" for c in ("z", "d", "t") for k in ("", "2")), "_gl_runs", "_gl_cut")

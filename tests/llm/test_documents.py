@@ -410,7 +410,7 @@ def test_lines_of_odd_documents(odd, none):
 
 
 def test_lines_run_without_python(odd):
-    plan = line_winnowing.fingerprints(odd)._jdf.queryExecution().executedPlan().toString()
+    plan = line_winnowing.select(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
