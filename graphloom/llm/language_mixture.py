@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 BUCKETS = 1 << 16
 #: Each language is learnt from at most this many rows (SALTS strata of equal size, by hash of the id).
 ROWS_PER_LANGUAGE, SALTS = 1024, 256
-#: More label values than this are an error: the model is LANGUAGES x BUCKETS numbers at most.
+#: Of more label values than this, those with the most rows are learnt: the model is LANGUAGES x BUCKETS numbers at most.
 LANGUAGES = 256
 UNDETERMINED = "und"
 
@@ -57,21 +57,31 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[middle], bucket, has
 
 
-def sample_ids(docs: DataFrame, key: str, lang: str, usable: Column) -> DataFrame:
-    """At most ROWS_PER_LANGUAGE rows (key, lang) for each language, the same ones on every run."""
-    h = F.xxhash64(F.col(key))
-    rows = docs.where(usable & F.col(lang).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_gl_key"), F.col(lang).cast("string").alias("_gl_lang"), h.alias("_gl_h"))
-    w = Window.partitionBy("_gl_lang", F.pmod("_gl_h", F.lit(SALTS))).orderBy("_gl_h", "_gl_key")
-    return rows.withColumn("_gl_n", F.row_number().over(w)).where(F.col("_gl_n") <= ROWS_PER_LANGUAGE // SALTS).select("_gl_key", "_gl_lang")
+def labelled(docs: DataFrame, usable: Column, key: str, text: str, lang: str) -> DataFrame:
+    """The rows to learn from, with their own label: usable ones with key, text and label, and the label one of the LANGUAGES most frequent."""
+    cols = {"_gl_key": F.col(key), "_gl_lang": F.col(lang).cast("string"), "_gl_hash": F.xxhash64(F.col(text).cast("string")), "_gl_text": F.col(text).cast("string")}
+    rows = docs.where(usable & F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull()).select(*(c.alias(n) for n, c in cols.items()))
+    often = rows.groupBy("_gl_lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "_gl_lang").limit(LANGUAGES + 1).collect()
+    return rows if len(often) <= LANGUAGES else rows.where(F.col("_gl_lang").isin([r[0] for r in often[:LANGUAGES]]))
+
+
+def sample(rows: DataFrame) -> DataFrame:
+    """_gl_lang and _gl_text of at most ROWS_PER_LANGUAGE different (key, label, text) of each language, the same ones on every run.
+
+    Chosen by hash, from narrow rows; their texts are fetched by a join on all three, so that another
+    row of the same key, with another label or none, is never learnt in its place.  Copies of a row count once.
+    """
+    on = ["_gl_key", "_gl_lang", "_gl_hash"]
+    order = F.xxhash64("_gl_key", "_gl_hash")
+    w = Window.partitionBy("_gl_lang", F.pmod(order, F.lit(SALTS))).orderBy(order, "_gl_key", "_gl_hash")
+    chosen = rows.select(*on).distinct().withColumn("_gl_n", F.row_number().over(w)).where(F.col("_gl_n") <= ROWS_PER_LANGUAGE // SALTS).drop("_gl_n")
+    # at most LANGUAGES x ROWS_PER_LANGUAGE rows; copies of one meet before the shuffle
+    return rows.join(F.broadcast(chosen), on).groupBy(*on).agg(F.max("_gl_text").alias("_gl_text")).select("_gl_lang", "_gl_text")
 
 
 def train(docs: DataFrame, usable: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and their trigram log-probabilities (BUCKETS x languages) from a bounded sample of labelled rows."""
-    usable = F.lit(True) if usable is None else usable
-    ids = sample_ids(docs, key, lang, usable).dropDuplicates(["_gl_key"])
-    rows = docs.where(usable & F.col(text).isNotNull()).select(F.col(key).alias("_gl_key"), F.col(text).cast("string").alias("_gl_text"))
-    # the ids are at most LANGUAGES x ROWS_PER_LANGUAGE
-    labelled = rows.join(F.broadcast(ids), "_gl_key").select("_gl_lang", "_gl_text")
+    rows = sample(labelled(docs, F.lit(True) if usable is None else usable, key, text, lang))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,15 +91,17 @@ def train(docs: DataFrame, usable: Column | None = None, key: str = "doc_id", te
                 b, n = np.unique(bucket[(langs == name)[doc]], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(b), pa.string()), pa.array(b.astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "bucket", "n"])
 
-    sums = labelled.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = sums.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts")).limit(LANGUAGES + 1).collect()
-    if len(found) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages in column {lang}")
-    found.sort(key=lambda r: r["lang"])
+    def dense(group: pa.Table) -> pa.Table:
+        out = np.zeros(BUCKETS, dtype=np.int64)
+        out[group.column("bucket").to_numpy()] = group.column("n").to_numpy()
+        return pa.table([group.column("lang").slice(0, 1), pa.array([out.tobytes()], pa.binary())], names=["lang", "counts"])
+
+    sums = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    # one row a language, BUCKETS numbers each
+    found = sorted(sums.groupBy("lang").applyInArrow(dense, "lang string, counts binary").collect(), key=lambda r: r["lang"])
     counts = np.full((BUCKETS, len(found)), 0.05)
     for i, r in enumerate(found):
-        pairs = np.array([(c["bucket"], c["n"]) for c in r["counts"]], dtype=np.int64)
-        counts[pairs[:, 0], i] += pairs[:, 1]
+        counts[:, i] += np.frombuffer(r["counts"], dtype=np.int64)
     return [r["lang"] for r in found], np.log(counts / counts.sum(axis=0)) if found else counts
 
 
@@ -163,6 +175,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
 
     Null texts and texts without a letter, or a model without languages: 'und', 0.0
     and no languages.  Whole texts are read; rows stay as they are, repeated ones included.
+    Own columns named lang_pred, score or languages are replaced.
     """
     added = T.StructType().add("lang_pred", T.StringType()).add("score", T.DoubleType()).add("languages", T.ArrayType(T.StringType()))
     kept = [c for c in docs.columns if c != text and c not in added.names]
@@ -197,7 +210,8 @@ def _each(docs: DataFrame, at: int, model: tuple[list[str], np.ndarray], penalty
         table = table.astype(np.float64)
         for whole in batches:
             size = max(1, whole.column(at).nbytes // max(1, whole.num_rows))
-            step = max(1, (1 << 20) // size)
+            # a block holds its different trigrams (of one text BUCKETS at most) times the languages, several times
+            step = max(1, (1 << 22) // max(4, len(names)) // size)
             for a in range(0, whole.num_rows, step):
                 batch = whole.slice(a, step)
                 plain = [t or "" for t in batch.column(at).to_pylist()]
