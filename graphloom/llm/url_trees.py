@@ -8,16 +8,18 @@ and smoothed block rates of host suffixes; the trees judge all other URLs.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Trees are fitted on at most this many distinct labelled URLs, those with the smallest hash.
+#: Trees are fitted on at most this many distinct labelled URLs, chosen by hash.
 SAMPLE = 20_000
+#: Suffix rates of a training row come from the other folds, so that they don't tell its own label.
+FOLDS = 5
 #: (verdict, host suffix and path prefix)
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,44 +47,52 @@ def with_rule(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     return parsed.withColumns({"rule": rule, "rule_verdict": verdict})
 
 
-def _suffixes(host: str) -> tuple[str, str]:
-    labels = host.rsplit(".", 2)
-    return labels[-1], ".".join(labels[-2:])
-
-
-def features(urls: list[str], hosts: list[str], rates: dict[str, float], prior: float) -> np.ndarray:
-    out = np.zeros((len(urls), 11))
-    for i, (u, h) in enumerate(zip(urls, hosts, strict=True)):
-        n = len(u)
-        counts = Counter(u)
-        tail = u.split("://", 1)[-1][len(h) :]
-        path, _, query = tail.partition("#")[0].partition("?")
-        top, two = _suffixes(h)
-        out[i] = (
-            n,
-            len(h),
-            path.count("/"),
-            h.count("."),
-            sum(c.isdigit() for c in u) / n if n else 0,
-            sum(c.isdigit() for c in h),
-            -sum(v / n * math.log2(v / n) for v in counts.values()) if n else 0,
-            query.count("=") if query else 0,
-            h.count("-"),
-            rates.get(top, prior),
-            rates.get(two, prior),
-        )
-    return out
-
-
-def suffix_rates(hosts: list[str], y: np.ndarray, smooth: float = 20.0) -> tuple[dict[str, float], float]:
+def suffixes(hosts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """The last label of each host, and the last two."""
+    return pc.replace_substring_regex(hosts, r"(?s)^.*\.", ""), pc.replace_substring_regex(hosts, r"(?s)^.*\.([^.]*\.[^.]*)$", r"\1")
+
+
+def entropy(urls: pa.Array) -> np.ndarray:
+    """Bits per character."""
+    sizes = pc.utf8_length(urls).to_numpy(zero_copy_only=False).astype(np.int64)
+    points = np.frombuffer("".join(urls.to_pylist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    code, n = np.unique(row << 21 | points.astype(np.int64), return_counts=True)
+    whole = sizes[code >> 21]
+    return np.bincount(code >> 21, n / whole * np.log2(whole / n), minlength=len(sizes))
+
+
+def lexical(urls: pa.Array, hosts: pa.Array) -> np.ndarray:
+    """Length, host length, depth, dots, digit ratio, digits in the host, entropy, parameters, dashes in the host."""
+    number = lambda x: x.to_numpy(zero_copy_only=False).astype(np.float64)
+    n = number(pc.utf8_length(urls))
+    plain = pc.replace_substring_regex(urls, r"(?s)#.*$", "")
+    path = pc.replace_substring_regex(pc.replace_substring_regex(plain, r"(?s)\?.*$", ""), r"(?s)^.*?://[^/]*", "")
+    query = pc.replace_substring_regex(plain, r"(?s)^[^?]*\??", "")
+    count = lambda x, c: number(pc.count_substring(x, c))
+    digits = lambda x: number(pc.count_substring_regex(x, r"\p{Nd}"))
+    return np.column_stack([n, number(pc.utf8_length(hosts)), count(path, "/"), count(hosts, "."), digits(urls) / np.maximum(n, 1), digits(hosts), entropy(urls), count(query, "="), count(hosts, "-")])
+
+
+def suffix_rates(hosts: pa.Array, y: np.ndarray, smooth: float = 20.0) -> tuple[pa.Array, np.ndarray, float]:
+    """Suffixes, their block rates drawn towards the rate of all, and that rate."""
     prior = float(y.mean()) if len(y) else 0.0
-    seen: dict[str, list[float]] = {}
-    for h, v in zip(hosts, y, strict=True):
-        for s in set(_suffixes(h)):
-            c = seen.setdefault(s, [0.0, 0.0])
-            c[0] += 1
-            c[1] += v
-    return {s: (b + smooth * prior) / (n + smooth) for s, (n, b) in seen.items()}, prior
+    top, two = suffixes(hosts)
+    same = pc.equal(top, two).to_numpy(zero_copy_only=False)
+    names, at = np.unique(np.array(top.to_pylist() + two.filter(pa.array(~same)).to_pylist(), dtype=object), return_inverse=True)
+    labels = np.r_[y, y[~same]]
+    n, blocked = np.bincount(at, minlength=len(names)), np.bincount(at, labels, minlength=len(names))
+    return pa.array(names, pa.string()), (blocked + smooth * prior) / (n + smooth), prior
+
+
+def rates_of(hosts: pa.Array, rates: tuple[pa.Array, np.ndarray, float]) -> np.ndarray:
+    names, values, prior = rates
+
+    def look_up(x: pa.Array) -> np.ndarray:
+        at = pc.fill_null(pc.index_in(x, value_set=names), -1).to_numpy(zero_copy_only=False)
+        return np.where(at >= 0, np.r_[values, prior][at], prior)
+
+    return np.column_stack([look_up(x) for x in suffixes(hosts)])
 
 
 class Trees:
@@ -150,36 +160,51 @@ class Trees:
         return 1 / (1 + np.exp(-z))
 
 
-def fit(urls: list[str], hosts: list[str], blocked: np.ndarray) -> tuple[dict[str, float], float, Trees | None]:
-    """The model: suffix rates, their prior, and trees (None without labelled rows, which allows everything)."""
+def fit(urls: list[str], hosts: list[str], blocked: np.ndarray) -> tuple[tuple, Trees | None]:
+    """The model: suffix rates, and trees (None without labelled rows, which allows everything)."""
+    u, h = pa.array(urls, pa.string()), pa.array(hosts, pa.string())
+    rates = suffix_rates(h, blocked)
     if not len(urls):
-        return {}, 0.0, None
-    rates, prior = suffix_rates(hosts, blocked)
-    return rates, prior, Trees().fit(features(urls, hosts, rates, prior), blocked)
+        return rates, None
+    fold, near = np.arange(len(urls)) % FOLDS, np.zeros((len(urls), 2))
+    for f in range(FOLDS):
+        near[fold == f] = rates_of(h.filter(pa.array(fold == f)), suffix_rates(h.filter(pa.array(fold != f)), blocked[fold != f]))
+    return rates, Trees().fit(np.column_stack([lexical(u, h), near]), blocked)
+
+
+def score(urls: pa.Array, hosts: pa.Array, model: tuple[tuple, Trees]) -> np.ndarray:
+    return model[1].score(np.column_stack([lexical(urls, hosts), rates_of(hosts, model[0])]))
+
+
+def sample_of(labelled: DataFrame, url: str, size: int) -> DataFrame:
+    """About ``size`` of the distinct rows (all, if there are fewer), by a hash of the URL: filtered before any shuffle, so that
+    what reaches the driver doesn't grow with the table.  Copies of a URL count once, so that none fills the sample."""
+    h = F.xxhash64(url)
+    n = labelled.agg(F.approx_count_distinct(h, 0.02)).first()[0]
+    part = labelled if n <= size else labelled.where(F.pmod(h, F.lit(1 << 32)) < int((1 << 32) * size / n))
+    return part.distinct()
 
 
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, sample: int = SAMPLE) -> DataFrame:
     """key, host, path, rule, verdict, score (estimated probability of block; 1 or 0 by rule).
 
     A null URL and one without :// have empty host and path; the trees judge
-    them like others.  Repeated rows stay; other columns are not read.
+    them like others.  Repeated rows stay; other columns are not read.  Very
+    long URLs are read whole; without labelled URLs all others are allowed.
     """
     ruled = with_rule(pages.select(F.col(key).alias("_gl_key"), F.col(url).cast("string").alias("_gl_url")), "_gl_url", rules)
-    labelled = ruled.where(F.col("rule").isNotNull()).select("_gl_url", "host", "rule_verdict").distinct()
-    # copies of a URL count once, so that none fills the sample; the sample is bounded by its parameter
-    rows = labelled.orderBy(F.xxhash64("_gl_url"), "_gl_url").limit(sample).collect()
-    model = fit([r[0] for r in rows], [r[1] for r in rows], np.array([r[2] == "block" for r in rows], dtype=float))
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    labelled = ruled.where(F.col("rule").isNotNull()).select("_gl_url", "host", "rule_verdict")
+    rows = sorted(sample_of(labelled, "_gl_url", sample).select(F.xxhash64("_gl_url"), "_gl_url", "host", "rule_verdict").collect())[:sample]
+    model = fit([r[1] for r in rows], [r[2] for r in rows], np.array([r[3] == "block" for r in rows], dtype=float))
+    shared = pages.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rates, prior, trees = shared.value
         for batch in batches:
-            said = np.array([v == "block" for v in batch.column(5).to_pylist()], dtype=float)
-            open_ = np.array([r is None for r in batch.column(4).to_pylist()], dtype=bool)
-            if trees is not None and open_.any():
-                where = np.flatnonzero(open_)
-                urls = [u or "" for u in batch.column(1).take(pa.array(where)).to_pylist()]
-                said[where] = trees.score(features(urls, batch.column(2).take(pa.array(where)).to_pylist(), rates, prior))
+            said = pc.fill_null(pc.equal(batch.column(5), "block"), False).to_numpy(zero_copy_only=False).astype(np.float64)
+            open_ = pc.is_null(batch.column(4))
+            if shared.value[1] is not None and pc.any(open_).as_py():
+                urls, hosts = (pc.fill_null(batch.column(i).filter(open_), "") for i in (1, 2))
+                said[open_.to_numpy(zero_copy_only=False)] = score(urls, hosts, shared.value)
             verdict = np.where(said >= 0.5, "block", "allow")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array(verdict.tolist(), pa.string()), pa.array(said)], names=["key", "host", "path", "rule", "verdict", "score"])
 
