@@ -9,8 +9,10 @@ A vector that has been in enough windows is verified exactly.  A query ends
 once its k-th best distance is within the radius, since vectors within the
 radius have passed the threshold with high probability by then.
 
-Shards and query blocks are bounded, and each (shard, block) is one task's
-work; only k rows a query leave a shard.
+Shards are bounded.  A shard's task gets its vectors first and sorts them
+once; then the queries stream through it in batches, so that every vector is
+shuffled once, every query once for each shard, and memory holds a shard and a
+batch.  Only k rows a query leave a shard.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql.window import Window
 from .common import ceil_div, stage
 
 PROJECTIONS, HALF_WIDTH, SLACK, STEP = 128, 0.85, 1.6, 1.06
-SHARD_ROWS, BLOCK_QUERIES = 16_384, 2_048
+SHARD_ROWS = 16_384
 
 
 def directions(dim: int, m: int = PROJECTIONS, seed: int = 20) -> np.ndarray:
@@ -103,7 +105,7 @@ def _inside(half: float) -> float:
     return erf(half / sqrt(2))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query row, itself excluded.
 
     Vectors that are null, zero or hold null or non-finite components, and
@@ -123,34 +125,46 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     asked = base.where("asks").groupBy("vec").agg(F.min("id").alias("q"))
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v))
     size = classes.agg(F.count(F.lit(1)), F.max(norm)).first()
-    n_queries = asked.count()
-    shards, blocks = max(1, ceil_div(size[0], shard_rows)), max(1, ceil_div(n_queries, block_queries))
+    # as many as there are cores at least, if the rows are enough
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, ceil_div(size[0], shard_rows), min(cores, size[0] // 2048))
     longest = float(size[1] or 0.0)
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    index = classes.select(F.pmod(F.xxhash64("vec"), F.lit(shards)).alias("shard"), spread(blocks).alias("block"), F.size("vec").alias("dim"), "ids", "vec")
-    wanted = asked.select(spread(shards).alias("shard"), F.pmod(F.xxhash64("vec", F.lit(1)), F.lit(blocks)).alias("block"), F.size("vec").alias("dim"), "q", "vec")
+    index = classes.select(F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int").alias("shard"), F.size("vec").alias("dim"), F.lit(0).alias("asks"), F.col("ids")[0].alias("first"), "ids", "vec")
+    wanted = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.size("vec").alias("dim"), F.lit(1).alias("asks"), F.col("q").alias("first"), F.array("q").alias("ids"), "vec")
     kind = vectors.schema[key].dataType.simpleString()
-
-    def run(data: pa.Table, ask: pa.Table) -> pa.Table:
-        names = ["q", "id", "score"]
-        q_ids = ask.column("q").combine_chunks()
-        if not data.num_rows or not ask.num_rows:
-            return pa.table([q_ids.slice(0, 0), q_ids.slice(0, 0), pa.array([], pa.float64())], names=names)
-        dim = data.column("dim")[0].as_py()
-        array = lambda t: t.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, dim)
-        ids = data.column("ids").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: ids[i][0])  # rows in the order of their smallest key
-        shard = Shard(array(data)[order], longest)
-        out_q, out_id, out_s = [], [], []
-        for j, (found, score) in enumerate(shard.search(array(ask), k + 1)):
-            pairs = sorted(((-s, i) for r, s in zip(found.tolist(), score.tolist(), strict=True) for i in ids[order[r]]))[: k + 1]
-            out_q += [j] * len(pairs)
-            out_s += [-s for s, _ in pairs]
-            out_id += [i for _, i in pairs]
-        return pa.table([q_ids.take(pa.array(out_q, pa.int64())), pa.array(out_id, q_ids.type), pa.array(out_s, pa.float64())], names=names)
-
-    keys = ["shard", "block", "dim"]
-    found = index.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInArrow(run, f"q {kind}, id {kind}, score double")
+    # a shard's vectors in the order of their smallest key, then its queries
+    dealt = index.unionByName(wanted).repartition(shards, "shard").sortWithinPartitions("shard", "dim", "asks", "first")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, shard, ids = None, [], None, []
+        array = lambda col, dim: col.flatten().to_numpy().reshape(-1, dim)
+        for whole in batches:
+            codes = [whole.column(i).to_numpy() for i in range(3)]
+            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], axis=0)) + 1 if whole.num_rows else []
+            for a, z in zip([0, *cuts], [*cuts, whole.num_rows], strict=True):
+                if a == z:
+                    continue
+                part, dim = whole.slice(a, z - a), int(codes[1][a])
+                if at != (codes[0][a], dim):
+                    at, held, shard, ids = (codes[0][a], dim), [], None, []
+                if not codes[2][a]:
+                    held.append(array(part.column(5), dim))
+                    ids += part.column(4).to_pylist()
+                    continue
+                if not held:
+                    continue  # no vector of that length here
+                if shard is None:
+                    shard = Shard(np.concatenate(held), longest)
+                out_q, out_id, out_s = [], [], []
+                for j, (found, score) in enumerate(shard.search(array(part.column(5), dim), k + 1)):
+                    pairs = sorted(((-s, i) for r, s in zip(found.tolist(), score.tolist(), strict=True) for i in ids[r]))[: k + 1]
+                    out_q += [j] * len(pairs)
+                    out_s += [-s for s, _ in pairs]
+                    out_id += [i for _, i in pairs]
+                first = part.column(3)
+                yield pa.RecordBatch.from_arrays([first.take(pa.array(out_q, pa.int64())), pa.array(out_id, first.type), pa.array(out_s, pa.float64())], names=["q", "id", "score"])
+
+    found = dealt.mapInArrow(run, f"q {kind}, id {kind}, score double")
     order = [F.col("score").desc(), F.col("id")]
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("n") <= k + 1).drop("n")
     queries = base.where("asks").join(asked, "vec").select(F.col("id").alias("query_id"), "q")
