@@ -243,6 +243,49 @@ def test_languages_of_held_out_documents(spark, small):
     assert n > 20 and good / n > 0.95
 
 
+def test_only_labelled_rows_are_learnt(spark):
+    de, fr = "der schnelle braune fuchs springt über den faulen hund und schläft", "le renard brun saute par dessus le chien paresseux puis il dort"
+    rows = [(1, fr, "fr"), (2, de, "de"), (3, de + " heute", "de")]
+    same = lambda a, b: a[0] == b[0] and (a[1] == b[1]).all()
+    model = lambda r: language_mixture.train(spark.createDataFrame(r, "doc_id long, text string, lang string"))
+    want = model(rows)
+    assert want[0] == ["de", "fr"]
+    assert same(want, model([*rows, (2, "qqqq wwww zzzz", None), (None, "qqqq", "de"), (4, None, "de")]))  # no label, key or text
+    assert same(want, model([*rows, *rows[:1] * 50]))  # copies
+    both = [*rows, (2, de, "fr")]  # one key, two labels: each row teaches its own
+    assert same(model(both), model(both[::-1])) and not same(model(both), want)
+
+
+def test_more_labels_than_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_mixture, "LANGUAGES", 2)
+    rows = [(i, f"some words of text {i}", lang) for i, lang in enumerate(["b", "a", "c", "c", "a", "c"])]
+    assert language_mixture.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))[0] == ["a", "c"]
+
+
+def test_language_sets_against_all_subsets():
+    """The set that infer() chooses has the best penalised likelihood of all subsets, by brute force."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(7)
+    p = rng.dirichlet(np.ones(60) * 0.2, size=3).T + 1e-6
+    logp = np.full((language_mixture.BUCKETS, 3), -20.0)
+    logp[:60] = np.log(p / p.sum(axis=0))
+    for mix in ((1, 0, 0), (0.6, 0.4, 0), (0.4, 0.3, 0.3), (0, 0.9, 0.1)):
+        counts = [int(400 * m) for m in mix]
+        bucket = np.concatenate([rng.choice(60, c, p=p[:, i] / p[:, i].sum()) for i, c in enumerate(counts)])
+        got = language_mixture.infer(np.zeros(len(bucket), dtype=np.int64), bucket, 1, logp, steps=500)[0]
+        value = {}
+        for k in (1, 2, 3):
+            for some in combinations(range(3), k):
+                pi = np.full(k, 1 / k)
+                e = np.exp(logp[bucket][:, some])
+                for _ in range(2000):
+                    r = e * pi
+                    pi = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
+                value[some] = np.log(e @ pi).sum() - (k - 1) * 0.5 * np.log(len(bucket))
+        assert tuple(np.flatnonzero(got > 0)) == max(value, key=value.get)
+
+
 def test_languages_of_odd_texts(odd, none):
     model = language_mixture.train(odd.where("text is not null"))
     rows = language_mixture.predict(odd, model).collect()

@@ -4,6 +4,7 @@ import hashlib
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,9 +82,9 @@ def test_copies_ties_and_unusable_vectors(spark):
     assert list(few.sort_values("rank").vec_id) == [101, 102]
 
 
-def test_many_shards_and_blocks(spark, small):
+def test_many_shards(spark, small):
     e = spark.read.parquet(f"{small}/embeddings.parquet")
-    got = collision_ann.search(e, F.col("vec_id") % 20 == 0, k=20, shard_rows=100, block_queries=7).toPandas()
+    got = collision_ann.search(e, F.col("vec_id") % 20 == 0, k=20, shard_rows=100).toPandas()
     want = brute_nearest([(r.vec_id, r.embedding) for r in e.collect()], 20)
     hits = sum(len({i for i, _ in want[q]} & set(g.vec_id)) for q, g in got.groupby("query_id"))
     assert hits / (20 * len(want)) >= 0.9 and (got.groupby("query_id").size() == 20).all()
@@ -125,9 +126,9 @@ def test_trees_on_held_out_urls(spark):
     test = np.arange(len(rows)) % 4 == 0
     pick = lambda m: ([r.url for r, t in zip(rows, m, strict=True) if t], [r.host for r, t in zip(rows, m, strict=True) if t])
     urls, hosts = pick(~test)
-    rates, prior, trees = url_trees.fit(urls, hosts, y[~test])
-    urls, hosts = pick(test)
-    good = ((trees.score(url_trees.features(urls, hosts, rates, prior)) >= 0.5) == (y[test] > 0)).mean()
+    model = url_trees.fit(urls, hosts, y[~test])
+    urls, hosts = (pa.array(x) for x in pick(test))
+    good = ((url_trees.score(urls, hosts, model) >= 0.5) == (y[test] > 0)).mean()
     assert good > max(y.mean(), 1 - y.mean()) and good > 0.8
 
 
@@ -140,6 +141,83 @@ def test_copies_of_a_url_do_not_fill_the_sample(spark):
     assert score(once.unionByName(copies)) == score(once)
 
 
+def test_features_against_plain_python():
+    import math
+    from collections import Counter
+
+    urls = ["http://a-b.c1.example.com/x/y/9?a=1&b=2#c=3/?d=", "", "no scheme", "x://h#f/en/?a=1", "http://ü.example/日本/١?q", "http://h" + "/long" * 5000]
+    hosts = ["a-b.c1.example.com", "", "", "h", "ü.example", "h"]
+    got = url_trees.lexical(pa.array(urls), pa.array(hosts))
+    for row, u, h in zip(got, urls, hosts, strict=True):
+        n, plain = len(u), u.split("#")[0]
+        path = plain.split("?")[0].partition("://")[2].partition("/")
+        query = plain.partition("?")[2]
+        bits = -sum(v / n * math.log2(v / n) for v in Counter(u).values()) if n else 0
+        digits = sum(c.isdecimal() for c in u)
+        want = [n, len(h), (path[1] + path[2]).count("/") if "://" in u else plain.split("?")[0].count("/"), h.count("."), digits / max(n, 1), sum(c.isdecimal() for c in h), bits, query.count("="), h.count("-")]
+        assert row.tolist() == pytest.approx(want)
+
+
+def test_rates_of_a_training_row_come_from_other_rows():
+    hosts = pa.array([f"h.s{i}.example" for i in range(50)])
+    y = np.arange(50) % 2.0
+    names, values, prior = url_trees.suffix_rates(hosts, y, smooth=1.0)
+    own = dict(zip(names.to_pylist(), values, strict=True))
+    assert own["s1.example"] == pytest.approx((1 + prior) / 2) and own["s2.example"] == pytest.approx(prior / 2)
+    # each two-label suffix is seen once: out of fold it says nothing
+    fold = np.arange(50) % url_trees.FOLDS
+    for f in range(url_trees.FOLDS):
+        rest = url_trees.suffix_rates(hosts.filter(pa.array(fold != f)), y[fold != f])
+        assert (url_trees.rates_of(hosts.filter(pa.array(fold == f)), rest)[:, 1] == rest[2]).all()
+
+
+def test_verdicts_of_the_query_against_brute_force(spark, small):
+    """Rules by plain Python; the other URLs by the model that the same labelled URLs give."""
+    rows = {r.page_id: r.url for r in spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url").collect()}
+    got = {r.page_id: r for r in queries.op8_url_trees(spark, small).collect()}
+    assert set(got) == set(rows)
+
+    def parsed(url):
+        head, found, rest = (url or "").partition("://")
+        if not found:
+            return "", ""
+        host = rest
+        for c in "/?#":
+            host = host.split(c)[0]
+        path = rest[len(host) :]
+        for c in "?#":
+            path = path.split(c)[0]
+        return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), path
+
+    ruled = {}
+    for i, url in rows.items():
+        host, path = parsed(url)
+        fits = [(len(r), r, v) for v, r in url_trees.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.partition("/")[2])]
+        ruled[i] = (host, path, *(max(fits)[1:] if fits else (None, None)))
+        assert (got[i].host, got[i].path, got[i].rule) == ruled[i][:3]
+        assert ruled[i][3] in (None, got[i].verdict)
+    labelled = sorted({(rows[i], h, v) for i, (h, _, r, v) in ruled.items() if r})
+    order = {r.u: r.h for r in spark.createDataFrame([(u,) for u, *_ in labelled], "u string").select("u", F.xxhash64("u").alias("h")).collect()}
+    labelled.sort(key=lambda x: (order[x[0]], x[0]))
+    model = url_trees.fit([x[0] for x in labelled], [x[1] for x in labelled], np.array([x[2] == "block" for x in labelled], dtype=float))
+    for i, (h, _, r, _) in ruled.items():
+        if r is None:
+            one = url_trees.score(pa.array([rows[i] or ""]), pa.array([h]), model)[0]
+            assert got[i].score == pytest.approx(one) and got[i].verdict == ("block" if one >= 0.5 else "allow")
+
+
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), [float(v) for v in rng.normal(size=3 if i % 3 else 5)]) for i in range(1, 200)]
+    got = collision_ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5, shard_rows=20).toPandas()
+    by = dict(rows)
+    for q, g in got.groupby("query_id"):
+        same = [(i, v) for i, v in rows if len(v) == len(by[q]) and i != q]
+        best = sorted(same, key=lambda x: (-np.dot(x[1], by[q]), x[0]))[:5]
+        assert len(set(g.vec_id) & {i for i, _ in best}) >= 4 and all(len(by[i]) == len(by[q]) for i in g.vec_id)
+    assert set(got.query_id) == {i for i in range(20, 200, 20)}
+
+
 def test_pipeline_against_its_parts(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     kept = docs
