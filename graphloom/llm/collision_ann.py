@@ -43,8 +43,12 @@ class Shard:
         extra = np.sqrt(np.maximum(0.0, norm**2 - (self.x**2).sum(axis=1)))
         self.a = directions(self.x.shape[1] + 1, m)
         p = np.column_stack([self.x, extra]) @ self.a
-        self.order = np.argsort(p, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(p, self.order.T, axis=0).T.copy()
+        order = np.argsort(p, axis=0, kind="stable")
+        # the arrays stand one after another, each moved beyond the one before, so that one look-up serves all
+        self.bound = float(np.abs(p).max(initial=0.0)) + 1.0
+        self.moved = np.arange(m) * (4 * self.bound)
+        self.sorted = (np.take_along_axis(p, order, axis=0) + self.moved).T.ravel()
+        self.order = order.T.ravel()
         self.norm2, self.m = norm**2, m
         share = _inside(HALF_WIDTH)
         self.enough = max(1, int(np.floor(m * share - SLACK * np.sqrt(m * share * (1 - share)))))
@@ -62,38 +66,35 @@ class Shard:
         q = queries.astype(np.float64)
         at = np.column_stack([q, np.zeros(len(q))]) @ self.a
         radius0 = self.first_radius(q, k)
+        everyone = np.arange(n)
         for i in range(len(q)):
             if n <= k:
-                yield self._best(q[i], np.arange(n), k)
+                yield self._best(everyone, self.x @ q[i], k)
                 continue
-            counts = np.zeros(n, dtype=np.int64)
-            lo = hi = None
-            radius, found, kth = radius0, np.zeros(0, dtype=np.int64), np.inf
+            counts, score, lo, hi = np.zeros(n, dtype=np.int64), np.full(n, -np.inf), None, None
+            radius, verified = radius0, 0
             while True:
-                left = np.array([s.searchsorted(v) for s, v in zip(self.sorted, at[i] - HALF_WIDTH * radius, strict=True)])
-                right = np.array([s.searchsorted(v, side="right") for s, v in zip(self.sorted, at[i] + HALF_WIDTH * radius, strict=True)])
-                if lo is None:
-                    new = [o[a:b] for o, a, b in zip(self.order, left, right, strict=True)]
-                else:
-                    new = [o[a:b] for o, a, b in zip(self.order, left, lo, strict=True)] + [o[a:b] for o, a, b in zip(self.order, hi, right, strict=True)]
+                edge = lambda side: np.clip(at[i] + side * HALF_WIDTH * radius, -self.bound, self.bound) + self.moved  # noqa: B023, E731
+                left, right = self.sorted.searchsorted(edge(-1)), self.sorted.searchsorted(edge(1), side="right")
+                a, z = (left, right) if lo is None else (np.r_[left, hi], np.r_[lo, right])
                 lo, hi = left, right
-                counts += np.bincount(np.concatenate(new), minlength=n)
-                found = np.flatnonzero(counts >= self.enough)
-                if len(found) >= k:
-                    rows, score = self._best(q[i], found, k)
-                    kth = np.sqrt(max(self.norm2 + q[i] @ q[i] - 2 * score[-1], 0.0))
-                    if kth <= radius or len(found) == n:
-                        yield rows, score
+                counts += np.bincount(np.concatenate([self.order[b:e] for b, e in zip(a.tolist(), z.tolist(), strict=True)]), minlength=n)
+                new = np.flatnonzero((counts >= self.enough) & np.isneginf(score))
+                score[new] = self.x[new] @ q[i]
+                verified += len(new)
+                if verified >= k:
+                    kth = np.sqrt(max(self.norm2 + q[i] @ q[i] - 2 * np.partition(score, n - k)[n - k], 0.0))
+                    if kth <= radius or verified == n:
+                        yield self._best(everyone, score, k)
                         break
                     radius = max(radius * STEP, min(kth, radius * STEP**3))
                 else:
                     radius *= STEP**3
 
-    def _best(self, q: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        score = self.x[rows] @ q
+    @staticmethod
+    def _best(rows: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         if len(rows) > k:
-            least = np.partition(score, len(rows) - k)[len(rows) - k]
-            near = score >= least
+            near = score >= np.partition(score, len(rows) - k)[len(rows) - k]
             rows, score = rows[near], score[near]
         best = np.lexsort((rows, -score))[:k]
         return rows[best], score[best]
@@ -125,9 +126,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     asked = base.where("asks").groupBy("vec").agg(F.min("id").alias("q"))
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v))
     size = classes.agg(F.count(F.lit(1)), F.max(norm)).first()
-    # as many as there are cores at least, if the rows are enough
-    cores = vectors.sparkSession.sparkContext.defaultParallelism
-    shards = max(1, ceil_div(size[0], shard_rows), min(cores, size[0] // 2048))
+    shards = max(1, ceil_div(size[0], shard_rows))
     longest = float(size[1] or 0.0)
     index = classes.select(F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int").alias("shard"), F.size("vec").alias("dim"), F.lit(0).alias("asks"), F.col("ids")[0].alias("first"), "ids", "vec")
     wanted = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.size("vec").alias("dim"), F.lit(1).alias("asks"), F.col("q").alias("first"), F.array("q").alias("ids"), "vec")
