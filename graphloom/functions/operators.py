@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import CypherTypeError
-from .values import DURATION, MIXED, NULL, RANKS, E, common, kind_of, make_list, pack, to
+from .values import DURATION, E, MIXED, NULL, RANKS, common, float_text, kind_of, make_list, pack, to
 
 _BOOL = T.BooleanType()
 
@@ -130,7 +130,8 @@ def arith(op: str, a: E, b: E) -> E:
             t = common(b.t.elementType, a.t)
             return E(F.array_prepend(to(b, T.ArrayType(t)), to(a, t)), T.ArrayType(t))
         if "string" in (fa, fb):
-            return E(F.concat(mixed_text(a) if fa == "mixed" else a.col.cast("string"), mixed_text(b) if fb == "mixed" else b.col.cast("string")), T.StringType())
+            shown = lambda e: mixed_text(e) if e.family == "mixed" else float_text(e.col) if e.family == "float" else e.col.cast("string")
+            return E(F.concat(shown(a), shown(b)), T.StringType())
     if "mixed" in (fa, fb) and not {fa, fb} - {"mixed", *RANKS}:
         return _mixed_arith(op, a, b)
     if op in "+-" and fb == "duration":
@@ -159,7 +160,7 @@ def arith(op: str, a: E, b: E) -> E:
 
 def mixed_text(e: E) -> Column:
     x = e.col
-    number = F.coalesce(x["mixed_int"].cast("string"), x["mixed_number"].cast("string"))
+    number = F.coalesce(x["mixed_int"].cast("string"), float_text(x["mixed_number"]))
     return F.when(x["mixed_rank"] == 1, x["mixed_text"]).when(x["mixed_rank"] == 2, (x["mixed_number"] != 0).cast("string")).otherwise(number)
 
 

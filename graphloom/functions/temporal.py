@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import CypherTypeError
-from .values import DURATION, LOCALTIME, NULL, TIME, ZONED, E, kind_of, make_map
+from .values import DURATION, LOCALTIME, NULL, TIME, ZONED, E, float_text, kind_of, make_map
 
 _UNITS = {"years": (12, 0, 0), "quarters": (3, 0, 0), "months": (1, 0, 0), "weeks": (0, 7, 0), "days": (0, 1, 0), "hours": (0, 0, 3600), "minutes": (0, 0, 60), "seconds": (0, 0, 1), "milliseconds": (0, 0, 1e-3), "microseconds": (0, 0, 1e-6), "nanoseconds": (0, 0, 1e-9)}
+#: As whole numbers: months, days, seconds, nanoseconds.
+_WHOLE = {n: (m, d, int(x), 0) if x == int(x) else (0, 0, 0, round(x * 1e9)) for n, (m, d, x) in _UNITS.items()}
 MONTH_DAYS = 30.436875
 
 
@@ -37,15 +39,19 @@ def make_duration(months: Column, days: Column, seconds: Column) -> E:
 def duration(arg: E) -> E:
     if arg.family == "null":
         return NULL
-    total = [F.lit(0.0), F.lit(0.0), F.lit(0.0)]
+    total, whole = [F.lit(0.0), F.lit(0.0), F.lit(0.0)], [F.lit(0).cast("long")] * 4
     if arg.kind == "map":
+        fractions = False
         for f in arg.t:
             if f.name not in _UNITS:
                 raise CypherTypeError(f"a duration has no {f.name}")
-            for i, k in enumerate(_UNITS[f.name]):
+            exact = isinstance(f.dataType, (T.LongType, T.IntegerType))
+            fractions |= not exact
+            sums, units = (whole, _WHOLE) if exact else (total, _UNITS)
+            for i, k in enumerate(units[f.name]):
                 if k:
-                    total[i] = total[i] + arg.col[f.name].cast("double") * k
-        return make_duration(*total)
+                    sums[i] = sums[i] + arg.col[f.name].cast("long" if exact else "double") * k
+        return _with_whole(make_duration(*total) if fractions else None, *whole)
     if arg.family != "string":
         raise CypherTypeError("duration() takes a map or a string")
     part = lambda p: F.coalesce(F.nullif(F.regexp_extract(arg.col, p, 1), F.lit("")).cast("double"), F.lit(0.0))
@@ -53,12 +59,29 @@ def duration(arg: E) -> E:
     date_part, time_part = r"^P[^T]*?", r"T.*?"
     months = part(date_part + n + "Y") * 12 + part(date_part + n + "M")
     days = part(date_part + n + "W") * 7 + part(date_part + n + "D")
-    seconds = part(time_part + n + "H") * 3600 + part(time_part + n + "M") + part(time_part + n + "M") * 59 + part(time_part + n + "S")
+    seconds = part(time_part + n + "H") * 3600 + part(time_part + n + "M") * 60
+    # seconds as a decimal: all nine places count
+    exact = F.coalesce(F.nullif(F.regexp_extract(arg.col, time_part + n + "S", 1), F.lit("")).cast("decimal(28,9)"), F.lit(0).cast("decimal(28,9)"))
     combined = r"^P(\d{4})-(\d{2})-(\d{2})(?:T(\d{2}):(\d{2})(?::(\d{2}(?:\.\d+)?))?)?$"
     alike = F.regexp_extract(arg.col, combined, 1) != ""
     num = lambda g: F.coalesce(F.nullif(F.regexp_extract(arg.col, combined, g), F.lit("")).cast("double"), F.lit(0.0))
     either = lambda a, b: F.when(alike, a).otherwise(b)
-    return make_duration(either(num(1) * 12 + num(2), months), either(num(3), days), either(num(4) * 3600 + num(5) * 60 + num(6), seconds))
+    zero, base = F.lit(0).cast("long"), F.floor(exact)
+    rest = make_duration(either(num(1) * 12 + num(2), months), either(num(3), days), either(num(4) * 3600 + num(5) * 60 + num(6), seconds))
+    return _with_whole(rest, zero, zero, _long(base), _long((exact - base) * 1000000000))
+
+
+def _with_whole(e: E | None, months: Column, days: Column, seconds: Column, nanos: Column) -> E:
+    """A duration (none: zero) and whole parts that no double has touched; nanoseconds from 0 below a second."""
+    if e is None:
+        e = E(F.struct(*[F.lit(0).cast("long").alias(n) for n in DURATION.names]), DURATION, "duration")
+
+    def summed(x: Column) -> Column:
+        n = x["e"]["nanos"] + x["n"]
+        up = _long(F.floor(n / F.lit(1000000000).cast("decimal(20,0)")))
+        return F.struct((x["e"]["months"] + x["m"]).alias("months"), (x["e"]["days"] + x["d"]).alias("days"), (x["e"]["seconds"] + x["s"] + up).alias("seconds"), (n - up * 1000000000).alias("nanos"))
+
+    return E(let(F.struct(e.col.alias("e"), months.alias("m"), days.alias("d"), seconds.alias("s"), nanos.alias("n")), summed), DURATION, "duration")
 
 
 def date(arg: E) -> E:
@@ -562,6 +585,8 @@ def _text(e: E) -> Column:
         if e.family == "localdatetime":
             return local
         return F.concat(local, offset_text(e.col["utc_offset"]), F.coalesce(F.concat(F.lit("["), e.col["zone"], F.lit("]")), F.lit("")))
+    if e.family == "float":
+        return float_text(e.col)
     if e.family != "duration":
         return e.col.cast("string")
     c = e.col

@@ -167,6 +167,23 @@ def plain(col: Column, t: T.DataType) -> tuple[Column, bool]:
     return col, False
 
 
+def float_text(c: Column) -> Column:
+    """A float in digits: no exponent, and no fraction where there is none."""
+    s = F.abs(c).cast("string")
+    digits, e = F.regexp_replace(s, r"\.|E.*$", ""), F.coalesce(F.nullif(F.regexp_extract(s, r"E(-?\d+)$", 1), F.lit("")).cast("int"), F.lit(0))
+    large = F.when(F.length(digits) <= e + 1, F.rpad(digits, e + 1, "0")).otherwise(F.concat(F.substr(digits, F.lit(1), e + 1), F.lit("."), F.substr(digits, e + 2)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), F.rtrim(digits, F.lit("0")))
+    plain_ = F.when(e > 0, large).when(e < 0, small).otherwise(s)
+    return F.concat(F.when(c < 0, F.lit("-")).otherwise(F.lit("")), F.regexp_replace(plain_, r"\.0+$", ""))
+
+
+def sort_key(c: Column, t: T.DataType) -> Column:
+    """What a column is sorted by: nulls inside lists come last, as they do outside."""
+    if not isinstance(t, T.ArrayType) or isinstance(t.elementType, T.NullType):
+        return c
+    return F.transform(c, lambda x: F.struct(x.isNull().alias("n"), sort_key(x, t.elementType).alias("v")))
+
+
 def to(e: E, t: T.DataType) -> Column:
     """e as a value of a type that common() gave."""
     if e.t == t:

@@ -37,12 +37,15 @@ def number(c, df: DataFrame, names: list[str]) -> DataFrame:
     part = F.shiftright("_gl_at", 33).cast("int")
     sizes = {r[0]: r[1] for r in pinned.groupBy(part.alias("p")).count().collect()}  # one row per partition
     base, starts = c.graph.next_id, []
-    for p in range(max(sizes, default=-1) + 1):
-        starts.append(base)
-        base += sizes.get(p, 0) * len(names)
+    for p in sorted(sizes):
+        starts.append((p, base))
+        base += sizes[p] * len(names)
     c.graph = c.graph.with_(next_id=base)
-    first = F.element_at(F.array(*[F.lit(s) for s in starts or [base]]), part + 1) + (F.col("_gl_at").bitwiseAND((1 << 33) - 1)) * len(names)
-    return pinned.withColumns({n: (first + i).cast("long") for i, n in enumerate(names)}).drop("_gl_at")
+    # one row a partition
+    bases = F.broadcast(df.sparkSession.createDataFrame(starts, "_gl_part int, _gl_base long"))
+    first = F.col("_gl_base") + (F.col("_gl_at").bitwiseAND((1 << 33) - 1)) * len(names)
+    placed = pinned.withColumn("_gl_part", part).join(bases, "_gl_part")
+    return placed.withColumns({n: (first + i).cast("long") for i, n in enumerate(names)}).drop("_gl_at", "_gl_part", "_gl_base")
 
 
 def _add(c, table: str, key, new: DataFrame) -> None:
@@ -154,7 +157,7 @@ def merge(c, frame, body):
         keys.append(k := c.fresh("m"))
         df = df.withColumn(k, F.lit(True))
     df = cut(df)
-    if reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys], F.lit(False)) is not None and df.where(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])).limit(1).count():
+    if df.where(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])).limit(1).count():
         raise SemanticError("MERGE doesn't take null properties")
     rows = type(frame)(df, scope)
     p = PathPattern(None, nodes, rels)
@@ -172,24 +175,41 @@ def merge(c, frame, body):
         part = part.select(*[F.col(f"`{v}`") for v in frame.vars], *[F.col(f"`{v}`")["_id"].alias(f"{v}_id") for v in new])
         f = type(frame)(part, dict(frame.vars))
         frames.append((f, actions))
-    out = []
+    ids = []
     for f, actions in frames:
-        f = rebind(c, f, {v: f"{v}_id" for v in new}, nodes, rels)
         if actions:
-            f = set(c, f, actions)
-        out.append(f)
-    # a SET in one part may have changed what the other has read, so both are bound again
-    ids = [f.df.select(*[F.col(f"`{v}`") for v in frame.vars], *[F.col(f"`{v}`")["_id"].alias(f"{v}_id") for v in new]) for f in out]
+            f = set(c, rebind(c, f, {v: f"{v}_id" for v in new}, nodes, rels), actions)
+            f = type(frame)(f.df.select(*[F.col(f"`{v}`") for v in frame.vars], *[F.col(f"`{v}`")["_id"].alias(f"{v}_id") for v in new]), dict(frame.vars))
+        ids.append(f.df)
+    # a SET in one part may have changed what the other has read, so both are bound here
     both = type(frame)(cut(_union(ids)), dict(frame.vars))
     return rebind(c, both, {v: f"{v}_id" for v in new}, nodes, rels)
 
 
-def rebind(c, frame, ids: dict[str, str], nodes, rels):
-    """Joins whole current nodes and relationships by id columns."""
-    is_rel = {r.var for r in rels}
+def tables_of(c, frame, var: str, kind: str) -> list:
+    """Keys of the tables that hold some nodes or relationships, read from the rows themselves: one key a label set or type."""
+    e = frame.vars[var]
+    name = "_labels" if kind == "node" else "_type"
+    store = c.graph.nodes if kind == "node" else c.graph.rels
+    if name not in e.t.names:
+        return list(store)
+    col = e.col[name]
+    found = frame.df.where(e.col["_id"].isNotNull()).select((F.sort_array(col) if kind == "node" else col).alias("k")).distinct().collect()
+    wanted = {tuple(r["k"]) if kind == "node" else r["k"] for r in found}
+    return [k for k in store if (tuple(sorted(k)) if kind == "node" else k) in wanted]
+
+
+def rebind(c, frame, ids: dict[str, str], nodes, rels, only: dict | None = None):
+    """Joins whole current nodes and relationships by id columns: from the tables that can have them, by pattern or as told by only."""
+    is_rel, labels = {r.var: r for r in rels}, {n.var: n.labels for n in nodes}
     for v, col in ids.items():
-        tables = c.graph.rels if v in is_rel else c.graph.nodes
-        side = _union(list(tables.values()))
+        if v in is_rel:
+            tables = dict(c.graph.rel_tables(is_rel[v].types))
+        else:
+            tables = dict(c.graph.node_tables(labels.get(v, ())))
+        if only and only.get(v):
+            tables = {k: t for k, t in tables.items() if k in only[v]}
+        side = _union(list((tables or (c.graph.rels if v in is_rel else c.graph.nodes)).values()))
         key = c.fresh("id")
         side = side.select(F.col("_id").alias(key), F.struct(*side.columns).alias(v))
         df = frame.df.join(side, F.col(col) == F.col(key), "left_outer").drop(col, key)
@@ -210,10 +230,8 @@ def _update(c, frame, var: str, kind: str, values: dict[str, E], replace: bool =
     n = one.count()
     store = "nodes" if kind == "node" else "rels"
     tables = dict(getattr(c.graph, store))
-    for key, t in list(tables.items()):
-        hits = t.join(one, F.col("_id") == F.col("_gl_id"), "left_semi")
-        if hits.limit(1).count() == 0:
-            continue
+    for key in tables_of(c, frame, var, kind):
+        t = tables[key]
         joined = t.join(one, F.col("_id") == F.col("_gl_id"), "left_outer")
         hit = F.col("_gl_id").isNotNull()
         cols = {}
@@ -251,20 +269,26 @@ def _update(c, frame, var: str, kind: str, values: dict[str, E], replace: bool =
     return n
 
 
-def _reread(c, frame):
-    """Rows with the current state of their nodes and relationships."""
+def _reread(c, frame, moved: str | None = None):
+    """Rows with the current state of their nodes and relationships; one whose labels were changed may be in any table."""
     from ..plans.syntax import RelPattern
 
+    only = {v: tables_of(c, frame, v, e.kind) for v, e in frame.vars.items() if e.kind in ("node", "rel")}
+    if moved is not None:  # other names may stand for the same nodes
+        only = {v: k for v, k in only.items() if frame.vars[v].kind == "rel"}
     ids = {v: f"_gl_{v}_id" for v, e in frame.vars.items() if e.kind in ("node", "rel")}
     rest = {v: e for v, e in frame.vars.items() if v not in ids}
     df = frame.df.select(*[F.col(f"`{v}`") for v in rest], *[F.col(f"`{v}`")["_id"].alias(i) for v, i in ids.items()])
     rels = [RelPattern(v) for v in ids if frame.vars[v].kind == "rel"]
-    return rebind(c, type(frame)(cut(df), rest), ids, (), rels)
+    return rebind(c, type(frame)(cut(df), rest), ids, (), rels, only)
 
 
 def set(c, frame, actions):  # noqa: A001
     """SET: properties, maps and labels; null removes a property; a null target is left alone."""
-    for a in actions:
+    actions, at = list(actions), 0
+    while at < len(actions):
+        a = actions[at]
+        at += 1
         if a[0] == "labels":
             var, kind = _targets(frame, a[1])
             if kind != "node":
@@ -274,7 +298,12 @@ def set(c, frame, actions):  # noqa: A001
         elif a[0] == "prop":
             var, kind = _targets(frame, a[1])
             wide, x = c.lower(frame, a[3])
-            c.stats.properties_set += _update(c, wide, var, kind, {a[2]: c.ex(x, wide.vars)})
+            values = {a[2]: c.ex(x, wide.vars)}
+            # following constants for the same target go along: one join, one new table
+            while at < len(actions) and (b := actions[at])[0] == "prop" and b[1] == a[1] and b[2] not in values and not any(y.op not in ("lit", "param", "neg", "list", "map") for y in b[3].walk()):
+                values[b[2]] = c.ex(b[3], wide.vars)
+                at += 1
+            c.stats.properties_set += len(values) * _update(c, wide, var, kind, values)
         else:
             var, kind = _targets(frame, a[1])
             e = c.ex(a[2], frame.vars)
@@ -282,7 +311,7 @@ def set(c, frame, actions):  # noqa: A001
                 raise CypherTypeError("SET takes a map here")
             values = {f.name: E(e.col[f.name], f.dataType, kind_of(f.dataType)) for f in e.t if not f.name.startswith("_")}
             c.stats.properties_set += len(values) * _update(c, frame, var, kind, values, a[0] == "replace")
-        frame = _reread(c, frame)
+        frame = _reread(c, frame, var if a[0] == "labels" else None)
     return frame
 
 
@@ -294,7 +323,7 @@ def remove(c, frame, items):
             c.stats.labels_removed += _update(c, frame, var, kind, {}, labels=lambda l, gone=gone: F.array_except(l, gone))
         else:
             c.stats.properties_set += _update(c, frame, var, kind, {names: E(F.lit(None), T.NullType())})
-        frame = _reread(c, frame)
+        frame = _reread(c, frame, var if what == "labels" else None)
     return frame
 
 
@@ -319,22 +348,35 @@ def delete(c, frame, body):
     ids = lambda frames: cut(_union(frames).where("_gl_id IS NOT NULL").distinct()) if frames else None
     dead_rels, dead_nodes = ids(rels), ids(nodes)
     frame = frame.bind(cut(frame.df))
-    tables = dict(c.graph.rels)
-    before = sum(t.count() for t in tables.values())
-    for key, t in tables.items():
-        if dead_rels is not None:
-            t = t.join(dead_rels, t["_id"] == dead_rels["_gl_id"], "left_anti")
-        if dead_nodes is not None:
-            for end in ("_src", "_dst"):
-                left = t.join(dead_nodes, t[end] == dead_nodes["_gl_id"], "left_anti")
-                if not detach and t.join(dead_nodes, t[end] == dead_nodes["_gl_id"], "left_semi").limit(1).count():
-                    raise GraphError("a node that still has relationships can't be deleted")
-                t = left
-        tables[key] = cut(t)
-    c.stats.relationships_deleted += before - sum(t.count() for t in tables.values())
-    c.graph = c.graph.with_(rels=tables)
+
+    def gone(store: dict, dead, on: tuple[str, ...]) -> dict:
+        """key -> how many rows of a table refer to what is deleted; tables without any are left as they are."""
+        return {k: n for k, t in store.items() if (n := reduce(lambda x, y: x.unionAll(y), [t.select(F.col(c_).alias("_gl_id")) for c_ in on]).join(dead, "_gl_id", "left_semi").count())}
+
+    def without(t, dead, on: str):
+        return t.join(dead.withColumnRenamed("_gl_id", "_gl_dead"), F.col(on) == F.col("_gl_dead"), "left_anti")
+
+    new_nodes, new_rels, changed = dict(c.graph.nodes), dict(c.graph.rels), {}
+    if dead_nodes is not None:
+        hit = gone(new_nodes, dead_nodes, ("_id",))
+        c.stats.nodes_deleted += sum(hit.values())
+        for k in hit:
+            new_nodes[k] = cut(without(new_nodes[k], dead_nodes, "_id"))
+    if dead_rels is not None:
+        for k, n in gone(new_rels, dead_rels, ("_id",)).items():
+            changed[k] = without(new_rels[k], dead_rels, "_id")
+            c.stats.relationships_deleted += n
     if dead_nodes is not None:
-        new = {k: cut(t.join(dead_nodes, t["_id"] == dead_nodes["_gl_id"], "left_anti")) for k, t in c.graph.nodes.items()}
-        c.stats.nodes_deleted += sum(t.count() for t in c.graph.nodes.values()) - sum(t.count() for t in new.values())
-        c.graph = c.graph.with_(nodes=new)
+        # types whose ends can't have the labels of a deleted node aren't read
+        may = lambda need: any(need <= frozenset(k) for k in hit)
+        open_ = {k: changed.get(k, t) for k, t in new_rels.items() if k not in c.graph.ends or any(may(frozenset(e)) for e in c.graph.ends[k])}
+        for k in gone(open_, dead_nodes, ("_src", "_dst")):
+            if not detach:
+                raise GraphError("a node that still has relationships can't be deleted")
+            left = cut(without(without(open_[k], dead_nodes, "_src"), dead_nodes, "_dst"))
+            c.stats.relationships_deleted += open_[k].count() - left.count()
+            new_rels[k] = left
+            changed.pop(k, None)
+    new_rels |= {k: cut(t) for k, t in changed.items()}
+    c.graph = c.graph.with_(rels=new_rels, nodes=new_nodes)
     return frame

@@ -62,7 +62,7 @@ QUERIES: dict[str, tuple[str, str]] = {
     "percentile_cont": ("MATCH (c:Customer) RETURN c.mktsegment AS s, round(percentileCont(c.acctbal, 0.3) * 100.0) AS p", "SELECT c_mktsegment AS s, round(quantile_cont(c_acctbal, 0.3) * 100) AS p FROM customer GROUP BY 1"),
     "percentile_disc": ("MATCH (c:Customer) RETURN c.mktsegment AS s, percentileDisc(c.acctbal, 0.3) AS p", "SELECT c_mktsegment AS s, quantile_disc(c_acctbal, 0.3) AS p FROM customer GROUP BY 1"),
     "composed_aggregate": ("MATCH (o:Order) RETURN o.orderstatus AS s, count(*) * 2 + 1 AS a, max(o.totalprice) - min(o.totalprice) AS spread", "SELECT o_orderstatus AS s, count(*) * 2 + 1 AS a, max(o_totalprice) - min(o_totalprice) AS spread FROM orders GROUP BY 1"),
-    "global_agg_empty": ("MATCH (n:Nobody) RETURN count(*) AS n, sum(n.x) AS s, size(collect(n.x)) AS c, avg(n.x) AS a", "SELECT 0::BIGINT AS n, 0.0::DOUBLE AS s, 0::BIGINT AS c, NULL::DOUBLE AS a"),
+    "global_agg_empty": ("MATCH (n:Nobody) RETURN count(*) AS n, sum(n.x) AS s, size(collect(n.x)) AS c, avg(n.x) AS a", "SELECT 0::BIGINT AS n, 0::BIGINT AS s, 0::BIGINT AS c, NULL::DOUBLE AS a"),
     "with_having": ("MATCH (c:Customer)-[:PLACED]->(o:Order) WITH c, count(o) AS n, sum(o.totalprice) AS total WHERE n > 10 RETURN c.name AS name, n, round(total) AS total", "SELECT c_name AS name, count(*) AS n, round(sum(o_totalprice)) AS total FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_name HAVING count(*) > 10"),
     "with_order_limit_then_match": ("MATCH (c:Customer) WITH c ORDER BY c.acctbal DESC, c.custkey LIMIT 10 MATCH (c)-[:PLACED]->(o:Order) RETURN c.custkey AS k, count(o) AS n", "SELECT c_custkey AS k, count(*) AS n FROM (SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10) JOIN orders ON c_custkey = o_custkey GROUP BY 1"),
     "with_limit_then_where": ("MATCH (c:Customer) WITH c ORDER BY c.custkey LIMIT 20 WHERE c.acctbal > 0.0 RETURN c.custkey AS k", "SELECT c_custkey AS k FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 20) WHERE c_acctbal > 0"),
@@ -96,8 +96,26 @@ QUERIES: dict[str, tuple[str, str]] = {
     "map_projection_literal": ("MATCH (n:Nation) WITH {name: n.name, k: n.nationkey + 1} AS m RETURN m.name AS name, m['k'] AS k, keys(m)[0] AS first", "SELECT n_name AS name, (n_nationkey + 1)::BIGINT AS k, 'name' AS first FROM nation"),
     "node_properties": ("MATCH (r:Region) WITH r, properties(r) AS p RETURN p.name AS name, size(keys(r)) AS n, r.name IS NOT NULL AS has", "SELECT r_name AS name, 2::BIGINT AS n, true AS has FROM region"),
     "start_end_node": ("MATCH (n:Nation)-[r:IN_REGION]->(x:Region) RETURN n.name AS n, id(startNode(r)) = id(n) AS a, endNode(r) = x AS b", "SELECT n_name AS n, true AS a, true AS b FROM nation"),
-    "call_db_labels": ("CALL db.labels() YIELD label, count AS n WHERE n > 5 RETURN label, n", "SELECT * FROM (SELECT 'Nation' AS label, count(*) AS n FROM nation UNION ALL SELECT 'Customer', count(*) FROM customer UNION ALL SELECT 'Supplier', count(*) FROM supplier UNION ALL SELECT 'Part', count(*) FROM part UNION ALL SELECT 'Order', count(*) FROM orders UNION ALL SELECT 'Event', count(*) FROM events UNION ALL SELECT 'User', count(DISTINCT user_id) FROM events) WHERE n > 5"),
-    "call_db_relationship_types": ("CALL db.relationshipTypes() YIELD relationshipType AS t, count AS n WHERE t <> 'SUPPLIES' AND t <> 'NEXT' RETURN t, n", "SELECT 'IN_REGION' AS t, count(*) AS n FROM nation UNION ALL SELECT 'IN_NATION', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) UNION ALL SELECT 'PLACED', count(*) FROM orders UNION ALL SELECT 'CONTAINS', count(*) FROM lineitem UNION ALL SELECT 'DID', count(*) FROM events"),
+    "call_db_labels": ("CALL db.labels() YIELD label, count AS n RETURN label, n", "SELECT 'Region' AS label, count(*) AS n FROM region UNION ALL SELECT 'Nation', count(*) FROM nation UNION ALL SELECT 'Customer', count(*) FROM customer UNION ALL SELECT 'Supplier', count(*) FROM supplier UNION ALL SELECT 'Part', count(*) FROM part UNION ALL SELECT 'Order', count(*) FROM orders UNION ALL SELECT 'Event', count(*) FROM events UNION ALL SELECT 'User', count(DISTINCT user_id) FROM events"),
+    "call_db_relationship_types": ("CALL db.relationshipTypes() YIELD relationshipType AS t, count AS n RETURN t, n", f"SELECT 'IN_REGION' AS t, count(*) AS n FROM nation UNION ALL SELECT 'IN_NATION', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) UNION ALL SELECT 'PLACED', count(*) FROM orders UNION ALL SELECT 'CONTAINS', count(*) FROM lineitem UNION ALL SELECT 'DID', count(*) FROM events UNION ALL SELECT 'SUPPLIES', count(*) FROM ({_SUPPLIES}) UNION ALL SELECT 'NEXT', count(*) FROM ({_NEXT})"),
+    "call_db_property_keys": ("CALL db.propertyKeys() YIELD propertyKey AS k WHERE k STARTS WITH 'n' RETURN k", "SELECT * FROM (VALUES ('name'), ('nationkey')) t(k)"),
+    "shortest_path_events": ("MATCH (a:Event)-[:NEXT*5..5]->(b:Event) MATCH p = shortestPath((a)-[:NEXT*]->(b)) RETURN a.event_id AS a, b.event_id AS b, length(p) AS l, size(nodes(p)) AS k", "SELECT event_id AS a, b, 5::BIGINT AS l, 6::BIGINT AS k FROM (SELECT event_id, lead(event_id, 5) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NOT NULL"),
+    "shortest_path_lengths": ("MATCH (a:Event {event_type: 'click'})-[:NEXT]->(b:Event) MATCH p = shortestPath((b)-[:NEXT*]-(a)) RETURN length(p) AS l, count(*) AS n", f"SELECT 1::BIGINT AS l, count(*) AS n FROM ({_NEXT}) JOIN events ON event_id = a WHERE event_type = 'click'"),
+    "collect_content": ("MATCH (n:Nation)-[:IN_REGION]->(r:Region) WITH r, n ORDER BY n.name DESC WITH r, collect(n.name) AS l RETURN r.name AS r, l[0] AS a, l[1] AS b, l[-1] AS z, 'NATION_1' IN l AS has", "SELECT r_name AS r, l[1] AS a, l[2] AS b, l[-1] AS z, list_contains(l, 'NATION_1') AS has FROM (SELECT r_name, list(n_name ORDER BY n_name DESC) AS l FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY 1)"),
+    "return_star": ("MATCH (n:Nation) WITH n.name AS name, n.nationkey AS k RETURN *", "SELECT n_name AS name, n_nationkey::BIGINT AS k FROM nation"),
+    "sum_types": ("MATCH (p:Part) RETURN p.brand AS b, sum(p.size) AS whole, sum(DISTINCT p.size) AS once, sum(null) AS nothing", "SELECT p_brand AS b, sum(p_size)::BIGINT AS whole, sum(DISTINCT p_size)::BIGINT AS once, 0::BIGINT AS nothing FROM part GROUP BY 1"),
+    "list_order_nulls": ("UNWIND [[null], [1], [1, 2], [], [1, null], [0, 9], null] AS l WITH l ORDER BY l WITH collect(size(l)) AS s, collect(l[0]) AS f RETURN s[0] AS a, s[1] AS b, s[2] AS c, s[3] AS d, f[0] AS e, f[3] AS g", "SELECT 0::BIGINT AS a, 2::BIGINT AS b, 1::BIGINT AS c, 2::BIGINT AS d, 0::BIGINT AS e, 1::BIGINT AS g"),
+    "list_comparison": ("MATCH (p:Part) WITH [p.size, p.brand = 'Brand#11'] AS x, p RETURN p.partkey AS k, [p.size, 1] = [p.size, 1] AS a, [p.size, null] = [p.size, 1] AS b, [p.size] < [25] AS c, [1, p.size] >= [1, 25, 0] AS d, {a: p.size} = {a: 25} AS e, size(x) AS f", "SELECT p_partkey AS k, true AS a, NULL::BOOLEAN AS b, p_size < 25 AS c, p_size > 25 AS d, p_size = 25 AS e, 2::BIGINT AS f FROM part"),
+    "group_by_list": ("MATCH (p:Part) RETURN [p.brand, p.type][0] AS b, [p.size % 3, p.size % 2][1] AS m, count(*) AS n", "SELECT p_brand AS b, (p_size % 2)::BIGINT AS m, count(*) AS n FROM part GROUP BY 1, 2"),
+    "list_operators": ("MATCH (p:Part) WITH p, [1, 2] + p.size + [0] AS l RETURN p.partkey AS k, size(l) AS n, l[2] AS s, tail(l)[0] AS t, 2 IN l AS two, -p.size AS neg, sqrt(p.size * p.size) AS q", "SELECT p_partkey AS k, 4::BIGINT AS n, p_size::BIGINT AS s, 2::BIGINT AS t, true AS two, -p_size::BIGINT AS neg, p_size::DOUBLE AS q FROM part"),
+    "xor_precedence": ("MATCH (p:Part) WHERE p.size > 10 XOR p.size > 20 AND NOT p.size = 30 OR p.size = 1 RETURN p.size AS s, count(*) AS n", "SELECT p_size::BIGINT AS s, count(*) AS n FROM part WHERE ((p_size > 10) <> (p_size > 20 AND NOT p_size = 30)) OR p_size = 1 GROUP BY 1"),
+    "float_text": ("MATCH (o:Order) RETURN o.orderkey AS k, toString(o.totalprice * 100.0 >= 0.0) AS b, toString(1e20) AS big, toString(2.5) AS frac", "SELECT o_orderkey AS k, (o_totalprice >= 0)::VARCHAR AS b, '100000000000000000000' AS big, '2.5' AS frac FROM orders"),
+    "datetime_parts": ("MATCH (e:Event) WITH localdatetime(e.ts) AS t RETURN t.year AS y, t.month AS m, t.hour AS h, count(*) AS n, max(t.minute) AS mi, max(t.second) AS s", "SELECT year(ts)::BIGINT AS y, month(ts)::BIGINT AS m, hour(ts)::BIGINT AS h, count(*) AS n, max(minute(ts))::BIGINT AS mi, max(second(ts))::BIGINT AS s FROM events GROUP BY 1, 2, 3"),
+    "date_from_map_and_text": ("MATCH (o:Order) WITH date(o.orderdate) AS d WITH d, date({year: d.year, month: d.month, day: 1}) AS a, date(toString(d)) AS b RETURN a AS a, count(*) AS n, min(b) AS lo, max(b) AS hi", "SELECT date_trunc('month', o_orderdate)::DATE AS a, count(*) AS n, min(o_orderdate::DATE) AS lo, max(o_orderdate::DATE) AS hi FROM orders GROUP BY 1"),
+    "time_components": ("MATCH (e:Event) WITH localtime(e.ts) AS t RETURN t.hour AS h, count(*) AS n, max(t.minute) AS m, max(t.millisecond) AS ms", "SELECT hour(ts)::BIGINT AS h, count(*) AS n, max(minute(ts))::BIGINT AS m, max((epoch_us(ts) // 1000) % 1000)::BIGINT AS ms FROM events GROUP BY 1"),
+    "duration_exact": ("MATCH (e:Event) WITH duration({seconds: 1234567890 + e.event_id, nanoseconds: 1}) AS d RETURN count(*) AS n, min(d.nanosecondsOfSecond) AS lo, max(d.nanosecondsOfSecond) AS hi, max(d.seconds) AS s", "SELECT count(*) AS n, 1::BIGINT AS lo, 1::BIGINT AS hi, (1234567890 + max(event_id))::BIGINT AS s FROM events"),
+    "duration_scaled": ("MATCH (o:Order) WITH date(o.orderdate) AS d RETURN d + duration({days: 2}) * 3 - duration('P1D') AS e, count(*) AS n", "SELECT (o_orderdate::DATE + INTERVAL 5 DAY)::DATE AS e, count(*) AS n FROM orders GROUP BY 1"),
+    "unwind_nested": ("UNWIND [[1, 2], [], [3]] AS l UNWIND l AS x RETURN x, size(l) AS n", "SELECT x, n FROM (VALUES (1::BIGINT, 2::BIGINT), (2, 2), (3, 1)) t(x, n)"),
 }
 
 #: name -> (writing statements, the query that reads the result, SQL)
@@ -105,6 +123,11 @@ WRITES: dict[str, tuple[tuple[str, ...], str, str]] = {
     "create_then_match": (("MATCH (n:Nation) CREATE (n)-[:HAS {w: n.nationkey * 2}]->(:Flag {of: n.name})",), "MATCH (n:Nation)-[h:HAS]->(f:Flag) RETURN n.name AS n, f.of AS f, h.w AS w", "SELECT n_name AS n, n_name AS f, (n_nationkey * 2)::BIGINT AS w FROM nation"),
     "merge_dedup": (("MATCH (c:Customer) MERGE (s:Segment {name: c.mktsegment}) ON CREATE SET s.made = true", "MATCH (c:Customer) MERGE (s:Segment {name: c.mktsegment}) ON MATCH SET s.again = true"), "MATCH (s:Segment) RETURN s.name AS name, s.made AS made, s.again AS again", "SELECT DISTINCT c_mktsegment AS name, true AS made, true AS again FROM customer"),
     "set_remove": (("MATCH (n:Nation) WHERE n.nationkey < 10 SET n.low = true, n:Small REMOVE n.name",), "MATCH (n:Nation) RETURN n.nationkey AS k, n.name AS name, n.low AS low, n:Small AS small", "SELECT n_nationkey::BIGINT AS k, CASE WHEN n_nationkey >= 10 THEN n_name END AS name, CASE WHEN n_nationkey < 10 THEN true END AS low, n_nationkey < 10 AS small FROM nation"),
+    "set_maps": (("MATCH (n:Nation) WHERE n.nationkey < 5 SET n += {mark: n.nationkey * 2, name: 'low'}", "MATCH (r:Region) SET r = {label: r.name}"), "MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN n.nationkey AS k, n.name AS name, n.mark AS mark, r.label AS label, r.name AS gone", "SELECT n_nationkey::BIGINT AS k, CASE WHEN n_nationkey < 5 THEN 'low' ELSE n_name END AS name, CASE WHEN n_nationkey < 5 THEN (n_nationkey * 2)::BIGINT END AS mark, r_name AS label, NULL::VARCHAR AS gone FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "set_relationship": (("MATCH (:Customer)-[r:PLACED]->(o:Order) WHERE o.totalprice > 100000.0 SET r.large = true, r.price = o.totalprice",), "MATCH (:Customer)-[r:PLACED]->(o:Order) RETURN r.large AS large, count(*) AS n, max(r.price) AS top", "SELECT CASE WHEN o_totalprice > 100000 THEN true END AS large, count(*) AS n, max(CASE WHEN o_totalprice > 100000 THEN o_totalprice END) AS top FROM orders GROUP BY 1"),
+    "merge_relationship": (("MATCH (c:Customer)-[:IN_NATION]->(n:Nation) WHERE c.acctbal > 0.0 MERGE (n)-[r:HAS_RICH]->(n2:Tag {name: n.name}) ON CREATE SET r.new = true",), "MATCH (n:Nation)-[r:HAS_RICH]->(t:Tag) RETURN n.name AS n, t.name AS t, r.new AS new, count(*) AS k", "SELECT DISTINCT n_name AS n, n_name AS t, true AS new, 1::BIGINT AS k FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_acctbal > 0"),
+    "delete_paths": (("MATCH p = (e:Event {event_type: 'click'})-[:NEXT]->(f:Event {event_type: 'click'}) DETACH DELETE p",), "MATCH (e:Event) RETURN e.event_type AS t, count(*) AS n", f"WITH n AS ({_NEXT}), pairs AS (SELECT a, b FROM n JOIN events x ON a = x.event_id JOIN events y ON b = y.event_id WHERE x.event_type = 'click' AND y.event_type = 'click') SELECT event_type AS t, count(*) AS n FROM events WHERE event_id NOT IN (SELECT a FROM pairs UNION ALL SELECT b FROM pairs) GROUP BY 1"),
+    "index_then_call": (("CREATE INDEX ON :Customer(custkey)",), "CALL db.indexes() YIELD label, property, unique AS u RETURN label, property, u", "SELECT 'Customer' AS label, 'custkey' AS property, false AS u"),
     "detach_delete": (("MATCH (c:Customer) WHERE c.acctbal < 0.0 DETACH DELETE c",), "MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN c.mktsegment AS s, count(*) AS n", "SELECT c_mktsegment AS s, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_acctbal >= 0 GROUP BY 1"),
     "delete_relationships": (("MATCH (o:Order)-[r:CONTAINS]->(:Part) WHERE r.returnflag = 'R' DELETE r",), "MATCH (:Order)-[r:CONTAINS]->(:Part) RETURN r.returnflag AS f, count(*) AS n", "SELECT l_returnflag AS f, count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1"),
     "rollback": (("BEGIN", "MATCH (r:Region) DETACH DELETE r", "ROLLBACK"), "MATCH (r:Region) RETURN count(*) AS n", "SELECT count(*) AS n FROM region"),

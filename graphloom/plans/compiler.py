@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..errors import CypherTypeError, MissingParameter, SemanticError, UnboundVariable
 from ..functions import operators as op
 from ..functions import scalar
-from ..functions.values import NULL, PATH, E, common, kind_of, lit, make_list, make_map, to
+from ..functions.values import NULL, PATH, E, common, kind_of, lit, make_list, make_map, sort_key, to
 from ..sources.graph import Graph, _union
 from .syntax import Clause, NodePattern, PathPattern, Projection, Query, RelPattern, X, _Held
 
@@ -164,20 +164,96 @@ class Compiler:
         out = _union(frames) if len(frames) > 1 else frames[0]
         return out if not q.union_all or q.union_all[0] else out.distinct()
 
+    #: How many rows one row of the frame stands for, while only count(*) asks.
+    times: Column | None = None
+
     def part(self, clauses: list[Clause], frame: Frame) -> DataFrame:
+        if counted := self.degrees(clauses):
+            frame, self.times = counted, F.col("_times")
+            frame = self.do_return(frame, clauses[1].body)
+            self.times = None
+            return frame.df
         for c in clauses:
             frame = getattr(self, f"do_{c.kind}")(frame, c.body)
         if clauses[-1].kind == "call" and not clauses[-1].body[2]:
             return frame.df.drop("_unit")
         return frame.df if clauses[-1].kind in ("return", "call") else frame.df.limit(0).select()
 
+    def degrees(self, clauses: list[Clause]) -> Frame | None:
+        """MATCH (a)-[]-(p)-[]-(b) RETURN …, count(*): nothing is asked of the ends, so each p has its numbers of
+        relationships, and the pairs are their product, less those of a relationship with itself.  No pair is made."""
+        if [c.kind for c in clauses] != ["match", "return"] or len(clauses[0].body[0]) != 1 or clauses[0].body[1] is not None:
+            return None
+        pattern, back = clauses[0].body[0][0], clauses[1].body
+        if len(pattern.rels) != 2 or pattern.var or pattern.shortest or back.star or back.distinct or len({n.var for n in pattern.nodes if n.var}) < sum(n.var is not None for n in pattern.nodes):
+            return None
+        (a, p, b), (r, t) = pattern.nodes, pattern.rels
+        p = p if p.var else NodePattern(self.fresh("n"), p.labels, p.props)
+        whole = [e for it in back.items for e in it.expr.walk()] + [e for o, _ in back.order for e in o.walk()]
+        aggs = [e for e in whole if e.op == "agg"]
+        named = {e.args[0] for e in whole if e.op == "var"} - {it.name for it in back.items}
+        if not aggs or any(e.args[0] != "count" or e.args[2] for e in aggs) or named - {p.var} or any(e.op in ("pattern", "exists", "existsq", "patcomp") for e in whole):
+            return None
+        if any(h.hops or h.props or h.way == "both" or not h.types for h in (r, t)):
+            return None
+        towards = [r.way == "out", t.way == "in"]  # into p
+        if set(r.types) & set(t.types) and (towards[0] != towards[1] or set(r.types) != set(t.types)):
+            return None
+        for n, h, into in ((a, r, towards[0]), (b, t, towards[1])):
+            if not self.unasked(n) or not set(n.labels) <= self.sure_labels(h.types, "out", not into):
+                return None
+        key = self.fresh("mid")
+
+        def degree(h: RelPattern, into: bool, name: str) -> DataFrame:
+            tables = [x.select(F.col("_dst" if into else "_src").alias(key)) for _, x in self.graph.rel_tables(h.types)] or [self.empty_rels().select(F.col("_src").alias(key))]
+            return reduce(lambda x, y: x.unionAll(y), tables).groupBy(key).agg(F.count(F.lit(1)).alias(name))
+
+        if set(r.types) == set(t.types):
+            df = degree(r, towards[0], "_n").where("_n > 1").select(key, (F.col("_n") * (F.col("_n") - 1)).alias("_times"))
+        else:
+            df = degree(r, towards[0], "_n").join(degree(t, towards[1], "_m"), key).select(key, (F.col("_n") * F.col("_m")).alias("_times"))
+        self.notes.append(f"Degrees({p.var})")
+        frame = self.target(Frame(df), df, key, p, r.types, r.way)
+        return frame
+
     # -- patterns
     def do_match(self, frame: Frame, body) -> Frame:
         patterns, where = body
         return self.filter(self.match(frame, patterns), where)
 
+    def one_hop(self, frame: Frame, patterns, where) -> tuple[str, PathPattern] | None:
+        """The bound node and the pattern with a fresh name in its place, if a pattern is one hop from a bound node
+        of which it asks nothing, to new ones, and the condition is about new ones only: no keys of outer rows are needed."""
+        if len(patterns) != 1 or patterns[0].var or patterns[0].shortest or len(patterns[0].rels) != 1:
+            return None
+        p = patterns[0]
+        (a, b), (r,) = p.nodes, p.rels
+        bound = [n.var in frame.vars if n.var else False for n in (a, b)]
+        if sum(bound) != 1 or r.hops or r.var in frame.vars or a.var == b.var:
+            return None
+        here = a if bound[0] else b
+        if here.labels or here.props or frame.vars[here.var].kind != "node":
+            return None
+        asked = set(self.mentioned(where)) if where is not None else set()
+        for part in (a, b, r):
+            for _, e in part.props:
+                asked |= {x.args[0] for x in e.walk() if x.op == "var"}
+        if asked & set(frame.vars):
+            return None
+        fresh = NodePattern(self.fresh("n"))
+        return here.var, PathPattern(None, (fresh, b) if bound[0] else (a, fresh), p.rels)
+
     def do_optional(self, frame: Frame, body) -> Frame:
         patterns, where = body
+        if plain_ := self.one_hop(frame, patterns, where):
+            var, pattern = plain_
+            at = pattern.nodes[0].var if pattern.nodes[0].var.startswith("_") else pattern.nodes[1].var
+            inner = self.filter(self.match(self.unit(), [pattern]), where)
+            new, key = [v for v in inner.vars if not v.startswith("_")], self.fresh("k")
+            right = inner.df.select(F.col(f"`{at}`")["_id"].alias(key), *[F.col(f"`{v}`") for v in new])
+            df = frame.df.join(right, F.col(f"`{var}`")["_id"] == F.col(key), "left_outer").drop(key)
+            self.notes.append(f"OptionalMatch({', '.join(new)}), a plain left join")
+            return frame.bind(df, **{v: (inner.vars[v].t, inner.vars[v].kind) for v in new})
         known = self.correlated(frame, patterns, where)
         seeds, keys = self.seeds(frame, known)
         inner = self.filter(self.match(seeds, patterns), where)
@@ -547,7 +623,7 @@ class Compiler:
         start, end, path = self.fresh("s"), self.fresh("e"), p.var or self.fresh("p")
         pairs = frame.df.select(F.col(f"`{a.var}`")["_id"].alias(start), F.col(f"`{b.var}`")["_id"].alias(end)).distinct()
         edges = side.select("_from", "_to", F.col("_rel")["_id"].alias("_edge"))
-        found = shortest_paths(pairs, start, end, edges, lo, MAX_HOPS if hi is None else hi).withColumnRenamed("path", path)
+        found = shortest_paths(pairs, start, end, edges, lo, hi).withColumnRenamed("path", path)
         s2, e2 = self.fresh("s"), self.fresh("e")
         found = found.withColumnsRenamed({start: s2, end: e2})
         df = frame.df.join(found, (F.col(f"`{a.var}`")["_id"] == F.col(s2)) & (F.col(f"`{b.var}`")["_id"] == F.col(e2)), "left_outer").drop(s2, e2)
@@ -601,6 +677,15 @@ class Compiler:
         return self.filter(self.match(seeds, list(patterns)), where).df.select(*keys).distinct(), keys, known
 
     def semi(self, frame: Frame, e: X, negated: bool) -> Frame:
+        patterns, where = (e.args[0], e.args[1]) if e.op == "exists" else ((e.args[0],), None) if e.op == "pattern" else ((), None)
+        named = e.op == "pattern" and any(x.var and x.var not in frame.vars for p in patterns for x in (*p.nodes, *p.rels))
+        if not named and (plain_ := self.one_hop(frame, list(patterns), where)):
+            var, pattern = plain_
+            fresh = next(n for n in pattern.nodes if n.var and n.var.startswith("_"))
+            inner, key = self.filter(self.match(self.unit(), [pattern]), where), self.fresh("k")
+            right = inner.df.select(F.col(f"`{fresh.var}`")["_id"].alias(key))
+            self.notes.append(("Anti" if negated else "Semi") + f"Join on ({var}), direct")
+            return Frame(frame.df.join(right, F.col(f"`{var}`")["_id"] == F.col(key), "left_anti" if negated else "left_semi"), frame.vars)
         rows, keys, known = self.inner_rows(frame, e)
         left, own = self.with_keys(frame, known)
         rows = rows.withColumnsRenamed({k: f"{k}_i" for k in keys})
@@ -752,7 +837,8 @@ class Compiler:
                 df = self.distinct(df, made, outer)
             out = Frame(df, {n: frame.var(n, v.t, v.kind) for n, v in made.items()})
         if sort:
-            out = Frame(out.df.orderBy(*[(F.col(f"`{n}`").desc_nulls_first() if down else F.col(f"`{n}`").asc_nulls_last()) for n, down in sort]), out.vars)
+            by = lambda n: sort_key(F.col(f"`{n}`"), out.df.schema[n].dataType)
+            out = Frame(out.df.orderBy(*[by(n).desc_nulls_first() if down else by(n).asc_nulls_last() for n, down in sort]), out.vars)
         df = out.df
         if p.skip is not None:
             df = df.offset(self.amount(p.skip, "SKIP"))
@@ -795,8 +881,11 @@ class Compiler:
                         if isinstance(c, X):
                             collect(c)
 
+        self.inputs = {}
         for _, e in (*items, *order_items(order)):
             collect(e)
+        if self.inputs:  # columns that an aggregate takes by name
+            frame = Frame(frame.df.withColumns(self.inputs), frame.vars)
         group, after = list(outer), []
         key_vals = {}
         for n, e in keys:
@@ -831,6 +920,8 @@ class Compiler:
         """ordered: the rows have their place in a column, which collect() goes by."""
         name, distinct, args = x.args
         if name == "count" and not args:
+            if self.times is not None:
+                return E(F.coalesce(F.sum(self.times), F.lit(0).cast("long")), T.LongType())
             return E(F.count(F.lit(1)), T.LongType())
         if any(self.has_agg(a) for a in args):
             raise SemanticError("an aggregate inside an aggregate")
@@ -844,13 +935,16 @@ class Compiler:
         if name in ("sum", "avg"):
             if e.family not in ("int", "float", "null"):
                 raise CypherTypeError(f"{name}() takes numbers")
-            t = T.LongType() if e.family == "int" else T.DoubleType()
+            t = T.DoubleType() if e.family == "float" else T.LongType()
             if name == "avg":
                 return E(F.avg(c) if not distinct else F.sum_distinct(c.cast("double")) / F.nullif(F.count_distinct(c), F.lit(0)), T.DoubleType())
             return E(F.coalesce(F.sum_distinct(c) if distinct else F.sum(c), F.lit(0).cast(t)).cast(t), t)
         if name in ("min", "max"):
             if e.family in ("node", "map", "rel"):
                 raise CypherTypeError(f"{name}() doesn't take a {e.family}")
+            if e.family == "list":
+                by = sort_key(c, e.t)
+                return E(F.min_by(c, by) if name == "min" else F.max_by(c, by), e.t, e.kind)
             return E(F.min(c) if name == "min" else F.max(c), e.t, e.kind)
         if name == "collect" and ordered and not isinstance(e.t, T.NullType):
             placed = F.sort_array(F.collect_list(F.when(c.isNotNull(), F.struct(F.col(SEQUENCE).alias("s"), c.alias("v")))))
@@ -864,6 +958,10 @@ class Compiler:
         share = p.literal if p.literal is not None else self.graph.spark.range(1).select(p.col).first()[0]
         if name == "percentilecont":
             return E(F.percentile(c.cast("double"), F.lit(float(share))), T.DoubleType())
+        if e.family == "float" and not distinct and not isinstance(e.t, T.DecimalType):
+            held = self.fresh("x")
+            self.inputs[held] = c.cast("double")
+            return E(F.expr(f"percentile_disc({float(share)!r}D) WITHIN GROUP (ORDER BY `{held}`)"), T.DoubleType())
         ordered = F.sort_array(F.collect_set(c) if distinct else F.collect_list(c))
         at = F.greatest(F.ceil(F.lit(float(share)) * F.size(ordered)), F.lit(1)).cast("int")
         return E(F.try_element_at(ordered, at), e.t, e.kind)
