@@ -70,6 +70,10 @@ def op10_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_collision_ann, op3_language_mixture, op4_unigram_pieces, op5_simhash_bktree, op6_quality_ledger, op7_mixture_packing, op8_url_trees, op9_token_count, op10_line_winnowing)}
 
+_MARKED = "x"
+for _end in line_winnowing.ENDS:
+    _e = "chr(10)" if _end == "\n" else f"'{_end}'"
+    _MARKED = f"replace({_MARKED}, {_e}, {_e} || chr(1))"
 _CONTROL = "".join(f" + (length(x) - length(replace(x, '{c}', ''))) // {len(c)}" for c in chat_format.CONTROL)
 ORACLE_SQL = {
     "op1_chat_format": rf"""
@@ -112,5 +116,34 @@ bits AS (
     + CASE WHEN n_words > 1000000 THEN 64 ELSE 0 END AS INTEGER) AS fail_bits FROM measured
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, n_lines, fail_bits FROM bits
+""",
+    # runs are compared as texts; a run goes where an earlier place (by document, then line) has the same
+    "op10_line_winnowing": rf"""
+WITH docs AS (SELECT doc_id, text, coalesce(text, '') AS x FROM documents),
+cut AS (SELECT doc_id, unnest(list_zip(l, range(len(l)))) AS p FROM (SELECT doc_id, string_split({_MARKED}, chr(1)) AS l FROM docs)),
+pieces AS (SELECT doc_id, p[2] AS i, p[1] AS piece, trim(lower(p[1]), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS b FROM cut),
+content AS (
+  SELECT doc_id, i, b, row_number() OVER w AS j, sum(length(b)) OVER w AS upto, count(*) OVER (PARTITION BY doc_id) AS n
+  FROM pieces WHERE b <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+),
+reach AS (
+  SELECT s.doc_id, s.j, s.n, e.j AS last FROM (SELECT *, upto - length(b) + {line_winnowing.MIN_CHARS} AS need FROM content) s
+  ASOF JOIN content e ON s.doc_id = e.doc_id AND s.need <= e.upto
+),
+runs AS (
+  SELECT doc_id, j, unnest(range(last, greatest(last, coalesce(lead(last) OVER (PARTITION BY doc_id ORDER BY j) - 1, n)) + 1)) AS k FROM reach
+),
+texts AS (SELECT r.doc_id, r.j, r.k, string_agg(c.b, chr(1) ORDER BY c.j) AS run FROM runs r JOIN content c ON c.doc_id = r.doc_id AND c.j BETWEEN r.j AND r.k GROUP BY 1, 2, 3),
+later AS (SELECT doc_id, j, k FROM texts QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, j) > 1),
+gone AS (SELECT DISTINCT c.doc_id, c.j, c.i FROM content c JOIN later l ON c.doc_id = l.doc_id AND c.j BETWEEN l.j AND l.k),
+islands AS (SELECT doc_id, min(i) AS a, max(i) AS b FROM (SELECT *, j - row_number() OVER (PARTITION BY doc_id ORDER BY j) AS g FROM gone) GROUP BY doc_id, g),
+dead AS (SELECT p.doc_id, p.i FROM pieces p JOIN islands s ON p.doc_id = s.doc_id AND p.i BETWEEN s.a AND s.b),
+kept AS (
+  SELECT p.doc_id, string_agg(p.piece, '' ORDER BY p.i) FILTER (d.i IS NULL) AS rest, count(d.i) AS n
+  FROM pieces p LEFT JOIN dead d ON p.doc_id = d.doc_id AND p.i = d.i GROUP BY p.doc_id HAVING count(d.i) > 0
+)
+SELECT doc_id, CASE WHEN kept.n IS NULL THEN text ELSE coalesce(rest, '') END AS text, coalesce(kept.n, 0)::BIGINT AS removed_lines,
+  CASE WHEN kept.n IS NULL THEN 0 ELSE length(text) - length(coalesce(rest, '')) END::BIGINT AS removed_chars
+FROM docs LEFT JOIN kept USING (doc_id)
 """,
 }
