@@ -487,6 +487,17 @@ def test_earlier_quotes_do_not_hide_a_run(spark):
     assert out[37].removed_lines == 10 and out[37].text == "Later place. Other end."
 
 
+def test_runs_by_text_ids_with_ties_and_repeated_rows(spark):
+    long_ = "A line that is long enough to be a run of its own, since it has more than one hundred and fifty characters, all of which are in this one single line of text"
+    assert len(long_) >= line_winnowing.MIN_CHARS
+    rows = [("b", f"{long_}\nafter b"), ("b", f"{long_}\nafter b"), ("b", f"{long_}\nother b"), ("a", f"before a\n{long_}"), (None, long_), (None, long_), ("c", None), ("d", "")]
+    got = [(r.id, r.body, r.removed_lines) for r in line_winnowing.dedup_lines(spark.createDataFrame(rows, "id string, body string"), "id", "body").collect()]
+    assert sorted(got, key=repr) == sorted([("b", "after b", 1), ("b", "after b", 1), ("b", "other b", 1), ("a", f"before a\n{long_}", 0), (None, "", 1), (None, "", 1), ("c", None, 0), ("d", "", 0)], key=repr)
+    marked = [(1, f"x\x01 y. {long_}\nend"), (2, f"z. {long_}\nEnd \x01")]
+    cut = {r.doc_id: r.text for r in line_winnowing.dedup_lines(spark.createDataFrame(marked, "doc_id long, text string")).collect()}
+    assert cut == {1: marked[0][1], 2: "z. End \x01"}
+
+
 def test_runs_against_brute_force(spark):
     rng = np.random.default_rng(11)
     stock = [f"{'abcdefghijklmnopqrstuvwxyz'[int(i) % 26] * int(n)}{i}.\n" for i, n in enumerate(rng.choice([1, 1, 8, 30, 60, 90, 170], 30))]
