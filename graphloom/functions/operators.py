@@ -180,13 +180,19 @@ def _mixed_arith(op: str, a: E, b: E) -> E:
 
 def scale(d: Column, k: Column) -> E:
     """A duration times a number; fractions go down to the next unit (a month is 30.436875 days)."""
-    months = d["months"] * k
-    whole = F.when(months < 0, F.ceil(months)).otherwise(F.floor(months))
-    days = d["days"] * k + (months - whole) * 30.436875
-    whole_days = F.when(days < 0, F.ceil(days)).otherwise(F.floor(days))
-    seconds = (d["seconds"] + d["nanos"] / 1e9) * k + (days - whole_days) * 86400
-    floor = F.floor(seconds)
-    return E(F.struct(whole.cast("long").alias("months"), whole_days.cast("long").alias("days"), floor.cast("long").alias("seconds"), F.round((seconds - floor) * 1e9).cast("long").alias("nanos")), DURATION, "duration")
+    from .temporal import let
+
+    def scaled(x: Column) -> Column:
+        d, k = x["d"], x["k"]
+        months = d["months"] * k
+        whole = F.when(months < 0, F.ceil(months)).otherwise(F.floor(months))
+        days = d["days"] * k + (months - whole) * 30.436875
+        whole_days = F.when(days < 0, F.ceil(days)).otherwise(F.floor(days))
+        seconds = (d["seconds"] + d["nanos"] / 1e9) * k + (days - whole_days) * 86400
+        floor = F.floor(seconds)
+        return F.struct(whole.cast("long").alias("months"), whole_days.cast("long").alias("days"), floor.cast("long").alias("seconds"), F.round((seconds - floor) * 1e9).cast("long").alias("nanos"))
+
+    return E(let(F.struct(d.alias("d"), k.alias("k")), scaled), DURATION, "duration")
 
 
 def contains(x: E, l: E) -> E:
