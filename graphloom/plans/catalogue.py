@@ -19,7 +19,9 @@ def session(spark: SparkSession, sf_dir: str) -> GraphSession:
     if key not in _sessions:
         _sessions.clear()
         _sessions[key] = GraphSession.from_tables(spark, sf_dir).graph
-    return GraphSession(_sessions[key])
+    s = GraphSession(_sessions[key])
+    s.register("nations.of", [("region", "INTEGER")], [("name", "STRING")], lambda g, r: g.nodes[("Nation",)].where(F.col("regionkey") == r).select("name"))
+    return s
 
 
 _LINES = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM lineitem"
@@ -116,6 +118,22 @@ QUERIES: dict[str, tuple[str, str]] = {
     "duration_exact": ("MATCH (e:Event) WITH duration({seconds: 1234567890 + e.event_id, nanoseconds: 1}) AS d RETURN count(*) AS n, min(d.nanosecondsOfSecond) AS lo, max(d.nanosecondsOfSecond) AS hi, max(d.seconds) AS s", "SELECT count(*) AS n, 1::BIGINT AS lo, 1::BIGINT AS hi, (1234567890 + max(event_id))::BIGINT AS s FROM events"),
     "duration_scaled": ("MATCH (o:Order) WITH date(o.orderdate) AS d RETURN d + duration({days: 2}) * 3 - duration('P1D') AS e, count(*) AS n", "SELECT (o_orderdate::DATE + INTERVAL 5 DAY)::DATE AS e, count(*) AS n FROM orders GROUP BY 1"),
     "unwind_nested": ("UNWIND [[1, 2], [], [3]] AS l UNWIND l AS x RETURN x, size(l) AS n", "SELECT x, n FROM (VALUES (1::BIGINT, 2::BIGINT), (2, 2), (3, 1)) t(x, n)"),
+    "var_length_row_properties": ("UNWIND [1, 2, 5] AS k MATCH (o:Order)-[rs:CONTAINS*1..2 {linenumber: k}]-(x) RETURN k, size(rs) AS h, count(*) AS n", "WITH l AS (SELECT l_linenumber AS k, l_partkey, count(*) AS n FROM lineitem WHERE l_linenumber IN (1, 2, 5) GROUP BY 1, 2) SELECT k::BIGINT AS k, h, n FROM (SELECT k, 1::BIGINT AS h, sum(n)::BIGINT AS n FROM l GROUP BY 1 UNION ALL SELECT k, 2, sum(n * (n - 1))::BIGINT FROM l GROUP BY 1) WHERE n > 0"),
+    "middle_start": ("MATCH (c:Customer)-[:PLACED]->(o:Order {orderstatus: 'F'})-[i:CONTAINS]->(p:Part) RETURN c.mktsegment AS s, p.brand AS b, count(*) AS n, sum(i.quantity) AS q", "SELECT c_mktsegment AS s, p_brand AS b, count(*) AS n, sum(l_quantity) AS q FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderstatus = 'F' GROUP BY 1, 2"),
+    "date_truncate_units": ("MATCH (o:Order) WITH date(o.orderdate) AS d RETURN date.truncate('week', d) AS w, date.truncate('quarter', d) AS q, date.truncate('year', d) AS y, date.truncate('decade', d) AS e, count(*) AS n", "SELECT date_trunc('week', d)::DATE AS w, date_trunc('quarter', d)::DATE AS q, date_trunc('year', d)::DATE AS y, date_trunc('decade', d)::DATE AS e, count(*) AS n FROM (SELECT o_orderdate::DATE AS d FROM orders) GROUP BY ALL"),
+    "datetime_zones": ("MATCH (e:Event) WITH 1 + e.event_id % 12 AS m WITH m, datetime({year: 2020, month: m, day: 1, hour: 12, timezone: 'Europe/Berlin'}) AS t RETURN m, t.offset AS o, t.timezone AS z, t.epochSeconds AS s, count(*) AS n", "SELECT m, CASE WHEN m BETWEEN 4 AND 10 THEN '+02:00' ELSE '+01:00' END AS o, 'Europe/Berlin' AS z, (epoch(make_date(2020, m::INT, 1)) + 3600 * CASE WHEN m BETWEEN 4 AND 10 THEN 10 ELSE 11 END)::BIGINT AS s, n FROM (SELECT (1 + event_id % 12)::BIGINT AS m, count(*) AS n FROM events GROUP BY 1)"),
+    "temporal_text": ("MATCH (o:Order) WITH date(o.orderdate) AS d RETURN toString(d) AS t, toString(localdatetime({date: d, hour: 9, minute: 5})) AS l, toString(duration({days: d.day, hours: 2})) AS p, date(toString(d)) = d AS same, count(*) AS n", "SELECT strftime(d, '%Y-%m-%d') AS t, strftime(d, '%Y-%m-%dT09:05') AS l, 'P' || day(d) || 'DT2H' AS p, true AS same, count(*) AS n FROM (SELECT o_orderdate::DATE AS d FROM orders) GROUP BY ALL"),
+    "datetime_epoch": ("MATCH (e:Event) WITH datetime.fromepochmillis(1600000000000 + e.event_id) AS t RETURN t.year AS y, t.month AS m, t.day AS d, t.hour AS h, t.minute AS i, count(*) AS n, min(t.epochMillis) AS lo", "SELECT year(t)::BIGINT AS y, month(t)::BIGINT AS m, day(t)::BIGINT AS d, hour(t)::BIGINT AS h, minute(t)::BIGINT AS i, count(*) AS n, min(x)::BIGINT AS lo FROM (SELECT 1600000000000 + event_id AS x, make_timestamp((1600000000000 + event_id) * 1000) AS t FROM events) GROUP BY 1, 2, 3, 4, 5"),
+    "path_members": ("MATCH p = (n:Nation)-[:IN_REGION]->(:Region) WITH nodes(p) AS l, relationships(p) AS rs RETURN l[0].name AS a, l[1].name AS b, size(l) AS n, [r IN rs | type(r)][0] AS t", "SELECT n_name AS a, r_name AS b, 2::BIGINT AS n, 'IN_REGION' AS t FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "keys_content": ("MATCH (r:Region) UNWIND keys(r) AS k RETURN k, count(*) AS n", "SELECT k, n FROM (SELECT count(*) AS n FROM region), (VALUES ('name'), ('regionkey')) t(k)"),
+    "exists_property": ("MATCH (n:Nation) WITH {name: n.name, low: CASE WHEN n.nationkey < 5 THEN 1 END} AS m, n WHERE exists(n.name) RETURN exists(m.low) AS has, m.low IS NULL AS lacks, count(*) AS n", "SELECT n_nationkey < 5 AS has, n_nationkey >= 5 AS lacks, count(*) AS n FROM nation WHERE n_name IS NOT NULL GROUP BY 1, 2"),
+    "call_by_row": ("MATCH (r:Region) CALL nations.of(r.regionkey) YIELD name AS n WHERE n ENDS WITH '1' OR n ENDS WITH '2' RETURN r.name AS r, n", "SELECT r_name AS r, n_name AS n FROM region JOIN nation ON n_regionkey = r_regionkey WHERE right(n_name, 1) IN ('1', '2')"),
+}
+
+#: name -> (query text, its parameters, SQL)
+WITH_PARAMETERS: dict[str, tuple[str, dict, str]] = {
+    "parameters": ("MATCH (c:Customer {mktsegment: $seg}) WHERE c.acctbal > $low AND c.nationkey IN $nations RETURN c.nationkey + $more.add AS k, count(*) AS n SKIP $skip", {"seg": "BUILDING", "low": 100.5, "nations": [1, 2, 3, 24], "more": {"add": 100}, "skip": 0}, "SELECT (c_nationkey + 100)::BIGINT AS k, count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 100.5 AND c_nationkey IN (1, 2, 3, 24) GROUP BY 1"),
+    "parameter_rows": ("UNWIND $rows AS w MATCH (n:Nation {nationkey: w.k}) RETURN n.name AS n, w.v AS v", {"rows": [{"k": 3, "v": "three"}, {"k": 3, "v": None}, {"k": 99, "v": "none"}]}, "SELECT n_name AS n, v FROM nation JOIN (VALUES (3, 'three'), (3, NULL), (99, 'none')) t(k, v) ON n_nationkey = k"),
 }
 
 #: name -> (writing statements, the query that reads the result, SQL)
@@ -138,8 +156,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session(spark, sf_dir).cypher(QUERIES["two_hop_building"][0])
 
 
-def _read(text: str):
-    return lambda spark, sf_dir: session(spark, sf_dir).cypher(text)
+def _read(text: str, params: dict | None = None):
+    return lambda spark, sf_dir: session(spark, sf_dir).cypher(text, params)
 
 
 def _write(statements: tuple[str, ...], text: str):
@@ -158,10 +176,11 @@ def integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     out = {n: _read(q) for n, (q, _) in QUERIES.items()}
+    out |= {n: _read(q, p) for n, (q, p, _) in WITH_PARAMETERS.items()}
     out |= {n: _write(w, q) for n, (w, q, _) in WRITES.items()}
     return out | {"check_integrity": integrity}
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {n: sql for n, (_, sql) in QUERIES.items()} | {n: sql for n, (_, _, sql) in WRITES.items()}
+    out = {n: sql for n, (_, sql) in QUERIES.items()} | {n: sql for n, (_, _, sql) in (WITH_PARAMETERS | WRITES).items()}
     return out | {"check_integrity": "SELECT '' AS problem, 0::BIGINT AS n WHERE false"}

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import CypherTypeError, MissingParameter, SemanticError, UnboundVariable
+from ..errors import CypherTypeError, MissingParameter, ResourceLimit, SemanticError, UnboundVariable
 from ..functions import operators as op
 from ..functions import scalar
 from ..functions.values import NULL, PATH, E, common, kind_of, lit, make_list, make_map, sort_key, to
@@ -24,6 +24,9 @@ from .syntax import Clause, NodePattern, PathPattern, Projection, Query, RelPatt
 
 ALL = None
 MAX_HOPS = 30
+#: Different argument lists that a procedure may be called with in one clause.
+MAX_CALLS = 1000
+OUTPUTS = {"INTEGER": "long", "FLOAT": "double", "BOOLEAN": "boolean", "STRING": "string"}
 
 #: The place of a row in the order that a WITH gave.
 SEQUENCE = "_sequence"
@@ -340,9 +343,9 @@ class Compiler:
         order = list(range(len(hops)))
         start = next((i for i, n in enumerate(nodes) if n.var in frame.vars), None)
         if start is None:
-            # begin at the most selective end: properties, then labels
-            rank = lambda n: (len(n.props) > 0, len(n.labels) > 0)
-            start = len(nodes) - 1 if hops and all(h.hops is None for h in hops) and rank(nodes[-1]) > rank(nodes[0]) else 0
+            # begin at the most selective node: properties, then labels; between the ends only for its properties
+            rank = lambda i: (len(nodes[i].props) > 0, len(nodes[i].labels) > 0 and i in (0, len(nodes) - 1))
+            start = max(range(len(nodes)), key=rank) if all(h.hops is None for h in hops) else 0
         # hops to the right of the start, then those to the left, backwards
         steps = [(i, i, i + 1, False) for i in order[start:]] + [(i, i + 1, i, True) for i in reversed(order[:start])]
         started = None
@@ -558,8 +561,6 @@ class Compiler:
         lo, hi = r.hops
         to = self.fresh("to")
         side, rest = self.rel_filter(self.directed(r), frame, r)
-        if rest:
-            raise SemanticError("properties of a path's relationships must be constant")
         if r.var in frame.vars:
             return self.match_list(frame, a, r, b)
         self.notes.append(f"VarExpand({a.var})-{r.way}[{r.var}:{'|'.join(r.types)}*{lo}..{'' if hi is None else hi}]-({b.var})")
@@ -569,11 +570,15 @@ class Compiler:
         level = frame.df.withColumns({trail: F.array().cast(kind), seen: F.array(here)})
         found = [level] if lo == 0 else []
         hop = side.select(F.col("_from").alias("_f"), F.col("_to").alias("_t"), F.col("_rel").alias("_r"))
+        each = E(F.col("_r"), kind.elementType, "rel")
+        # properties that follow from the row hold for every relationship of its path
+        asked = reduce(lambda x, y: x & y, [op.equal(op.prop(each, k), self.ex(x, frame.vars)) for k, x in rest], F.lit(True))
         depth = 0
         while hi is None or depth < hi:
             depth += 1
             last = F.element_at(F.col(f"`{seen}`"), -1)
             step = level.join(hop, last == F.col("_f")).where(~F.exists(F.col(f"`{trail}`"), lambda x: x["_id"] == F.col("_r")["_id"]))
+            step = step.where(asked) if rest else step
             level = step.withColumns({trail: F.array_append(F.col(f"`{trail}`"), F.col("_r")), seen: F.array_append(F.col(f"`{seen}`"), F.col("_t"))}).drop("_f", "_t", "_r")
             if hi is None or depth % 6 == 0:
                 level = cut(level)
@@ -619,7 +624,9 @@ class Compiler:
         lo, hi = r.hops or (1, 1)
         if lo > 1:
             raise SemanticError("shortestPath begins at 0 or 1")
-        side, _ = self.rel_filter(self.directed(r), frame, r)
+        side, rest = self.rel_filter(self.directed(r), frame, r)
+        if rest:
+            raise SemanticError("properties of a shortest path's relationships must be constant")
         start, end, path = self.fresh("s"), self.fresh("e"), p.var or self.fresh("p")
         pairs = frame.df.select(F.col(f"`{a.var}`")["_id"].alias(start), F.col(f"`{b.var}`")["_id"].alias(end)).distinct()
         edges = side.select("_from", "_to", F.col("_rel")["_id"].alias("_edge"))
@@ -1165,24 +1172,46 @@ class Compiler:
             args = tuple(X("param", (n,)) for n, _ in proc.inputs)
         if len(args) != len(proc.inputs):
             raise SemanticError(f"{name} takes {len(proc.inputs)} arguments")
-        values = []
-        for a in args:
-            e = self.ex(a, {}) if not any(y.op == "var" for y in a.walk()) else None
-            if e is None:
-                raise SemanticError("arguments of a procedure must be constant")
-            values.append(e.literal if e.literal is not None or e.family == "null" else self.graph.spark.range(1).select(e.col).first()[0])
-        rows = proc.call(self.graph, *values)
-        names = [(n, n) for n in rows.columns] if yields in (None, "*") else yields
-        if missing := [y for y, _ in names if y not in rows.columns]:
+        by_row = any(y.op == "var" for a in args for y in a.walk())
+        es = [self.ex(a, frame.vars if by_row else {}) for a in args]
+        if by_row:
+            frame, side, key = self.call_by_row(frame, proc, es)
+        else:
+            side, key = proc.call(self.graph, *[self.constant(e) for e in es]), None
+        found = [c for c in side.columns if c != key]
+        names = [(n, n) for n in found] if yields in (None, "*") else yields
+        if missing := [y for y, _ in names if y not in found]:
             raise SemanticError(f"{name} yields no {', '.join(missing)}")
         if yields is None and frame.vars:
             names = []
-        side = rows.select(*[F.col(y).alias(a) for y, a in names])
+        side = side.select(*[F.col(f"`{y}`").alias(a) for y, a in names], *([key] if key else []))
         # the procedure's rows for each row of the query, as the language asks
-        df = frame.df.crossJoin(side) if names else frame.df
-        frame = frame.bind(df, **{a: (side.schema[a].dataType, "value") for _, a in names})
+        df = (frame.df.join(side, key) if key else frame.df.crossJoin(side)) if names else frame.df
+        frame = frame.bind(df.drop(key) if key else df, **{a: (side.schema[a].dataType, "value") for _, a in names})
         return self.filter(frame, where)
 
+    def constant(self, e: E):
+        return e.literal if e.literal is not None or e.family == "null" else self.graph.spark.range(1).select(e.col).first()[0]
+
+    def call_by_row(self, frame: Frame, proc, es: list[E]) -> tuple[Frame, DataFrame, str]:
+        """The frame with the number of each row's arguments, and the rows of one call for each number.
+
+        A procedure is called on the driver, so that more than MAX_CALLS different argument lists are an error.
+        """
+        spark, key, keys = self.graph.spark, self.fresh("call"), [self.fresh("k") for _ in es]
+        df = frame.df.withColumns({k: e.col for k, e in zip(keys, es, strict=True)})
+        asked = df.select(*keys).distinct()
+        rows = asked.limit(MAX_CALLS + 1).collect()
+        if len(rows) > MAX_CALLS:
+            raise ResourceLimit(f"a procedure is called with more than {MAX_CALLS} different argument lists")
+        schema = T.StructType([T.StructField(key, T.LongType()), *[T.StructField(f"{f.name}_i", f.dataType) for f in asked.schema]])
+        numbered = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], schema)
+        calls = [proc.call(self.graph, *row).withColumn(key, F.lit(i).cast("long")) for i, row in enumerate(rows)]
+        none = ", ".join(f"`{n}` {OUTPUTS.get(t, 'string')}" for n, t in proc.outputs)
+        side = reduce(lambda x, y: x.unionByName(y), calls) if calls else spark.createDataFrame([], f"{none}, {key} long")
+        df = df.join(F.broadcast(numbered), self.all_equal(keys, [f"{k}_i" for k in keys])).drop(*keys, *[f"{k}_i" for k in keys])
+        return Frame(df, frame.vars), side, key
+
 
 def order_items(order):
     return [(None, e) for e, _ in order]

@@ -9,10 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import Cancelled, GraphError, QueryTimeout, ResourceLimit
+from .errors import Cancelled, GraphError, QueryTimeout, ResourceLimit, runtime_errors
 from .functions.values import plain
 from .operators.mutate import Stats, check_unique
-from .plans.compiler import Compiler
+from .plans.compiler import Compiler, Uses
 from .plans.syntax import Query, parse, split_batch
 from .sources.graph import Graph, lift
 
@@ -68,6 +68,7 @@ class GraphSession:
         self.procedures = dict(BUILT_IN)
         self.stats = Stats()
         self._saved: Graph | None = None
+        self._sizes: dict[int, tuple[DataFrame, int]] = {}
 
     @classmethod
     def in_memory(cls, spark: SparkSession) -> "GraphSession":
@@ -177,12 +178,61 @@ class GraphSession:
         rels = {k: {"properties": props(t), **ends.get(k, {"from": [], "to": []})} for k, t in self.graph.rels.items()}
         return {"labels": dict(sorted(labels.items())), "relationships": dict(sorted(rels.items())), "indexes": [{"label": a, "property": b, "unique": u} for (a, b), u in sorted(self.graph.indexes.items())]}
 
+    def rows(self, text: str, params: dict | None = None) -> list:
+        with runtime_errors():
+            return self.cypher(text, params).collect()
+
     def query_arrow(self, text: str, params: dict | None = None):
-        return self.cypher(text, params).toArrow()
+        with runtime_errors():
+            return self.cypher(text, params).toArrow()
+
+    def execute_streaming(self, text: str, params: dict | None = None, sink: Callable | None = None) -> Iterator | int:
+        """Rows one partition at a time; with a sink, each is given to it until it returns False, and their number comes back."""
+        rows = self.cypher(text, params).toLocalIterator()
+        if sink is None:
+            return rows
+        n = 0
+        with runtime_errors():
+            for row in rows:
+                n += 1
+                if sink(row) is False:
+                    break
+        return n
+
+    # -- point reads and sizes
+    def get_node(self, node_id: int) -> dict | None:
+        """A node's id, labels and properties; the filter on the id reaches the scans."""
+        return self._one(self.graph.nodes.values(), node_id)
+
+    def get_relationship(self, rel_id: int) -> dict | None:
+        return self._one(self.graph.rels.values(), rel_id)
+
+    def node_exists(self, node_id: int) -> bool:
+        return self.get_node(node_id) is not None
+
+    def get_node_property(self, node_id: int, name: str):
+        return (self.get_node(node_id) or {"properties": {}})["properties"].get(name)
 
-    def execute_streaming(self, text: str, params: dict | None = None) -> Iterator:
-        """Rows one partition at a time."""
-        return self.cypher(text, params).toLocalIterator()
+    @staticmethod
+    def _one(tables, wanted: int) -> dict | None:
+        for t in tables:
+            if row := t.where(F.col("_id") == wanted).first():
+                d = row.asDict(True)
+                meta = {k[1:]: v for k, v in d.items() if k.startswith("_")}
+                return meta | {"properties": {k: v for k, v in d.items() if not k.startswith("_") and v is not None}}
+        return None
+
+    def node_count(self, label: str | None = None) -> int:
+        return sum(self._size(t) for _, t in self.graph.node_tables([label] if label else []))
+
+    def relationship_count(self, kind: str | None = None) -> int:
+        return sum(self._size(t) for _, t in self.graph.rel_tables([kind] if kind else []))
+
+    def _size(self, t: DataFrame) -> int:
+        """Tables don't change, so that each is counted once."""
+        if id(t) not in self._sizes:
+            self._sizes[id(t)] = (t, t.count())
+        return self._sizes[id(t)][1]
 
     def cancel(self) -> None:
         self.spark.interruptTag("graphloom")
@@ -195,13 +245,28 @@ class GraphSession:
         return self.spark.range(0).select()
 
     def _explain(self, c: Compiler, q: Query) -> DataFrame:
-        if self._writes(q):
-            kinds = [c.kind for p in q.parts for c in p]
-            return self.spark.createDataFrame([(f"Write({', '.join(kinds)})",)], "plan string")
-        df = c.query(q)
-        text = "\n".join(c.notes) + "\n" + df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        """Steps clause by clause, and Spark's plan; of a writing statement, the plan of what is read before its first write."""
+        if not self._writes(q):
+            df = c.query(q)
+            text = "\n".join(c.notes) + "\n" + self._plan(df)
+        else:
+            c.uses.query(q)
+            text = ""
+            for part in q.parts:
+                frame, wrote = c.unit(), False
+                for clause in part:
+                    wrote = wrote or clause.kind in WRITES
+                    if wrote:
+                        c.notes.append(f"{'Write' if clause.kind in WRITES else 'Read'}({clause.kind}: {', '.join(sorted(Uses().query(Query([[clause]])).keys() - {'*'})) or '-'})")
+                    else:
+                        frame = getattr(c, f"do_{clause.kind}")(frame, clause.body)
+                text += "\n".join(c.notes) + "\n" + self._plan(frame.df)
+                c.notes.clear()
         return self.spark.createDataFrame([(text,)], "plan string")
 
+    def _plan(self, df: DataFrame) -> str:
+        return df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
     def _limited(self, df: DataFrame, max_rows: int | None, timeout: float | None) -> DataFrame:
         import threading
 

@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from graphloom.errors import CypherSyntaxError, CypherTypeError, GraphError, MissingParameter, ResourceLimit, SemanticError, UnboundVariable
+from graphloom.errors import CypherArithmeticError, CypherSyntaxError, CypherTypeError, GraphError, MissingParameter, ResourceLimit, SemanticError, UnboundVariable
 from graphloom.plans.syntax import parse, split_batch
 from graphloom.session import GraphSession
 
@@ -264,6 +264,73 @@ def test_procedures(spark):
         s.cypher("CALL no.such()")
 
 
+def test_procedures_with_arguments_from_rows(spark):
+    s = GraphSession.in_memory(spark)
+    asked = []
+
+    def up_to(g, n, w):
+        asked.append((n, w))
+        return g.spark.range(n or 0).selectExpr("id AS k", f"'{w}' AS v")
+
+    s.register("up.to", [("n", "INTEGER"), ("w", "STRING")], [("k", "INTEGER"), ("v", "STRING")], up_to)
+    text = "UNWIND [[2, 'a'], [1, 'b'], [2, 'a'], [0, 'c']] AS x WITH toInteger(x[0]) AS n, toString(x[1]) AS w CALL up.to(n, w) YIELD k, v WHERE k < 9 RETURN n, k, v ORDER BY v, k"
+    assert rows(s.cypher(text)) == [(2, 0, "a"), (2, 0, "a"), (2, 1, "a"), (2, 1, "a"), (1, 0, "b")]
+    assert sorted(asked) == [(0, "c"), (1, "b"), (2, "a")]  # once for each list
+    assert rows(s.cypher("UNWIND [1, null] AS n CALL up.to(n, 'x') YIELD k RETURN n, k")) == [(1, 0)]
+    assert rows(s.cypher("UNWIND [] AS n CALL up.to(n, 'x') YIELD k RETURN k")) == []
+    assert rows(s.cypher("UNWIND [1, 2] AS n CALL up.to(n, 'x') RETURN n ORDER BY n")) == [(1,), (2,)]
+    with pytest.raises(ResourceLimit):
+        s.cypher("UNWIND range(1, 1001) AS n CALL up.to(n, 'x') YIELD k RETURN k")
+
+
+def test_point_reads_sizes_and_sinks(harbour):
+    ids = {r[0]: r[1] for r in rows(harbour.cypher("MATCH (s:Ship) RETURN s.name AS n, id(s) AS i"))}
+    assert harbour.get_node(ids["Mira"]) == {"id": ids["Mira"], "labels": ["Ship"], "properties": {"name": "Mira", "crew": 9}}
+    assert harbour.get_node(-5) is None and not harbour.node_exists(-5) and harbour.node_exists(ids["Tara"])
+    assert harbour.get_node_property(ids["Tara"], "tons") == 4000 and harbour.get_node_property(ids["Tara"], "crew") is None and harbour.get_node_property(-5, "tons") is None
+    lane = rows(harbour.cypher("MATCH (:Port {code: 'KIE'})-[l:LANE]->(o) RETURN id(l) AS l, id(o) AS o"))[0]
+    found = harbour.get_relationship(lane[0])
+    assert (found["type"], found["dst"], found["properties"]) == ("LANE", lane[1], {"miles": 300})
+    assert (harbour.node_count(), harbour.node_count("Ship"), harbour.node_count("Nobody")) == (7, 3, 0)
+    assert (harbour.relationship_count(), harbour.relationship_count("LANE")) == (9, 3)
+    seen = []
+    assert harbour.execute_streaming("UNWIND range(1, 9) AS x RETURN x", sink=lambda r: seen.append(r[0])) == 9 and seen == list(range(1, 10))
+    assert harbour.execute_streaming("UNWIND range(1, 9) AS x RETURN x", sink=lambda r: r[0] < 4) == 4
+
+
+def test_errors_while_rows_are_made(harbour):
+    for text in ("MATCH (s:Ship) RETURN 1 / (s.crew - s.crew) AS x", "MATCH (s:Ship) RETURN 9223372036854775807 + s.crew AS x"):
+        with pytest.raises(CypherArithmeticError):
+            harbour.rows(text)
+        with pytest.raises(GraphError):
+            harbour.query_arrow(text)
+    with pytest.raises(CypherTypeError):
+        harbour.rows("UNWIND [1, 'a'] AS x RETURN sum(x) AS s")
+
+
+def test_explain_of_writes(spark):
+    s = GraphSession.in_memory(spark)
+    s.cypher("CREATE (:A {x: 1}), (:A {x: 2})")
+    text = s.cypher("EXPLAIN MATCH (a:A) WHERE a.x > 1 CREATE (a)-[:R]->(b:B {y: a.x}) WITH b RETURN b.y AS y").first()[0]
+    assert text.startswith("NodeScan(a:A)\nWrite(create: a") and "Read(return: b)" in text and "Physical Plan" in text
+    assert rows(s.cypher("MATCH (n) RETURN count(*) AS n")) == [(2,)]
+
+
+def test_properties_of_paths_from_rows(harbour):
+    text = "MATCH (p:Port) UNWIND [300, 500] AS m MATCH (p)-[l:LANE*1..2 {miles: m}]-(q:Port) RETURN m, p.code AS p, q.code AS q ORDER BY m, p"
+    assert rows(harbour.cypher(text)) == [(300, "KIE", "OSL"), (300, "OSL", "KIE"), (500, "OSL", "RIG"), (500, "RIG", "OSL")]
+    with pytest.raises(SemanticError):
+        harbour.cypher("UNWIND [1] AS m MATCH p = shortestPath((:Port {code: 'KIE'})-[:LANE*1..3 {miles: m}]->(:Port {code: 'RIG'})) RETURN length(p) AS l")
+
+
+def test_start_at_a_middle_node_with_properties(harbour):
+    text = "MATCH (a:Ship)-[x:CALLS]->(p:Port {code: 'OSL'})<-[y:CALLS]-(b:Ship) RETURN a.name AS a, b.name AS b, x.day AS x ORDER BY a"
+    assert rows(harbour.cypher(text)) == [("Mira", "Nord", 4), ("Nord", "Mira", 2)]
+    assert harbour.cypher("EXPLAIN " + text).first()[0].startswith("NodeScan(p:Port)")
+    path = "MATCH q = (a:Ship)-[:CALLS]->(p:Port {code: 'KIE'})-[:LANE]->(o:Port) RETURN [n IN nodes(q) | coalesce(n.name, n.code)] AS l"
+    assert rows(harbour.cypher(path)) == [(["Mira", "KIE", "OSL"],)]
+
+
 @pytest.mark.parametrize(
     ("text", "error"),
     [
