@@ -38,14 +38,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies; documents without an id all stay."""
-    found = simhash_bktree.near_duplicates(docs)
-    first = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    keep = stage(first, "near-keep")
-    kept = docs.where(F.col("doc_id").isNotNull()).join(keep.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
-    if keep.where("n > 1").limit(1).count():  # rows that share an id
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each group of near copies: that of the smallest doc_id, then of the smallest hash of its text.
+
+    Rows are told apart by both, as an id may stand on several texts; rows without an id all stay.
+    """
+    has_id, mark = F.col("doc_id").isNotNull(), F.xxhash64("text")
+    row = F.when(has_id, F.struct("doc_id", mark.alias("mark")))
+    found = simhash_bktree.near_duplicates(docs.select(row.alias("row"), "text"), key="row")
+    first = found.where(F.col("row") == F.col("component_id")).groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+    keep = stage(first.select(F.col("row.doc_id").alias("_gl_id"), F.col("row.mark").alias("_gl_mark"), "n"), "near-keep")
+    same = (F.col("doc_id") == F.col("_gl_id")) & (mark == F.col("_gl_mark"))
+    kept = docs.where(has_id).join(keep.select("_gl_id", "_gl_mark").hint("shuffle_hash"), same, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    if keep.where("n > 1").limit(1).count():  # repeated rows
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where(~has_id))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

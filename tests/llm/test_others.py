@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat_format, collision_ann, queries, url_trees
+from graphloom.llm import chat_format, collision_ann, queries, simhash_bktree, url_trees
 
 TURNS = "conv_id long, turn long, role string, text string, formatted string"
 
@@ -247,6 +247,18 @@ def test_pipeline_of_odd_rows(spark, small):
         corpus_pipeline.STAGES[-1][1](spark, kept, small).collect()
 
 
+def test_near_copies_of_ids_with_several_texts(spark, small):
+    words = [f"word{i}" for i in range(3200)]
+    a, b, c = (" ".join(words[i : i + 1000]) for i in (0, 1100, 2200))
+    rows = [(1, a, "u"), (1, b, "v"), (2, a, "w"), (3, b + " more", "x"), (2, c, "y"), (2, c, "z"), (None, a, "n"), (None, a, "n"), (4, None, "o")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [tuple(r) for r in corpus_pipeline.near_copies(spark, docs, small).collect()]
+    ids = [r for r in kept if r[0] is not None]
+    fps = {t: simhash_bktree.fingerprint((t or "").encode()) for _, t, _ in rows}
+    assert (fps[b] ^ fps[b + " more"]).bit_count() <= 2 and min((fps[x] ^ fps[y]).bit_count() for x, y in ((a, b), (a, c), (b, c))) > 2
+    assert sorted((i, t) for i, t, _ in ids) == sorted([(1, a), (1, b), (2, c), (4, None)], key=lambda r: (r[0], r[1] or "")) and sum(r[0] is None for r in kept) == 2
+
+
 def test_every_operator_has_its_query(spark):
     import __spark_entry__
 
