@@ -52,6 +52,11 @@ def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality_ledger.passes(3).alias("kept"), "n_lines", "fail_bits")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy costs, from the ledger's bits alone."""
+    return quality_ledger.ablation(quality_ledger.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op7_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), size=2048)
 
@@ -68,33 +73,15 @@ def op10_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_winnowing.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_collision_ann, op3_language_mixture, op4_unigram_pieces, op5_simhash_bktree, op6_quality_ledger, op7_mixture_packing, op8_url_trees, op9_token_count, op10_line_winnowing)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_collision_ann, op3_language_mixture, op4_unigram_pieces, op5_simhash_bktree, op6_quality_ledger, op7_mixture_packing, op8_url_trees, op9_token_count, op10_line_winnowing, quality_ablation)}
 
 _MARKED = "x"
 for _end in line_winnowing.ENDS:
     _e = "chr(10)" if _end == "\n" else f"'{_end}'"
     _MARKED = f"replace({_MARKED}, {_e}, {_e} || chr(1))"
 _CONTROL = "".join(f" + (length(x) - length(replace(x, '{c}', ''))) // {len(c)}" for c in chat_format.CONTROL)
-ORACLE_SQL = {
-    "op1_chat_format": rf"""
-WITH turns AS (
-  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
-), sized AS (
-  SELECT *, length(x) + length(r) + 13 + (length(x) - length(replace(x, '\', ''))){_CONTROL} AS n FROM turns
-), summed AS (
-  SELECT *, sum(n) OVER w AS upto, lead(turn) OVER w IS NULL AS is_last
-  FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY turn, r, x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-)
-SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
-  sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn, r, x)) AS turns_sha256,
-  CAST(coalesce(sum(length(x)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(x, '' ORDER BY turn, r, x) FILTER (r = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(upto) FILTER (r = 'assistant' OR is_last) AS BIGINT) AS formatted_chars
-FROM summed GROUP BY conv_id
-""",
-    "op6_quality_ledger": r"""
-WITH docs AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS x FROM documents),
+_MASKS = ", ".join(f"({v}, '{name}', {mask}, {1 << b})" for v, mask in quality_ledger.POLICIES.items() for b, (name, _) in quality_ledger.RULES.items() if mask >> b & 1)
+_LEDGER = r"""WITH docs AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS x FROM documents),
 cut AS (SELECT k, doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w, string_split(x, chr(10)) AS l FROM docs),
 counted AS (
   SELECT k, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
@@ -114,8 +101,32 @@ bits AS (
     + CASE WHEN word_chars < 2 * n_words THEN 4 ELSE 0 END + CASE WHEN word_chars > 14 * n_words THEN 8 ELSE 0 END
     + CASE WHEN 10 * n_symbols > n_words THEN 16 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 32 ELSE 0 END
     + CASE WHEN n_words > 1000000 THEN 64 ELSE 0 END AS INTEGER) AS fail_bits FROM measured
+)"""
+ORACLE_SQL = {
+    "op1_chat_format": rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, length(x) + length(r) + 13 + (length(x) - length(replace(x, '\', ''))){_CONTROL} AS n FROM turns
+), summed AS (
+  SELECT *, sum(n) OVER w AS upto, lead(turn) OVER w IS NULL AS is_last
+  FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY turn, r, x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 )
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn, r, x)) AS turns_sha256,
+  CAST(coalesce(sum(length(x)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(x, '' ORDER BY turn, r, x) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (r = 'assistant' OR is_last) AS BIGINT) AS formatted_chars
+FROM summed GROUP BY conv_id
+""",
+    "op6_quality_ledger": f"""{_LEDGER}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, n_lines, fail_bits FROM bits
+""",
+    "quality_ablation": f"""{_LEDGER}, rules AS (SELECT * FROM (VALUES {_MASKS}) t(policy, rule, mask, bit))
+SELECT policy, rule, (count(*) FILTER (fail_bits & bit <> 0))::BIGINT AS failing, (count(*) FILTER (fail_bits & mask = bit))::BIGINT AS only_this,
+  (count(*) FILTER (fail_bits & mask = 0))::BIGINT AS kept, (count(*) FILTER (fail_bits & mask & ~bit = 0))::BIGINT AS kept_without
+FROM bits, rules GROUP BY policy, rule
 """,
     # runs are compared as texts; a run goes where an earlier place (by document, then line) has the same
     "op10_line_winnowing": rf"""
