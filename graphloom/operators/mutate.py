@@ -182,7 +182,7 @@ def merge(c, frame, body):
             f = type(frame)(f.df.select(*[F.col(f"`{v}`") for v in frame.vars], *[F.col(f"`{v}`")["_id"].alias(f"{v}_id") for v in new]), dict(frame.vars))
         ids.append(f.df)
     # a SET in one part may have changed what the other has read, so both are bound here
-    both = type(frame)(cut(_union(ids)), dict(frame.vars))
+    both = type(frame)(_union(ids) if c.ending else cut(_union(ids)), dict(frame.vars))
     return rebind(c, both, {v: f"{v}_id" for v in new}, nodes, rels)
 
 
@@ -311,19 +311,21 @@ def set(c, frame, actions):  # noqa: A001
                 raise CypherTypeError("SET takes a map here")
             values = {f.name: E(e.col[f.name], f.dataType, kind_of(f.dataType)) for f in e.t if not f.name.startswith("_")}
             c.stats.properties_set += len(values) * _update(c, frame, var, kind, values, a[0] == "replace")
-        frame = _reread(c, frame, var if a[0] == "labels" else None)
+        if at < len(actions) or not c.ending:
+            frame = _reread(c, frame, var if a[0] == "labels" else None)
     return frame
 
 
 def remove(c, frame, items):
-    for what, base, names in items:
+    for at, (what, base, names) in enumerate(items, 1):
         var, kind = _targets(frame, base)
         if what == "labels":
             gone = F.array(*[F.lit(x) for x in names])
             c.stats.labels_removed += _update(c, frame, var, kind, {}, labels=lambda l, gone=gone: F.array_except(l, gone))
         else:
             c.stats.properties_set += _update(c, frame, var, kind, {names: E(F.lit(None), T.NullType())})
-        frame = _reread(c, frame, var if what == "labels" else None)
+        if at < len(items) or not c.ending:
+            frame = _reread(c, frame, var if what == "labels" else None)
     return frame
 
 

@@ -169,6 +169,8 @@ class Compiler:
 
     #: How many rows one row of the frame stands for, while only count(*) asks.
     times: Column | None = None
+    #: Whether this is the last clause: nothing reads the rows that a write leaves.
+    ending = False
 
     def part(self, clauses: list[Clause], frame: Frame) -> DataFrame:
         if counted := self.degrees(clauses):
@@ -177,6 +179,7 @@ class Compiler:
             self.times = None
             return frame.df
         for c in clauses:
+            self.ending = c is clauses[-1]
             frame = getattr(self, f"do_{c.kind}")(frame, c.body)
         if clauses[-1].kind == "call" and not clauses[-1].body[2]:
             return frame.df.drop("_unit")
