@@ -54,7 +54,7 @@ def _sums(sizes: Column) -> Column:
 def _reach(sums: Column, i: Column, min_chars: int) -> Column:
     """How many lines from i on have min_chars together; null where the text ends before. A line has a character at least.
 
-    Few lines do for most starts; else steps of 16, 4 and 1 lines are made while the characters stay below min_chars.
+    Up to eight lines do for most starts; else steps of 16, 4 and 1 lines are made while the characters stay below min_chars.
     The state is characters << 12 | lines.
     """
     one = sums["one"]
@@ -72,8 +72,36 @@ def _reach(sums: Column, i: Column, min_chars: int) -> Column:
     last = lambda s: F.when(F.get(one, i + s.bitwiseAND(4095)).isNotNull(), s.bitwiseAND(4095) + 1)
     many = let(let(let(steps(None, sums["sixteen"], 16, min_chars // 16), lambda s: steps(s, sums["four"], 4, 3)), lambda s: steps(s, one, 1, 3)), last)
     first, second, third = (F.get(one, i + k) for k in range(3))
-    few = F.when(first >= min_chars, F.lit(1)).when(first + second >= min_chars, F.lit(2)).when(first + second + third >= min_chars, F.lit(3))
-    return few.otherwise(many)
+    few = F.when(first >= min_chars, F.lit(1)).when(first + second >= min_chars, F.lit(2)).when(first + second + third >= min_chars, F.lit(3)).otherwise(F.lit(4))
+    four, (fifth, sixth, seventh) = F.get(sums["four"], i), (F.get(one, i + k) for k in range(4, 7))
+    some = F.when(four + fifth >= min_chars, F.lit(5)).when(four + fifth + sixth >= min_chars, F.lit(6)).when(four + fifth + sixth + seventh >= min_chars, F.lit(7)).otherwise(F.lit(8))
+    return F.when(four >= min_chars, few).when(four + F.get(sums["four"], i + 4) >= min_chars, some).otherwise(many)
+
+
+def _least(order: Column, body) -> Column:
+    """body(f), where f(n, i) is the least of the n values from i on; the values of 4 and of 16 places are compared once.
+
+    The copy of the array is one of plain objects, of which slices are cheap.
+    """
+
+    def over(c: Column, step: int) -> Column:
+        return F.transform(c, lambda x, i: F.least(x, *(F.get(c, i + k * step) for k in range(1, 4))))
+
+    def least(m: Column):
+        at = lambda name, i: F.get(m[name], i)
+        return lambda n, i: (
+            F.when(n == 1, at("one", i))
+            .when(n == 2, F.least(at("one", i), at("one", i + 1)))
+            .when(n == 3, F.least(at("one", i), at("one", i + 1), at("one", i + 2)))
+            .when(n <= 8, F.least(at("four", i), at("four", i + n - 4)))
+            .when(n < 16, F.least(at("four", i), at("four", i + 4), at("four", i + n - 8), at("four", i + n - 4)))
+            .when(n <= 32, F.least(at("sixteen", i), at("sixteen", i + n - 16)))
+            .otherwise(F.array_min(F.slice(m["one"], i + 1, n)))
+        )
+
+    plain = F.transform(order, lambda x: x)
+    levels = let(plain, lambda c: let(over(c, 1), lambda four: F.struct(c.alias("one"), four.alias("four"), over(four, 4).alias("sixteen"))))
+    return let(levels, lambda m: body(least(m)))
 
 
 def _doc(docs: DataFrame, key: str, text: str) -> dict[str, Column]:
@@ -97,10 +125,6 @@ def select(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars:
     rank = lambda s, h: F.shiftleft((F.lit(127) - F.least(s, F.lit(127))).cast("long"), 56).bitwiseOR(h.bitwiseAND(2**56 - 1))
     reach = hashed.select("z", "d", "t", "l", F.zip_with("s", "l", rank).alias("o"), let(_sums(F.col("s")), reaches).alias("r"))
 
-    def least(n: Column, i: Column) -> Column:
-        one, two, three = (F.get("o", i + k) for k in range(3))
-        return F.when(n == 1, one).when(n == 2, F.least(one, two)).when(n == 3, F.least(one, two, three)).otherwise(F.array_min(F.slice("o", i + 1, n)))
-
     def picks(p: Column) -> Column:
         # a window's fingerprint is its leftmost least line: another one, also if it is equal, once the line before the start was it
         new = lambda x, i: (i == 0) | (x != F.get(p, i - 1)) | (F.get("o", i - 1) == F.get(p, i - 1))
@@ -108,7 +132,7 @@ def select(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars:
         return let(begins, lambda b: F.transform(b, lambda i, j: F.struct(F.get(p, i).alias("h"), i.alias("a"), F.coalesce(F.get(b, j + 1), F.size(p)).alias("b"))))
 
     # the windows that reach min_chars are those of the first starts; no filter here, as it would be pushed into the lambdas
-    return reach.select("z", "d", "t", "l", "r", let(F.transform("r", least), picks).alias("picks"))
+    return reach.select("z", "d", "t", "l", "r", let(_least(F.col("o"), lambda least: F.transform("r", least)), picks).alias("picks"))
 
 
 def _join(places: DataFrame, found: DataFrame, total: int, on: list[str]) -> DataFrame:
@@ -137,17 +161,19 @@ def candidates(selected: DataFrame) -> DataFrame:
 def runs_of(candidates: DataFrame) -> DataFrame:
     """z, d, t and h, m (two hashes and the number of lines), i (the first line, of those with content) of each run."""
 
-    def printed(i: Column, n: Column) -> Column:
+    def printed(l: Column, i: Column, n: Column) -> Column:
         check = lambda s: F.struct(F.xxhash64(s).alias("h"), F.shiftleft(n.cast("long"), 32).bitwiseOR(F.hash(s).cast("long").bitwiseAND(2**32 - 1)).alias("m"), i.alias("i"))
-        return let(F.slice("l", i + 1, n), check)
+        return let(F.slice(l, i + 1, n), check)
 
-    def from_(i: Column) -> Column:
+    def from_(l: Column, i: Column) -> Column:
         """The window from i, and the longer runs up to where the next start's window ends; behind the last start up to the end."""
         n = F.get("r", i)
         upto = F.coalesce(F.get("r", i + 1), F.size("l") - i)
-        return F.transform(F.sequence(n, F.greatest(n, upto)), lambda k: printed(i, k))
+        return F.transform(F.sequence(n, F.greatest(n, upto)), lambda k: printed(l, i, k))
 
-    return candidates.select("z", "d", "t", F.inline(F.flatten(F.transform("starts", from_))))
+    # of an array of plain objects slices are cheap; of one in a row's bytes each would copy the whole
+    runs = let(F.transform("l", lambda h: h), lambda l: F.flatten(F.transform("starts", lambda i: from_(l, i))))
+    return candidates.select("z", "d", "t", F.inline(runs))
 
 
 def repeated_runs(selected: DataFrame) -> DataFrame:
