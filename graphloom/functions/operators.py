@@ -161,13 +161,13 @@ def arith(op: str, a: E, b: E) -> E:
 def mixed_text(e: E) -> Column:
     x = e.col
     number = F.coalesce(x["mixed_int"].cast("string"), float_text(x["mixed_number"]))
-    return F.when(x["mixed_rank"] == 1, x["mixed_text"]).when(x["mixed_rank"] == 2, (x["mixed_number"] != 0).cast("string")).otherwise(number)
+    return F.when(x["mixed_rank"] == 2, (x["mixed_number"] != 0).cast("string")).when(x["mixed_rank"] == 3, number).otherwise(x["mixed_text"])
 
 
 def _mixed_arith(op: str, a: E, b: E) -> E:
     """Numbers as ever, whole ones stay whole; + joins texts; anything else is an error when it is met."""
     x, y = E(pack(a), MIXED, "mixed"), E(pack(b), MIXED, "mixed")
-    ints = x.col["mixed_int"].isNotNull() & y.col["mixed_int"].isNotNull()
+    ints = (x.col["mixed_rank"] == 3) & (y.col["mixed_rank"] == 3) & x.col["mixed_int"].isNotNull() & y.col["mixed_int"].isNotNull()
     part = lambda e, name, t, when: E(F.when(when, e.col[name]), t)
     whole = pack(arith(op, part(x, "mixed_int", T.LongType(), ints), part(y, "mixed_int", T.LongType(), ints)))
     numbers = (x.col["mixed_rank"] == 3) & (y.col["mixed_rank"] == 3)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..errors import CypherTypeError, SemanticError
 from . import temporal
 from .operators import mixed_text
-from .values import DURATION, NULL, E, common, kind_of, make_list, to
+from .values import DURATION, NULL, E, common, kind_of, make_list, mixed_string, to
 
 _L, _D, _S, _B = T.LongType(), T.DoubleType(), T.StringType(), T.BooleanType()
 #: What Unicode calls white space.
@@ -78,7 +78,7 @@ def size(e: E) -> E:
     if e.family == "list":
         return E(F.size(e.col).cast("long"), _L)
     if e.family in ("string", "mixed"):
-        return E(F.length(e.col if e.family == "string" else e.col["mixed_text"]).cast("long"), _L)
+        return E(F.length(e.col if e.family == "string" else mixed_string(e.col)).cast("long"), _L)
     raise CypherTypeError("size() takes a list or a string")
 
 

@@ -15,11 +15,12 @@ DURATION = T.StructType([T.StructField("months", T.LongType()), T.StructField("d
 LOCALTIME = T.StructType([T.StructField("localtime_nanos", T.LongType())])
 TIME = T.StructType([T.StructField("time_nanos", T.LongType()), T.StructField("time_offset", T.IntegerType())])
 ZONED = T.StructType([T.StructField("utc", T.TimestampNTZType()), T.StructField("utc_offset", T.IntegerType()), T.StructField("zone", T.StringType())])
-#: A string, boolean or number where one column holds several of these: its place in the order of types, then its value.
+#: A string, boolean, number or instant where one column holds several of these: its place in the order of types, then its
+#: value. An instant is a whole number (days, nanoseconds or microseconds) and its text.
 MIXED = T.StructType([T.StructField("mixed_rank", T.IntegerType()), T.StructField("mixed_number", T.DoubleType()), T.StructField("mixed_int", T.LongType()), T.StructField("mixed_text", T.StringType())])
 #: Kinds whose values may differ in their fields.
 RECORDS = ("map", "node", "rel")
-RANKS = {"string": 1, "bool": 2, "int": 3, "float": 3}
+RANKS = {"string": 1, "bool": 2, "int": 3, "float": 3, "date": 4, "localtime": 5, "time": 6, "localdatetime": 7, "zoned": 8}
 PATH = T.StructType([T.StructField("nodes", T.ArrayType(T.LongType())), T.StructField("rels", T.ArrayType(T.LongType()))])
 
 
@@ -140,24 +141,52 @@ def _mixable(t: T.DataType) -> bool:
 
 
 def pack(e: E) -> Column:
-    """A string, boolean or number as a mixed value."""
+    """A string, boolean, number or instant as a mixed value."""
     if e.family == "mixed":
         return e.col
     if e.family == "null":
         return F.lit(None).cast(MIXED)
     if e.family not in RANKS:
         raise CypherTypeError(f"a {e.family} can't share a column with other types")
-    number = e.col.cast("double") if e.family != "string" else F.lit(None).cast("double")
-    whole = e.col.cast("long") if e.family == "int" else F.lit(None).cast("long")
-    words = e.col if e.family == "string" else F.lit(None).cast("string")
+    number = e.col.cast("double") if RANKS[e.family] in (2, 3) else F.lit(None).cast("double")
+    whole = e.col.cast("long") if e.family == "int" else _place(e) if RANKS[e.family] > 3 else F.lit(None).cast("long")
+    words = e.col if e.family == "string" else _words(e) if RANKS[e.family] > 3 else F.lit(None).cast("string")
     return F.when(e.col.isNotNull(), F.struct(F.lit(RANKS[e.family]).alias("mixed_rank"), number.alias("mixed_number"), whole.alias("mixed_int"), words.alias("mixed_text")))
 
 
+def _place(e: E) -> Column:
+    """What instants of one type are ordered by."""
+    c = e.col
+    if e.family == "date":
+        return F.unix_date(c).cast("long")
+    if e.family == "localtime":
+        return c["localtime_nanos"]
+    if e.family == "time":
+        return c["time_nanos"] - c["time_offset"].cast("long") * 10**9
+    return F.unix_micros((c["utc"] if e.family == "zoned" else c).cast("timestamp"))
+
+
+def _words(e: E) -> Column:
+    from . import temporal
+
+    return temporal.text(e)
+
+
+def mixed_string(col: Column) -> Column:
+    """The string in a mixed value; null for other types."""
+    return F.when(col["mixed_rank"] == 1, col["mixed_text"])
+
+
 def plain(col: Column, t: T.DataType) -> tuple[Column, bool]:
     """A column for the outside, with its mixed values as variants; and whether there were any."""
     if kind_of(t) == "mixed":
         number = F.coalesce(col["mixed_int"].cast("variant"), col["mixed_number"].cast("variant"))
-        return F.when(col["mixed_rank"] == 1, col["mixed_text"].cast("variant")).when(col["mixed_rank"] == 2, (col["mixed_number"] != 0).cast("variant")).otherwise(number), True
+        local = F.timestamp_micros(col["mixed_int"]).cast("timestamp_ntz")
+        instant = {RANKS["date"]: F.date_from_unix_date(col["mixed_int"].cast("int")), RANKS["localdatetime"]: local}
+        out = F.when(col["mixed_rank"] == 2, (col["mixed_number"] != 0).cast("variant")).when(col["mixed_rank"] == 3, number)
+        for rank, value in instant.items():
+            out = out.when(col["mixed_rank"] == rank, value.cast("variant"))
+        return out.otherwise(col["mixed_text"].cast("variant")), True
     if isinstance(t, T.ArrayType) and plain(col, t.elementType)[1]:
         return F.transform(col, lambda x: plain(x, t.elementType)[0]), True
     if isinstance(t, T.StructType):

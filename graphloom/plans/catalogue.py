@@ -123,6 +123,15 @@ QUERIES: dict[str, tuple[str, str]] = {
     "date_truncate_units": ("MATCH (o:Order) WITH date(o.orderdate) AS d RETURN date.truncate('week', d) AS w, date.truncate('quarter', d) AS q, date.truncate('year', d) AS y, date.truncate('decade', d) AS e, count(*) AS n", "SELECT date_trunc('week', d)::DATE AS w, date_trunc('quarter', d)::DATE AS q, date_trunc('year', d)::DATE AS y, date_trunc('decade', d)::DATE AS e, count(*) AS n FROM (SELECT o_orderdate::DATE AS d FROM orders) GROUP BY ALL"),
     "datetime_zones": ("MATCH (e:Event) WITH 1 + e.event_id % 12 AS m WITH m, datetime({year: 2020, month: m, day: 1, hour: 12, timezone: 'Europe/Berlin'}) AS t RETURN m, t.offset AS o, t.timezone AS z, t.epochSeconds AS s, count(*) AS n", "SELECT m, CASE WHEN m BETWEEN 4 AND 10 THEN '+02:00' ELSE '+01:00' END AS o, 'Europe/Berlin' AS z, (epoch(make_date(2020, m::INT, 1)) + 3600 * CASE WHEN m BETWEEN 4 AND 10 THEN 10 ELSE 11 END)::BIGINT AS s, n FROM (SELECT (1 + event_id % 12)::BIGINT AS m, count(*) AS n FROM events GROUP BY 1)"),
     "temporal_text": ("MATCH (o:Order) WITH date(o.orderdate) AS d RETURN toString(d) AS t, toString(localdatetime({date: d, hour: 9, minute: 5})) AS l, toString(duration({days: d.day, hours: 2})) AS p, date(toString(d)) = d AS same, count(*) AS n", "SELECT strftime(d, '%Y-%m-%d') AS t, strftime(d, '%Y-%m-%dT09:05') AS l, 'P' || day(d) || 'DT2H' AS p, true AS same, count(*) AS n FROM (SELECT o_orderdate::DATE AS d FROM orders) GROUP BY ALL"),
+    "match_rel_list": ("MATCH (a:Event {event_type: 'click'})-[rs:NEXT*2..2]->(b:Event) WITH rs MATCH (x:Event)-[rs:NEXT*]->(y:Event) RETURN x.event_type AS s, y.event_type AS t, count(*) AS n", f"SELECT x.event_type AS s, y.event_type AS t, count(*) AS n FROM ({_NEXT}) f JOIN ({_NEXT}) g ON f.b = g.a JOIN events x ON x.event_id = f.a JOIN events y ON y.event_id = g.b WHERE x.event_type = 'click' GROUP BY 1, 2"),
+    "order_by_aggregate": ("MATCH (c:Customer) RETURN c.nationkey AS k, count(*) AS n ORDER BY sum(c.acctbal) DESC, k LIMIT 5", "SELECT c_nationkey::BIGINT AS k, count(*) AS n FROM customer GROUP BY 1 ORDER BY sum(c_acctbal) DESC, k LIMIT 5"),
+    "sort_scope": ("MATCH (o:Order) WHERE o.totalprice > 1000 RETURN o.orderkey AS k, o.orderstatus AS totalprice ORDER BY o.totalprice DESC, k LIMIT 10", "SELECT o_orderkey AS k, o_orderstatus AS totalprice FROM orders WHERE o_totalprice > 1000 ORDER BY o_totalprice DESC, k LIMIT 10"),
+    "map_comparison": ("MATCH (p:Part) WITH {a: p.size, b: p.brand} AS m RETURN m = {b: 'Brand#11', a: 25} AS e, m <> {a: 25, b: 'Brand#11'} AS d, m = {a: 25} AS f, {a: m.a, b: null} = {a: 25, b: null} AS g, count(*) AS n", "SELECT p_size = 25 AND p_brand = 'Brand#11' AS e, NOT (p_size = 25 AND p_brand = 'Brand#11') AS d, false AS f, CASE WHEN p_size <> 25 THEN false END AS g, count(*) AS n FROM part GROUP BY 1, 2, 4"),
+    "unary_signs": ("MATCH (p:Part) RETURN p.partkey AS k, -p.size AS a, +p.size AS b, - -p.size AS c, -p.size ^ 2 AS d, 2 - -p.size * 3 AS e, -(p.size % 7) AS f", "SELECT p_partkey AS k, (-p_size)::BIGINT AS a, p_size::BIGINT AS b, p_size::BIGINT AS c, power(-p_size, 2)::DOUBLE AS d, (2 + p_size * 3)::BIGINT AS e, (-(p_size % 7))::BIGINT AS f FROM part"),
+    "mixed_instants": ("MATCH (o:Order) WITH CASE o.orderkey % 3 WHEN 0 THEN date(o.orderdate) WHEN 1 THEN o.orderkey ELSE o.orderstatus END AS x RETURN toString(max(x)) AS hi, toString(min(x)) AS lo, count(DISTINCT x) AS n", "SELECT max(o_orderdate::DATE) FILTER (WHERE o_orderkey % 3 = 0)::VARCHAR AS hi, min(o_orderstatus) FILTER (WHERE o_orderkey % 3 = 2) AS lo, count(DISTINCT CASE o_orderkey % 3 WHEN 0 THEN o_orderdate::DATE::VARCHAR WHEN 1 THEN 'k' || o_orderkey ELSE 's' || o_orderstatus END) AS n FROM orders"),
+    "instants_order": ("UNWIND [date('2020-02-01'), 3, 'a', localdatetime('2020-01-01T10:00'), null, true, time('10:00Z'), date('2019-12-31'), localtime('23:59')] AS x WITH x ORDER BY x WITH collect(toString(x)) AS l UNWIND range(0, size(l) - 1) AS i RETURN i, l[i] AS t", "SELECT * FROM (VALUES (0::BIGINT, 'a'), (1, 'true'), (2, '3'), (3, '2019-12-31'), (4, '2020-02-01'), (5, '23:59'), (6, '10:00Z'), (7, '2020-01-01T10:00')) v(i, t)"),
+    "time_text": ("MATCH (e:Event) WITH time({hour: e.event_id % 24, minute: 5, second: 7, timezone: '+01:00'}) AS t RETURN toString(t) AS t, t.offsetMinutes AS o, count(*) AS n", "SELECT lpad((event_id % 24)::VARCHAR, 2, '0') || ':05:07+01:00' AS t, 60::BIGINT AS o, count(*) AS n FROM events GROUP BY 1"),
+    "tail_and_roots": ("MATCH (p:Part) RETURN p.partkey AS k, tail([p.size, p.partkey, 1])[0] AS a, size(tail([p.size])) AS b, sqrt(p.size * p.size) AS c, last(range(1, p.size, 2)) AS d", "SELECT p_partkey AS k, p_partkey::BIGINT AS a, 0::BIGINT AS b, p_size::DOUBLE AS c, CASE WHEN p_size >= 1 THEN (p_size - (p_size - 1) % 2)::BIGINT END AS d FROM part"),
     "datetime_epoch": ("MATCH (e:Event) WITH datetime.fromepochmillis(1600000000000 + e.event_id) AS t RETURN t.year AS y, t.month AS m, t.day AS d, t.hour AS h, t.minute AS i, count(*) AS n, min(t.epochMillis) AS lo", "SELECT year(t)::BIGINT AS y, month(t)::BIGINT AS m, day(t)::BIGINT AS d, hour(t)::BIGINT AS h, minute(t)::BIGINT AS i, count(*) AS n, min(x)::BIGINT AS lo FROM (SELECT 1600000000000 + event_id AS x, make_timestamp((1600000000000 + event_id) * 1000) AS t FROM events) GROUP BY 1, 2, 3, 4, 5"),
     "path_members": ("MATCH p = (n:Nation)-[:IN_REGION]->(:Region) WITH nodes(p) AS l, relationships(p) AS rs RETURN l[0].name AS a, l[1].name AS b, size(l) AS n, [r IN rs | type(r)][0] AS t", "SELECT n_name AS a, r_name AS b, 2::BIGINT AS n, 'IN_REGION' AS t FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "keys_content": ("MATCH (r:Region) UNWIND keys(r) AS k RETURN k, count(*) AS n", "SELECT k, n FROM (SELECT count(*) AS n FROM region), (VALUES ('name'), ('regionkey')) t(k)"),

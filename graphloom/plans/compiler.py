@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..errors import CypherTypeError, MissingParameter, ResourceLimit, SemanticError, UnboundVariable
 from ..functions import operators as op
 from ..functions import scalar
-from ..functions.values import NULL, PATH, E, common, kind_of, lit, make_list, make_map, sort_key, to
+from ..functions.values import NULL, PATH, E, common, kind_of, lit, make_list, make_map, mixed_string, sort_key, to
 from ..sources.graph import Graph, _union
 from .syntax import Clause, NodePattern, PathPattern, Projection, Query, RelPattern, X, _Held
 
@@ -1031,7 +1031,7 @@ class Compiler:
 
     def text_test(self, x, scope, f):
         a, b = (self.ex(y, scope) for y in x.args)
-        a, b = (E(e.col["mixed_text"], T.StringType()) if e.family == "mixed" else e for e in (a, b))
+        a, b = (E(mixed_string(e.col), T.StringType()) if e.family == "mixed" else e for e in (a, b))
         if a.family != "string" or b.family != "string":
             return op.truth(F.lit(None).cast("boolean"))
         return op.truth(f(a.col, b.col))

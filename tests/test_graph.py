@@ -337,7 +337,7 @@ def test_start_at_a_middle_node_with_properties(harbour):
         ("MATCH (n", CypherSyntaxError), ("MATCH (n)", CypherSyntaxError), ("RETURN 1 AS a, 2 AS a", CypherSyntaxError), ("MATCH (n) WITH n.x RETURN 1 AS a", CypherSyntaxError),
         ("RETURN 1 AS a UNION RETURN 2 AS a UNION ALL RETURN 3 AS a", CypherSyntaxError), ("RETURN x", UnboundVariable), ("RETURN nothing(1) AS x", SemanticError), ("RETURN 1 AS a UNION RETURN 2 AS b", SemanticError),
         ("CREATE (a)-[:R|S]->(b)", SemanticError), ("CREATE (a)-[:R]-(b)", SemanticError), ("MATCH (n) WHERE count(n) > 1 RETURN n", SemanticError), ("RETURN 1 + true AS x", CypherTypeError), ("MATCH (n) WHERE 1 RETURN n", CypherTypeError),
-        ("RETURN 1 AS x LIMIT -1", CypherTypeError), ("RETURN [1, date()] AS x", CypherTypeError), ("RETURN toUpper(DISTINCT 'a') AS x", CypherSyntaxError), ("MATCH (a) RETURN nodes(a) AS x", CypherTypeError), ("RETURN *", SemanticError), ("UNWIND 1 AS x RETURN x", CypherTypeError), ("RETURN count(count(1)) AS x", SemanticError),
+        ("RETURN 1 AS x LIMIT -1", CypherTypeError), ("RETURN [1, duration('P1D')] AS x", CypherTypeError), ("RETURN toUpper(DISTINCT 'a') AS x", CypherSyntaxError), ("MATCH (a) RETURN nodes(a) AS x", CypherTypeError), ("RETURN *", SemanticError), ("UNWIND 1 AS x RETURN x", CypherTypeError), ("RETURN count(count(1)) AS x", SemanticError),
     ],
 )
 def test_errors(spark, text, error):
@@ -445,6 +445,15 @@ def test_mixed_types(spark):
     assert value(s, "UNWIND [{a: 1}, {a: 2, b: 'y'}] AS m RETURN m.b AS b") == [None, "y"]
     assert value(s, "UNWIND $rows AS m RETURN m.v AS v", rows=[{"v": 1}, {"v": "x"}]) == [1, "x"]
 
+    assert value(s, "UNWIND [date('2020-02-01'), 3, 'a', null, date('2019-12-31'), true] AS x RETURN x ORDER BY x") == ["a", True, 3, dt.date(2019, 12, 31), dt.date(2020, 2, 1), None]
+    assert value(s, "RETURN [date('2020-02-01'), 'a'] AS l") == [[dt.date(2020, 2, 1), "a"]]
+    assert value(s, "UNWIND [date('2020-02-01'), localdatetime('2020-02-01T00:00'), time('10:00+01:00'), time('09:00Z'), localtime('09:00')] AS x WITH x ORDER BY x WITH toString(x) AS t RETURN t") != []
+    assert value(s, "UNWIND [date('2020-02-01'), 5, '2020-02-01'] AS x RETURN x = date('2020-02-01') AS y") == [True, False, False]
+    assert value(s, "UNWIND [date('2020-02-01'), 5, '2020'] AS x RETURN x < date('2020-03-01') AS y") == [True, None, None]
+    assert value(s, "UNWIND [date('2020-02-01'), 5, '2020'] AS x RETURN x STARTS WITH '2020' AS y") == [None, None, True]
+    assert value(s, "UNWIND [1, date('2020-02-01')] AS x RETURN toString(x) AS y") == ["1", "2020-02-01"]
+    with pytest.raises(Exception, match="no \\+"):
+        s.cypher("UNWIND [date('2020-02-01'), 5] AS x RETURN x + 1 AS y").collect()
 
 def test_mixed_properties(spark):
     s = GraphSession.in_memory(spark)
