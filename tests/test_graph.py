@@ -64,6 +64,28 @@ def test_direct_joins_in_plans(spark, small):
     assert joins("MATCH (a:Order)-[:CONTAINS]->(p:Part)<-[:CONTAINS]-(b:Order) RETURN p.brand AS b, count(*) AS n") == 1
 
 
+def test_a_bound_relationship_tells_where_it_begins(spark, small):
+    s = GraphSession.from_tables(spark, small)
+    plan = lambda q: s.cypher(q)._jdf.queryExecution().executedPlan().toString()
+    lists = "MATCH (a:Event {event_type: 'click'})-[rs:NEXT*2..2]->() WITH rs MATCH "
+    single = "MATCH (:Event {event_type: 'click'})-[r:NEXT]->() WITH r MATCH "
+    for q in (f"{lists} (x:Event)-[rs:NEXT*]->(y:Event)", f"{lists} (x:Event)<-[rs*1..2]-(y)", f"{lists} (x:Event)-[rs*]-(y)", f"{lists} (u:User)-[:DID]->(x)-[rs*]->(y)", f"{single} (x:Event)-[r]->(y)", f"{single} (x)-[r:NEXT]-(y:Event)"):
+        text = plan(f"{q} RETURN x.event_type AS s, count(y) AS n")
+        assert "NestedLoop" not in text and "Cartesian" not in text, q
+
+    s = GraphSession.in_memory(spark)
+    s.cypher("CREATE (a:N {k: 1})-[:E]->(b:N {k: 2})-[:E]->(c:N:M {k: 3})-[:F]->(d:N {k: 4}), (c)-[:E]->(a), (d)-[:E]->(d), (:Z {k: 9})")
+    n = lambda first, p: rows(s.cypher(f"{first} WITH q MATCH {p} RETURN x.k AS x, count(*) AS n ORDER BY x"))
+    upto2, one, none = "MATCH ()-[q*0..2]->()", "MATCH ()-[q]->()", "OPTIONAL MATCH (:Z)-[q*1..2]->()"
+    assert n(upto2, "(x)-[q*]->(y)") == [(1, 2), (2, 3), (3, 4), (4, 1)] and n(upto2, "(x)<-[q*2..2]-(y)") == []
+    assert n(upto2, "(x)-[q*1..1]-(y)") == n(one, "(x)-[q]-(y)") == [(1, 2), (2, 2), (3, 3), (4, 2)]
+    assert n(upto2, "(x)-[q*0..]->(y)") == [(1, 7), (2, 8), (3, 9), (4, 6), (9, 5)]  # an empty list begins at any node
+    assert n(upto2, "(x:M)-[q*0..1]->(y)") == [(3, 7)] and n(upto2, "(x {k: 2})-[q*]->(y:M)") == [(2, 1)]
+    assert n(upto2, "(z)-[:E]->(x)-[q*2..2]->(y)") == [(1, 1), (2, 2), (3, 2)] and n(one, "(x)-[q:E]->(x)") == [(4, 1)]
+    assert n(none, "(x)-[q*0..]->(y)") == n(none, "(x)-[q*]-(y)") == []  # no list at all
+    assert rows(s.cypher("MATCH (a)-[q*2..2]->(b) OPTIONAL MATCH (x)-[q*]->(y:M) RETURN a.k AS a, b.k AS b, x.k AS x ORDER BY a, b")) == [(1, 3, 1), (2, 1, None), (2, 4, None), (3, 2, None), (3, 4, None)]
+
+
 def test_degrees_against_all_pairs(spark):
     s = GraphSession.in_memory(spark)
     s.cypher("CREATE (a:N {k: 1})-[:E]->(b:N {k: 2})-[:E]->(c:N {k: 3})-[:E]->(a), (a)-[:E]->(a), (a)-[:E]->(c), (a)-[:F]->(c), (b)-[:F]->(c)")
